@@ -96,3 +96,42 @@ def loo_peer_float(x: Column, n: Column, mean_g: Column, m2_g: Column) -> tuple[
     ssd_loo = m2_g - F.try_divide(nd, nd - 1) * dev * dev
     std = F.sqrt(F.greatest(F.try_divide(ssd_loo, nd - 2), F.lit(0.0)))
     return mean, std
+
+
+def regression_sums(y: Column, x: Column) -> dict[str, Column]:
+    """Aggregates for an exact least-squares fit of integer y on integer x.
+
+    Pairs with a null y (or x) are skipped, as in the SQL regression
+    aggregates.  Products are formed in decimal(38,0), so every sum is exact.
+    """
+    ok = y.isNotNull() & x.isNotNull()
+    xd, yd = x.cast(DEC), y.cast(DEC)
+    return {
+        "n": F.count(F.when(ok, F.lit(1))),
+        "sx": F.sum(F.when(ok, xd)),
+        "sy": F.sum(F.when(ok, yd)),
+        "sxy": F.sum(F.when(ok, xd * yd)),
+        "sxx": F.sum(F.when(ok, xd * xd)),
+        "syy": F.sum(F.when(ok, yd * yd)),
+    }
+
+
+def regression_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column,
+                         syy: Column) -> tuple[Column, Column]:
+    """Slope and R^2 of y on x from exact sums.
+
+    cov = n*sxy - sx*sy, vx = n*sxx - sx^2, vy = n*syy - sy^2 are exact; one
+    division each in double follows.  Conventions of the SQL aggregates:
+    slope and R^2 are null when x has no spread, R^2 is 1 when y has none.
+    (If an exact term overflows decimal(38,0) it becomes null.)
+    """
+    nd = n.cast(DEC)
+    cov = F.try_subtract(F.try_multiply(nd, sxy), F.try_multiply(sx, sy))
+    vx = F.try_subtract(F.try_multiply(nd, sxx), F.try_multiply(sx, sx))
+    vy = F.try_subtract(F.try_multiply(nd, syy), F.try_multiply(sy, sy))
+    cov_d, vx_d, vy_d = cov.cast("double"), vx.cast("double"), vy.cast("double")
+    slope = F.when(vx != 0, cov_d / vx_d)
+    r2 = (F.when(vx == 0, F.lit(None).cast("double"))
+          .when(vy == 0, F.lit(1.0))
+          .otherwise(cov_d * cov_d / (vx_d * vy_d)))
+    return slope, r2

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.stats import (
+    regression_from_sums,
+    regression_sums,
     loo_peer_exact,
     loo_peer_float,
     position_rank_correlation,
@@ -146,9 +148,13 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
         if "diff" in fams:
             lvl1.append(F.lag(xd(c), 1).over(w_lag).alias(f"_{c}_lag1"))
         if "ramp" in fams:
-            day_d = F.col("day").cast("double")
-            lvl1 += [F.regr_slope(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_slope"),
-                     F.regr_r2(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_r2")]
+            if dtypes.get(c) in _INTEGRAL:
+                lvl1 += [e.over(w_ramp).alias(f"_{c}_rg_{k}")
+                         for k, e in regression_sums(F.col(c), F.col("day")).items()]
+            else:
+                day_d = F.col("day").cast("double")
+                lvl1 += [F.regr_slope(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_slope"),
+                         F.regr_r2(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_r2")]
         if "spearman" in fams:
             lvl1.append(F.collect_list(xd(c)).over(w_spear).alias(f"_{c}_trail"))
     df = activity.select(*base_cols, *lvl1) if lvl1 else activity
@@ -170,9 +176,11 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
             lvl2 += [(xd(c) - lag).alias(f"{c}_diff1"),
                      ((xd(c) - lag) / (F.abs(lag) + eps)).alias(f"{c}_pct1")]
             drop.append(f"_{c}_lag1")
-        if "ramp" in fams:
-            lvl2.append(F.when(F.col(f"{c}_ramp_slope") > 0, F.col(f"{c}_ramp_r2"))
-                        .otherwise(F.lit(0.0)).alias(f"{c}_ramp_signal"))
+        if "ramp" in fams and dtypes.get(c) in _INTEGRAL:
+            slope, r2 = regression_from_sums(
+                *[F.col(f"_{c}_rg_{k}") for k in ("n", "sx", "sy", "sxy", "sxx", "syy")])
+            lvl2 += [slope.alias(f"{c}_ramp_slope"), r2.alias(f"{c}_ramp_r2")]
+            drop += [f"_{c}_rg_{k}" for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]
         if "spearman" in fams:
             rho = position_rank_correlation(F.col(f"_{c}_trail"), SPEARMAN_MIN_ROWS,
                                             SPEARMAN_MIN_STD)
@@ -184,6 +192,10 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
         df = df.select("*", *[
             ((xd(c) - F.col(f"{c}_med_self")) / (F.col(f"{c}_mad_self") + eps)).alias(f"{c}_rz_self")
             for c in raw])
+    if "ramp" in fams:
+        df = df.select("*", *[
+            F.when(F.col(f"{c}_ramp_slope") > 0, F.col(f"{c}_ramp_r2"))
+            .otherwise(F.lit(0.0)).alias(f"{c}_ramp_signal") for c in raw])
     if "spearman" in fams:
         df = df.select("*", *[F.greatest(F.col(f"{c}_spearman"), F.lit(0.0))
                               .alias(f"{c}_spearman_pos") for c in raw])
