@@ -7,7 +7,7 @@ Python runs per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEC = "decimal(38,0)"
@@ -50,6 +50,87 @@ def position_rank_correlation(arr: Column, min_rows: int = 3,
     return F.when(ok, F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+def tree_sum(terms) -> Column:
+    """Sum of columns as a balanced tree (shallow generated code)."""
+    terms = list(terms)
+    if not terms:
+        return F.lit(0.0)
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i]
+                 for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+def sql_tree_sum(terms) -> str:
+    """SQL text of a balanced sum (shallow expression trees compile well)."""
+    terms = [f"({t})" for t in terms]
+    if not terms:
+        return "0.0D"
+    while len(terms) > 1:
+        terms = [f"({terms[i]} + {terms[i + 1]})" if i + 1 < len(terms) else terms[i]
+                 for i in range(0, len(terms), 2)]
+    return terms[0]
+
+
+class TrailingRankCorrelation:
+    """Spearman correlation of position vs value over a short trailing window.
+
+    The window's values are given oldest first (e.g. ``lag(x, n-1) ..
+    lag(x, 1), x``); a null is an absent element, which for a trailing frame
+    only happens before the user's first row.  With average ranks,
+    r_i - (k+1)/2 = 1/2 * sum_j sign(v_i - v_j), hence
+
+        cov   = 1/2 * sum_{i<j} (i - j) * sign(v_i - v_j)
+        var_r = 1/4 * sum_i (sum_{j != i} sign(v_i - v_j))^2
+        var_p = k (k^2 - 1) / 12,     rho = cov / sqrt(var_p * var_r)
+
+    — n(n-1)/2 sign terms, plain expressions spread over three projection
+    stages (``stage1`` → ``stage2`` → ``result``) so that the generated code
+    stays small.  The expressions are written as SQL text: one JVM call per
+    column instead of one per node.  Returns 0.0 for fewer than ``min_rows``
+    elements, a population std of the values at most ``min_std``, or an
+    undefined value.
+    """
+
+    def __init__(self, name: str, n: int, min_rows: int = 3, min_std: float = 1e-9):
+        self.t, self.n, self.min_rows, self.min_std = f"_{name}", n, min_rows, min_std
+        self.pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
+
+    def stage1(self, values: list[str]) -> list[Column]:
+        """``values``: SQL text of the n window values, oldest first."""
+        assert len(values) == self.n
+        t = self.t
+        out = [F.expr(f"coalesce(signum(({values[i]}) - ({values[j]})), 0.0D)").alias(f"{t}_s{i}_{j}")
+               for i, j in self.pairs]
+        k = sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN 1.0D ELSE 0.0D END" for x in values)
+        tot = sql_tree_sum(f"coalesce(({x}), 0.0D)" for x in values)
+        return out + [F.expr(k).alias(f"{t}_k"), F.expr(tot).alias(f"{t}_tot")]
+
+    def stage2(self, values: list[str]) -> list[Column]:
+        t, n = self.t, self.n
+        s = {p: f"`{t}_s{p[0]}_{p[1]}`" for p in self.pairs}
+        k = f"`{t}_k`"
+        mean = f"(`{t}_tot` / {k})"
+        row_sign = [sql_tree_sum([s[(i, j)] for j in range(i + 1, n)]
+                                 + [f"-{s[(j, i)]}" for j in range(i)]) for i in range(n)]
+        cov = f"{sql_tree_sum(f'{float(i - j)}D * {s[(i, j)]}' for i, j in self.pairs)} / 2.0D"
+        var_r = f"{sql_tree_sum(f'({r}) * ({r})' for r in row_sign)} / 4.0D"
+        var_v = (sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN (({x}) - {mean}) * (({x}) - {mean}) "
+                              f"ELSE 0.0D END" for x in values) + f" / {k}")
+        return [F.expr(k).alias(f"{t}_k2"), F.expr(cov).alias(f"{t}_cov"),
+                F.expr(var_r).alias(f"{t}_vr"), F.expr(var_v).alias(f"{t}_vv")]
+
+    def result_sql(self) -> str:
+        t = self.t
+        k = f"`{t}_k2`"
+        return (f"CASE WHEN {k} >= {int(self.min_rows)} AND sqrt(`{t}_vv`) > {float(self.min_std)!r}D "
+                f"THEN coalesce(nanvl(try_divide(`{t}_cov`, sqrt(({k} * ({k} * {k} - 1.0D) / 12.0D) "
+                f"* `{t}_vr`)), 0.0D), 0.0D) ELSE 0.0D END")
+
+    def result(self) -> Column:
+        return F.expr(self.result_sql())
+
+
 def loo_peer_exact(x: Column, n: Column, s1: Column, s2: Column,
                    s1_d: Column, s2_d: Column) -> tuple[Column, Column]:
     """Leave-one-out mean and sample std of an integer measure among peers.

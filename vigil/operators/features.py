@@ -13,8 +13,8 @@ Plan shape (one measure list, all families):
   before the shuffle instead of landing in one window partition.  The join is
   a broadcast when the key count is under a checked bound, otherwise a
   shuffle join where AQE splits skewed partitions;
-* the trailing rank correlation is a ``collect_list`` over a 7-row frame and
-  array functions — no Python, no join back.
+* the trailing rank correlation reads the 7-row frame as lag columns and
+  ranks them with plain comparisons — compiled code, no Python, no join back.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from vigil.functions.stats import (
     regression_sums,
     loo_peer_exact,
     loo_peer_float,
-    position_rank_correlation,
+    TrailingRankCorrelation,
 )
 from vigil.params import (
     FAMILY_ORDER,
@@ -111,105 +111,129 @@ def _check_families(families) -> list[str]:
 
 # ------------------------------------------------------------------ builder
 
+_RG = ("n", "sx", "sy", "sxy", "sxx", "syy")
+
+
 def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(),
                      families=None) -> DataFrame:
     """Add every enabled family's columns to the activity table.
 
     Row count and input columns are preserved; families are applied in the
     fixed order self_z, robust_z, peer_z, rolling, diff, ramp, spearman.
+
+    The plan is built from a fixed number of projections (each DataFrame
+    operation re-analyses the plan on the driver, so their count matters):
+    peer join → L1 windows → L2 (MAD window, level-1 arithmetic) → L3 → final.
     """
     fams = _check_families(params.families if families is None else families)
     raw = list(params.raw_columns)
     eps = F.lit(params.epsilon)
     base_cols = list(activity.columns)
     dtypes = dict(activity.dtypes)
+    integral = {c: dtypes.get(c) in _INTEGRAL for c in raw}
 
     w_past = past_frame(params.history_rows)
     w_roll = rolling_frame(params.rolling_window)
     w_ramp = trailing_frame(params.ramp_window)
-    w_spear = trailing_frame(params.spearman_window)
     w_lag = user_order()
+    n_sp = int(params.spearman_window)
+    spear = {c: TrailingRankCorrelation(f"{c}_sp", n_sp, SPEARMAN_MIN_ROWS, SPEARMAN_MIN_STD)
+             for c in raw}
 
     def xd(c: str) -> Column:
         return F.col(c).cast("double")
 
-    # ---- level 1: plain user windows (one Window operator)
-    lvl1: list[Column] = []
+    def lag_cols(c: str) -> list[str]:
+        return [f"`_{c}_lag_{j}`" for j in range(n_sp - 1, 0, -1)] + [f"CAST(`{c}` AS DOUBLE)"]
+
+    df = activity
+    # ---- peers: (group, day) aggregate joined back before the user windows
+    if "peer_z" in fams:
+        df, _ = _join_peer_stats(df, raw, dtypes, params)
+
+    # ---- L1: plain user windows (one Window operator, one sort)
+    l1: list[Column] = []
     for c in raw:
         if "self_z" in fams:
-            lvl1 += [F.avg(xd(c)).over(w_past).alias(f"{c}_mean_self"),
-                     F.stddev_samp(xd(c)).over(w_past).alias(f"{c}_std_self")]
+            l1 += [F.avg(xd(c)).over(w_past).alias(f"{c}_mean_self"),
+                   F.stddev_samp(xd(c)).over(w_past).alias(f"{c}_std_self")]
         if "robust_z" in fams:
-            lvl1.append(F.percentile_approx(F.col(c), 0.5).over(w_past).alias(f"{c}_med_self"))
+            l1.append(F.percentile_approx(F.col(c), 0.5).over(w_past).alias(f"{c}_med_self"))
         if "rolling" in fams:
-            lvl1 += [F.max(xd(c)).over(w_roll).alias(f"{c}_roll7_max"),
-                     F.avg(xd(c)).over(w_roll).alias(f"{c}_roll7_mean"),
-                     F.stddev_samp(xd(c)).over(w_roll).alias(f"{c}_roll7_std")]
+            l1 += [F.max(xd(c)).over(w_roll).alias(f"{c}_roll7_max"),
+                   F.avg(xd(c)).over(w_roll).alias(f"{c}_roll7_mean"),
+                   F.stddev_samp(xd(c)).over(w_roll).alias(f"{c}_roll7_std")]
         if "diff" in fams:
-            lvl1.append(F.lag(xd(c), 1).over(w_lag).alias(f"_{c}_lag1"))
+            l1.append(F.lag(xd(c), 1).over(w_lag).alias(f"_{c}_lag1"))
         if "ramp" in fams:
-            if dtypes.get(c) in _INTEGRAL:
-                lvl1 += [e.over(w_ramp).alias(f"_{c}_rg_{k}")
-                         for k, e in regression_sums(F.col(c), F.col("day")).items()]
+            if integral[c]:
+                l1 += [e.over(w_ramp).alias(f"_{c}_rg_{k}")
+                       for k, e in regression_sums(F.col(c), F.col("day")).items()]
             else:
                 day_d = F.col("day").cast("double")
-                lvl1 += [F.regr_slope(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_slope"),
-                         F.regr_r2(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_r2")]
+                l1 += [F.regr_slope(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_slope"),
+                       F.regr_r2(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_r2")]
         if "spearman" in fams:
-            lvl1.append(F.collect_list(xd(c)).over(w_spear).alias(f"_{c}_trail"))
-    df = activity.select(*base_cols, *lvl1) if lvl1 else activity
+            # the trailing frame as lag columns, oldest first
+            l1 += [F.lag(xd(c), j).over(w_lag).alias(f"_{c}_lag_{j}") for j in range(n_sp - 1, 0, -1)]
+    if l1:
+        df = df.select("*", *l1)
 
-    # ---- level 2: window over a level-1 column (robust MAD) + projections
-    lvl2: list[Column] = []
-    drop: list[str] = []
+    # ---- L2: window over a level-1 column (robust MAD) + level-1 arithmetic
+    l2: list[Column] = []
     for c in raw:
         if "self_z" in fams:
-            lvl2.append(((xd(c) - F.col(f"{c}_mean_self")) / (F.col(f"{c}_std_self") + eps))
-                        .alias(f"{c}_z_self"))
+            l2.append(((xd(c) - F.col(f"{c}_mean_self")) / (F.col(f"{c}_std_self") + eps))
+                      .alias(f"{c}_z_self"))
         if "robust_z" in fams:
             # each past row's deviation is taken from that row's own expanding median
             abs_dev = F.abs(xd(c) - F.col(f"{c}_med_self"))
-            mad = (F.lit(params.mad_constant) * F.percentile_approx(abs_dev, 0.5).over(w_past))
-            lvl2.append(mad.alias(f"{c}_mad_self"))
+            l2.append((F.lit(params.mad_constant) * F.percentile_approx(abs_dev, 0.5).over(w_past))
+                      .alias(f"{c}_mad_self"))
+        if "peer_z" in fams:
+            mean, std = _peer_loo(c, integral[c])
+            l2 += [mean.alias(f"{c}_mean_peer_loo"), std.alias(f"{c}_std_peer_loo")]
         if "diff" in fams:
             lag = F.col(f"_{c}_lag1")
-            lvl2 += [(xd(c) - lag).alias(f"{c}_diff1"),
-                     ((xd(c) - lag) / (F.abs(lag) + eps)).alias(f"{c}_pct1")]
-            drop.append(f"_{c}_lag1")
-        if "ramp" in fams and dtypes.get(c) in _INTEGRAL:
-            slope, r2 = regression_from_sums(
-                *[F.col(f"_{c}_rg_{k}") for k in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-            lvl2 += [slope.alias(f"{c}_ramp_slope"), r2.alias(f"{c}_ramp_r2")]
-            drop += [f"_{c}_rg_{k}" for k in ("n", "sx", "sy", "sxy", "sxx", "syy")]
+            l2 += [(xd(c) - lag).alias(f"{c}_diff1"),
+                   ((xd(c) - lag) / (F.abs(lag) + eps)).alias(f"{c}_pct1")]
+        if "ramp" in fams and integral[c]:
+            slope, r2 = regression_from_sums(*[F.col(f"_{c}_rg_{k}") for k in _RG])
+            l2 += [slope.alias(f"{c}_ramp_slope"), r2.alias(f"{c}_ramp_r2")]
         if "spearman" in fams:
-            rho = position_rank_correlation(F.col(f"_{c}_trail"), SPEARMAN_MIN_ROWS,
-                                            SPEARMAN_MIN_STD)
-            lvl2.append(rho.alias(f"{c}_spearman"))
-            drop.append(f"_{c}_trail")
-    if lvl2:
-        df = df.select("*", *lvl2)
-    if "robust_z" in fams:
-        df = df.select("*", *[
-            ((xd(c) - F.col(f"{c}_med_self")) / (F.col(f"{c}_mad_self") + eps)).alias(f"{c}_rz_self")
-            for c in raw])
-    if "ramp" in fams:
-        df = df.select("*", *[
-            F.when(F.col(f"{c}_ramp_slope") > 0, F.col(f"{c}_ramp_r2"))
-            .otherwise(F.lit(0.0)).alias(f"{c}_ramp_signal") for c in raw])
-    if "spearman" in fams:
-        df = df.select("*", *[F.greatest(F.col(f"{c}_spearman"), F.lit(0.0))
-                              .alias(f"{c}_spearman_pos") for c in raw])
-    if drop:
-        df = df.drop(*drop)
-
-    # ---- peers: (group, day) aggregate joined back
-    if "peer_z" in fams:
-        df = _add_peer(df, raw, dtypes, params)
+            l2 += spear[c].stage1(lag_cols(c))
+    if l2:
+        df = df.select("*", *l2)
 
-    out_cols = list(base_cols)
+    # ---- L3: arithmetic on level-2 columns
+    l3: list[Column] = []
+    for c in raw:
+        if "robust_z" in fams:
+            l3.append(((xd(c) - F.col(f"{c}_med_self")) / (F.col(f"{c}_mad_self") + eps))
+                      .alias(f"{c}_rz_self"))
+        if "peer_z" in fams:
+            l3.append(((xd(c) - F.col(f"{c}_mean_peer_loo")) / (F.col(f"{c}_std_peer_loo") + eps))
+                      .alias(f"{c}_z_peer_loo"))
+        if "ramp" in fams:
+            l3.append(F.when(F.col(f"{c}_ramp_slope") > 0, F.col(f"{c}_ramp_r2"))
+                      .otherwise(F.lit(0.0)).alias(f"{c}_ramp_signal"))
+        if "spearman" in fams:
+            l3 += spear[c].stage2(lag_cols(c))
+    if l3:
+        df = df.select("*", *l3)
+
+    # ---- final projection: input columns, then each family's columns
+    final: list[Column] = [F.col(c) for c in base_cols]
     for f in fams:
-        out_cols += family_columns(f, raw)
-    return df.select(*out_cols)
+        for name in family_columns(f, raw):
+            if f == "spearman":
+                c = name[: -len("_spearman_pos")] if name.endswith("_pos") else name[: -len("_spearman")]
+                rho = spear[c].result_sql()
+                final.append(F.expr(f"greatest({rho}, 0.0D)" if name.endswith("_pos") else rho)
+                             .alias(name))
+            else:
+                final.append(F.col(name))
+    return df.select(*final)
 
 
 def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
@@ -230,25 +254,16 @@ def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
     return activity.groupBy("group", "day").agg(*aggs)
 
 
-def _add_peer(df: DataFrame, raw, dtypes, params: FeatureParams) -> DataFrame:
+def _join_peer_stats(df: DataFrame, raw, dtypes, params: FeatureParams):
     stats = peer_statistics(df.select("group", "day", *raw), raw, dtypes)
     stats, _ = bounded_broadcast(stats, params.peer_broadcast_max_keys)
-    joined = df.join(stats, ["group", "day"], "left")
-    eps = F.lit(params.epsilon)
-    cols: list[Column] = []
-    helpers: list[str] = []
-    for c in raw:
-        n = F.col(f"_{c}_n")
-        if dtypes[c] in _INTEGRAL:
-            mean, std = loo_peer_exact(F.col(c), n, F.col(f"_{c}_s1"), F.col(f"_{c}_s2"),
-                                       F.col(f"_{c}_s1d"), F.col(f"_{c}_s2d"))
-            helpers += [f"_{c}_n", f"_{c}_s1", f"_{c}_s2", f"_{c}_s1d", f"_{c}_s2d"]
-        else:
-            mean, std = loo_peer_float(F.col(c), n, F.col(f"_{c}_mean"), F.col(f"_{c}_m2"))
-            helpers += [f"_{c}_n", f"_{c}_mean", f"_{c}_m2"]
-        cols += [mean.alias(f"{c}_mean_peer_loo"), std.alias(f"{c}_std_peer_loo")]
-    joined = joined.select("*", *cols)
-    joined = joined.select("*", *[
-        ((F.col(c).cast("double") - F.col(f"{c}_mean_peer_loo"))
-         / (F.col(f"{c}_std_peer_loo") + eps)).alias(f"{c}_z_peer_loo") for c in raw])
-    return joined.drop(*helpers)
+    helpers = [c for c in stats.columns if c not in ("group", "day")]
+    return df.join(stats, ["group", "day"], "left"), helpers
+
+
+def _peer_loo(c: str, integral: bool) -> tuple[Column, Column]:
+    n = F.col(f"_{c}_n")
+    if integral:
+        return loo_peer_exact(F.col(c), n, F.col(f"_{c}_s1"), F.col(f"_{c}_s2"),
+                              F.col(f"_{c}_s1d"), F.col(f"_{c}_s2d"))
+    return loo_peer_float(F.col(c), n, F.col(f"_{c}_mean"), F.col(f"_{c}_m2"))

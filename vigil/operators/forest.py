@@ -27,7 +27,6 @@ Spark plan:
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -83,11 +82,11 @@ def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFra
     T = int(params.n_trees)
     if rate * T >= 1.0:
         # each row is expected in one or more trees: one hash per (seed, tree, row)
-        trees = F.sequence(F.lit(0), F.lit(T - 1))
+        # explode then filter: the filter is a plain, code-generated predicate
+        out = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("tree"))
         if rate < 1.0:
-            trees = F.filter(trees, lambda t: _hash_fraction(
-                F.col("seed"), t, F.col("user_id"), F.col("day")) < F.lit(rate))
-        out = base.select("*", F.explode(trees).alias("tree"))
+            out = out.where(_hash_fraction(F.col("seed"), F.col("tree"), F.col("user_id"),
+                                           F.col("day")) < F.lit(rate))
         return out.withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day"))
     # far more rows than trees x psi: one hash per (seed, row) picks at most one tree
     u = _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day"))
@@ -97,69 +96,139 @@ def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFra
             .drop("_u"))
 
 
-def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
-    """Grow one isolation tree; returns node arrays (pre-order ids)."""
-    feature, threshold, left, right, depth, size = [], [], [], [], [], []
-
-    def new_node(d, n):
-        feature.append(-1); threshold.append(0.0); left.append(-1); right.append(-1)
-        depth.append(d); size.append(n)
-        return len(feature) - 1
-
-    root = new_node(0, X.shape[0])
-    stack = [(root, np.arange(X.shape[0]))]
-    d_feat = X.shape[1]
-    while stack:
-        node, idx = stack.pop()
-        d = depth[node]
-        if d >= max_depth or idx.size <= 1 or d_feat == 0:
-            continue
-        sub = X[idx]
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            continue
-        f = int(usable[rng.integers(usable.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        if thr >= hi[f]:
-            thr = float(lo[f])
-        go_left = sub[:, f] <= thr
-        li, ri = idx[go_left], idx[~go_left]
-        feature[node], threshold[node] = f, thr
-        ln = new_node(d + 1, li.size)
-        rn = new_node(d + 1, ri.size)
-        left[node], right[node] = ln, rn
-        stack.append((rn, ri))
-        stack.append((ln, li))
-    size_a = np.asarray(size)
-    path = np.asarray(depth, dtype=float) + path_adjustment(size_a)
-    return (np.asarray(feature), np.asarray(threshold), np.asarray(left), np.asarray(right),
-            np.asarray(depth), size_a, path)
-
-
-def tree_seed(seed: int, tree: int, config: str) -> list[int]:
-    """Per-tree random stream from (seed, tree, feature set) — never task order."""
-    return [int(seed), int(tree), zlib.crc32(config.encode("utf-8"))]
+def grow_trees(X: np.ndarray, feature_sets: list[np.ndarray], rng: np.random.Generator,
+               max_depth: int) -> list[dict]:
+    """Grow one isolation tree per feature set on the same sample, level-wise.
+
+    ``X`` is the sample (psi x U union columns); ``feature_sets[c]`` holds the
+    column indexes set c may split on.  All trees grow together, one depth
+    level per iteration: per-node minima and maxima come from segment
+    reductions, each splitting node draws a uniform feature among its
+    non-constant allowed ones and a uniform threshold in [min, max); rows go
+    left when ``x <= threshold``.  Returns per set the node arrays, numbered
+    breadth-first from the root (node 0).
+    """
+    psi, U = X.shape
+    C = len(feature_sets)
+    allowed = np.zeros((C, U), dtype=bool)
+    for c, cols in enumerate(feature_sets):
+        allowed[c, cols] = True
+    # node table across sets (global ids); rows are replicated per set
+    n_cfg, n_depth, n_size = [np.arange(C)], [np.zeros(C, int)], [np.full(C, psi)]
+    feat_l, thr_l, left_l, right_l = [], [], [], []
+    row_x = np.tile(np.arange(psi), C)             # sample row of each replicated row
+    row_node = np.repeat(np.arange(C), psi)        # current node of each replicated row
+    level_ids = np.arange(C)
+    next_id = C
+    for depth in range(max_depth + 1):
+        n_lvl = level_ids.size
+        feat = np.full(n_lvl, -1)
+        thr = np.zeros(n_lvl)
+        left = np.full(n_lvl, -1)
+        right = np.full(n_lvl, -1)
+        sizes = n_size[-1]
+        cand = (sizes >= 2) & (depth < max_depth)
+        if cand.any():
+            local = row_node - level_ids[0]           # level ids are contiguous
+            live = cand[local]
+            r_local, r_x = local[live], row_x[live]
+            order = np.argsort(r_local, kind="stable")
+            r_local, r_x = r_local[order], r_x[order]
+            starts = np.flatnonzero(np.r_[True, r_local[1:] != r_local[:-1]])
+            nodes = r_local[starts]
+            vals = X[r_x]
+            lo = np.minimum.reduceat(vals, starts, axis=0)
+            hi = np.maximum.reduceat(vals, starts, axis=0)
+            usable = (hi > lo) & allowed[n_cfg[-1][nodes]]
+            draw = rng.random(usable.shape)
+            draw[~usable] = -1.0
+            f = draw.argmax(axis=1)
+            split = usable.any(axis=1)
+            k = np.arange(nodes.size)
+            lo_f, hi_f = lo[k, f], hi[k, f]
+            t = lo_f + rng.random(nodes.size) * (hi_f - lo_f)
+            t = np.where(t >= hi_f, lo_f, t)
+            sn = nodes[split]
+            feat[sn], thr[sn] = f[split], t[split]
+            m = sn.size
+            left[sn] = next_id + 2 * np.arange(m)
+            right[sn] = left[sn] + 1
+            # route the rows of split nodes; rows of leaves are dropped
+            ln = local
+            is_split = np.zeros(n_lvl, dtype=bool)
+            is_split[sn] = True
+            moving = is_split[ln]
+            xv = X[row_x[moving], feat[ln[moving]]]
+            go_left = xv <= thr[ln[moving]]
+            new_node = np.where(go_left, left[ln[moving]], right[ln[moving]])
+            child_sizes = np.bincount(new_node - next_id, minlength=2 * m)
+            row_x, row_node = row_x[moving], new_node
+            feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
+            if m == 0:
+                break
+            child_ids = next_id + np.arange(2 * m)
+            n_cfg.append(np.repeat(n_cfg[-1][sn], 2))
+            n_depth.append(np.full(2 * m, depth + 1))
+            n_size.append(child_sizes)
+            level_ids = child_ids
+            next_id += 2 * m
+        else:
+            feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
+            break
+    cfg_all = np.concatenate(n_cfg)
+    depth_all = np.concatenate(n_depth)
+    size_all = np.concatenate(n_size)
+    total = cfg_all.size
+    feat_all = np.concatenate(feat_l)[:total]
+    thr_all = np.concatenate(thr_l)[:total]
+    left_all = np.concatenate(left_l)[:total]
+    right_all = np.concatenate(right_l)[:total]
+    path_all = depth_all + path_adjustment(size_all)
+    out = []
+    for c in range(C):
+        ids = np.flatnonzero(cfg_all == c)            # breadth-first, root first
+        remap = np.full(total, -1)
+        remap[ids] = np.arange(ids.size)
+        fl = feat_all[ids]
+        inner = fl >= 0
+        col_pos = {int(u): i for i, u in enumerate(feature_sets[c])}
+        out.append(dict(
+            feature=np.array([col_pos[int(u)] if u >= 0 else -1 for u in fl], dtype=np.int32),
+            threshold=thr_all[ids],
+            left=np.where(inner, remap[np.maximum(left_all[ids], 0)], -1).astype(np.int32),
+            right=np.where(inner, remap[np.maximum(right_all[ids], 0)], -1).astype(np.int32),
+            depth=depth_all[ids].astype(np.int32), size=size_all[ids].astype(np.int32),
+            path=path_all[ids]))
+    return out
+
+
+def tree_seed(seed: int, tree: int) -> list[int]:
+    """Random stream of one (seed, tree) group — never from task order."""
+    return [int(seed), int(tree), 0x1F0E57]
 
 
 def make_tree_builder(config_columns: dict[str, list[str]], psi: int):
-    """The grouped-map function: rows of one (seed, tree) → node rows."""
+    """The grouped-map function: rows of one (seed, tree) → node rows of
+    every feature set's tree."""
     max_depth = max_depth_for(psi)
+    union = sorted({c for cols in config_columns.values() for c in cols})
+    pos = {c: i for i, c in enumerate(union)}
+    names = list(config_columns)
+    sets = [np.array([pos[c] for c in config_columns[n]]) for n in names]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_h", "user_id", "day"], kind="mergesort").head(psi)
         seed, tree = int(pdf["seed"].iloc[0]), int(pdf["tree"].iloc[0])
+        X = pdf[union].to_numpy(dtype=float)
+        trees = grow_trees(X, sets, np.random.default_rng(tree_seed(seed, tree)), max_depth)
         parts = []
-        for config, cols in config_columns.items():
-            X = pdf[cols].to_numpy(dtype=float)
-            rng = np.random.default_rng(tree_seed(seed, tree, config))
-            feat, thr, lft, rgt, dep, siz, pth = _grow(X, rng, max_depth)
+        for name, t in zip(names, trees):
+            n = t["feature"].size
             parts.append(pd.DataFrame({
-                "config": config, "seed": seed, "tree": tree,
-                "node": np.arange(feat.size, dtype=np.int32),
-                "feature": feat.astype(np.int32), "threshold": thr,
-                "left": lft.astype(np.int32), "right": rgt.astype(np.int32),
-                "depth": dep.astype(np.int32), "size": siz.astype(np.int32), "path": pth}))
+                "config": name, "seed": seed, "tree": tree,
+                "node": np.arange(n, dtype=np.int32), "feature": t["feature"],
+                "threshold": t["threshold"], "left": t["left"], "right": t["right"],
+                "depth": t["depth"], "size": t["size"], "path": t["path"]}))
         return pd.concat(parts, ignore_index=True)
 
     return build
