@@ -16,9 +16,10 @@ Spark plan:
   tree builder keeps the psi smallest hashes.  No row order, partitioning or
   task id enters the draw, so the sample is the same on any cluster.  It does
   not depend on the feature set, so one sample per seed serves every set.
-* **fit** — ``groupBy(seed, tree).applyInPandas``: each group holds about
-  oversample x psi rows (bounded by the parameters, not by the data) and
-  emits node rows for every feature set.  The model *is* a table.
+* **fit** — ``groupBy(seed, tree block).applyInPandas``: each group holds
+  about block x oversample x psi rows (bounded by the parameters, not by the
+  data) and grows every tree of the block for every feature set in one
+  vectorised, level-wise pass.  The model *is* a table.
 * **score** — the node table is bounded by sets x seeds x trees x (2 psi - 1)
   rows; it is checked against that bound, shipped once as a broadcast
   variable and applied in Arrow batches by ``mapInPandas``.
@@ -73,63 +74,80 @@ def prepare_matrix(features: DataFrame, columns: list[str],
 
 # --------------------------------------------------------------------- E5
 
-def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFrame:
-    """Rows of every (seed, tree), with the hash ``_h`` that orders them."""
+def sample_keys(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFrame:
+    """(seed, tree, user_id, day, _h) of every row drawn for every tree.
+
+    Only key columns are generated: about ``oversample`` x psi rows per
+    (seed, tree) survive the hash pre-filter, so the result is bounded by
+    seeds x trees x oversample x psi whatever the data size.
+    """
     psi = min(params.max_samples, n_rows)
     rate = params.oversample * psi / max(n_rows, 1)
-    seeds = F.explode(F.array(*[F.lit(int(s)) for s in params.seeds])).alias("seed")
-    base = matrix.select("*", seeds)
     T = int(params.n_trees)
+    seeds = F.explode(F.array(*[F.lit(int(s)) for s in params.seeds])).alias("seed")
+    keys = matrix.select("user_id", "day", seeds)
     if rate * T >= 1.0:
-        # each row is expected in one or more trees: one hash per (seed, tree, row)
-        # explode then filter: the filter is a plain, code-generated predicate
-        out = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("tree"))
+        # each row is expected in one or more trees: one hash per (seed, tree, row);
+        # explode then filter keeps the predicate in generated code
+        out = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("tree"))
         if rate < 1.0:
             out = out.where(_hash_fraction(F.col("seed"), F.col("tree"), F.col("user_id"),
                                            F.col("day")) < F.lit(rate))
-        return out.withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day"))
-    # far more rows than trees x psi: one hash per (seed, row) picks at most one tree
-    u = _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day"))
-    return (base.withColumn("_u", u).where(F.col("_u") < F.lit(rate * T))
-            .withColumn("tree", F.floor(F.col("_u") / F.lit(rate)).cast("int"))
-            .withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day"))
-            .drop("_u"))
-
-
-def grow_trees(X: np.ndarray, feature_sets: list[np.ndarray], rng: np.random.Generator,
-               max_depth: int) -> list[dict]:
-    """Grow one isolation tree per feature set on the same sample, level-wise.
-
-    ``X`` is the sample (psi x U union columns); ``feature_sets[c]`` holds the
-    column indexes set c may split on.  All trees grow together, one depth
-    level per iteration: per-node minima and maxima come from segment
-    reductions, each splitting node draws a uniform feature among its
-    non-constant allowed ones and a uniform threshold in [min, max); rows go
-    left when ``x <= threshold``.  Returns per set the node arrays, numbered
-    breadth-first from the root (node 0).
+    else:
+        # far more rows than trees x psi: one hash per (seed, row) picks at most one tree
+        u = _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day"))
+        out = (keys.withColumn("_u", u).where(F.col("_u") < F.lit(rate * T))
+               .withColumn("tree", F.floor(F.col("_u") / F.lit(rate)).cast("int")).drop("_u"))
+    return out.withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day"))
+
+
+def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams,
+                max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """Rows of every (seed, tree) with their feature columns and order hash.
+
+    The key sample is bounded by the parameters; it is broadcast to the
+    matrix scan when that bound is under ``max_broadcast_rows``.
     """
-    psi, U = X.shape
-    C = len(feature_sets)
-    allowed = np.zeros((C, U), dtype=bool)
-    for c, cols in enumerate(feature_sets):
-        allowed[c, cols] = True
-    # node table across sets (global ids); rows are replicated per set
-    n_cfg, n_depth, n_size = [np.arange(C)], [np.zeros(C, int)], [np.full(C, psi)]
+    keys = sample_keys(matrix, n_rows, params)
+    psi = min(params.max_samples, n_rows)
+    bound = len(params.seeds) * params.n_trees * max(params.oversample * psi, psi) * 1.5
+    keys = F.broadcast(keys) if bound <= max_broadcast_rows else keys
+    return matrix.join(keys, ["user_id", "day"])
+
+
+def grow_trees(X: np.ndarray, root_rows: list[np.ndarray], root_allowed: np.ndarray,
+               rng: np.random.Generator, max_depth: int) -> dict:
+    """Grow many isolation trees at once, level-wise.
+
+    ``X`` holds sample rows (R x U columns); tree r grows on the rows
+    ``root_rows[r]`` and may split on the columns where ``root_allowed[r]``
+    is true.  All trees grow together, one depth level per iteration:
+    per-node minima and maxima come from segment reductions, each splitting
+    node draws a uniform feature among its non-constant allowed ones and a
+    uniform threshold in [min, max); rows go left when ``x <= threshold``.
+
+    Returns flat node arrays (``root``, ``node`` numbered breadth-first per
+    tree from 0, ``feature`` as a column index of X or -1 for a leaf,
+    ``threshold``, ``left``/``right`` local ids, ``depth``, ``size``,
+    ``path`` = depth + c(size)).
+    """
+    n_roots = len(root_rows)
+    sizes0 = np.array([r.size for r in root_rows])
+    n_root, n_depth, n_size = [np.arange(n_roots)], [np.zeros(n_roots, int)], [sizes0]
     feat_l, thr_l, left_l, right_l = [], [], [], []
-    row_x = np.tile(np.arange(psi), C)             # sample row of each replicated row
-    row_node = np.repeat(np.arange(C), psi)        # current node of each replicated row
-    level_ids = np.arange(C)
-    next_id = C
+    row_x = np.concatenate(root_rows) if n_roots else np.zeros(0, int)
+    row_node = np.repeat(np.arange(n_roots), sizes0)
+    first_id, next_id = 0, n_roots
     for depth in range(max_depth + 1):
-        n_lvl = level_ids.size
+        n_lvl = n_size[-1].size
         feat = np.full(n_lvl, -1)
         thr = np.zeros(n_lvl)
         left = np.full(n_lvl, -1)
         right = np.full(n_lvl, -1)
-        sizes = n_size[-1]
-        cand = (sizes >= 2) & (depth < max_depth)
+        cand = (n_size[-1] >= 2) & (depth < max_depth)
+        m = 0
         if cand.any():
-            local = row_node - level_ids[0]           # level ids are contiguous
+            local = row_node - first_id                  # ids of a level are contiguous
             live = cand[local]
             r_local, r_x = local[live], row_x[live]
             order = np.argsort(r_local, kind="stable")
@@ -139,7 +157,7 @@ def grow_trees(X: np.ndarray, feature_sets: list[np.ndarray], rng: np.random.Gen
             vals = X[r_x]
             lo = np.minimum.reduceat(vals, starts, axis=0)
             hi = np.maximum.reduceat(vals, starts, axis=0)
-            usable = (hi > lo) & allowed[n_cfg[-1][nodes]]
+            usable = (hi > lo) & root_allowed[n_root[-1][nodes]]
             draw = rng.random(usable.shape)
             draw[~usable] = -1.0
             f = draw.argmax(axis=1)
@@ -149,87 +167,91 @@ def grow_trees(X: np.ndarray, feature_sets: list[np.ndarray], rng: np.random.Gen
             t = lo_f + rng.random(nodes.size) * (hi_f - lo_f)
             t = np.where(t >= hi_f, lo_f, t)
             sn = nodes[split]
-            feat[sn], thr[sn] = f[split], t[split]
             m = sn.size
+            feat[sn], thr[sn] = f[split], t[split]
             left[sn] = next_id + 2 * np.arange(m)
             right[sn] = left[sn] + 1
-            # route the rows of split nodes; rows of leaves are dropped
-            ln = local
+            # route the rows of split nodes; rows that reached a leaf are dropped
             is_split = np.zeros(n_lvl, dtype=bool)
             is_split[sn] = True
-            moving = is_split[ln]
-            xv = X[row_x[moving], feat[ln[moving]]]
-            go_left = xv <= thr[ln[moving]]
-            new_node = np.where(go_left, left[ln[moving]], right[ln[moving]])
-            child_sizes = np.bincount(new_node - next_id, minlength=2 * m)
-            row_x, row_node = row_x[moving], new_node
-            feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
-            if m == 0:
-                break
-            child_ids = next_id + np.arange(2 * m)
-            n_cfg.append(np.repeat(n_cfg[-1][sn], 2))
-            n_depth.append(np.full(2 * m, depth + 1))
-            n_size.append(child_sizes)
-            level_ids = child_ids
-            next_id += 2 * m
-        else:
-            feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
+            moving = is_split[local]
+            lm = local[moving]
+            go_left = X[row_x[moving], feat[lm]] <= thr[lm]
+            row_x, row_node = row_x[moving], np.where(go_left, left[lm], right[lm])
+        feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
+        if m == 0:
             break
-    cfg_all = np.concatenate(n_cfg)
+        n_root.append(np.repeat(n_root[-1][sn], 2))
+        n_depth.append(np.full(2 * m, depth + 1))
+        n_size.append(np.bincount(row_node - next_id, minlength=2 * m))
+        first_id, next_id = next_id, next_id + 2 * m
+    root_all = np.concatenate(n_root)
     depth_all = np.concatenate(n_depth)
     size_all = np.concatenate(n_size)
-    total = cfg_all.size
-    feat_all = np.concatenate(feat_l)[:total]
-    thr_all = np.concatenate(thr_l)[:total]
-    left_all = np.concatenate(left_l)[:total]
-    right_all = np.concatenate(right_l)[:total]
-    path_all = depth_all + path_adjustment(size_all)
-    out = []
-    for c in range(C):
-        ids = np.flatnonzero(cfg_all == c)            # breadth-first, root first
-        remap = np.full(total, -1)
-        remap[ids] = np.arange(ids.size)
-        fl = feat_all[ids]
-        inner = fl >= 0
-        col_pos = {int(u): i for i, u in enumerate(feature_sets[c])}
-        out.append(dict(
-            feature=np.array([col_pos[int(u)] if u >= 0 else -1 for u in fl], dtype=np.int32),
-            threshold=thr_all[ids],
-            left=np.where(inner, remap[np.maximum(left_all[ids], 0)], -1).astype(np.int32),
-            right=np.where(inner, remap[np.maximum(right_all[ids], 0)], -1).astype(np.int32),
-            depth=depth_all[ids].astype(np.int32), size=size_all[ids].astype(np.int32),
-            path=path_all[ids]))
-    return out
-
-
-def tree_seed(seed: int, tree: int) -> list[int]:
-    """Random stream of one (seed, tree) group — never from task order."""
-    return [int(seed), int(tree), 0x1F0E57]
+    feat_all = np.concatenate(feat_l)
+    thr_all = np.concatenate(thr_l)
+    left_all = np.concatenate(left_l)
+    right_all = np.concatenate(right_l)
+    # renumber breadth-first per tree: a stable sort by root keeps level order
+    order = np.argsort(root_all, kind="stable")
+    counts = np.bincount(root_all, minlength=n_roots)
+    starts = np.r_[0, np.cumsum(counts)[:-1]]
+    local = np.empty(root_all.size, dtype=np.int64)
+    local[order] = np.arange(root_all.size) - np.repeat(starts, counts)
+    inner = feat_all >= 0
+    lft = np.where(inner, local[np.maximum(left_all, 0)], -1)
+    rgt = np.where(inner, local[np.maximum(right_all, 0)], -1)
+    return dict(root=root_all[order], node=local[order], feature=feat_all[order],
+                threshold=thr_all[order], left=lft[order], right=rgt[order],
+                depth=depth_all[order], size=size_all[order],
+                path=(depth_all + path_adjustment(size_all))[order])
+
+
+def tree_seed(seed: int, block: int) -> list[int]:
+    """Random stream of one (seed, tree block) group — never from task order."""
+    return [int(seed), int(block), 0x1F0E57]
 
 
 def make_tree_builder(config_columns: dict[str, list[str]], psi: int):
-    """The grouped-map function: rows of one (seed, tree) → node rows of
-    every feature set's tree."""
+    """Grouped-map function: sample rows of one (seed, tree block) → node
+    rows of every tree of the block for every feature set."""
     max_depth = max_depth_for(psi)
     union = sorted({c for cols in config_columns.values() for c in cols})
     pos = {c: i for i, c in enumerate(union)}
     names = list(config_columns)
-    sets = [np.array([pos[c] for c in config_columns[n]]) for n in names]
+    allowed = np.zeros((len(names), len(union)), dtype=bool)
+    lut = np.full((len(names), len(union)), -1)
+    for i, n in enumerate(names):
+        idx = [pos[c] for c in config_columns[n]]
+        allowed[i, idx] = True
+        lut[i, idx] = np.arange(len(idx))     # union column → position in the set
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "user_id", "day"], kind="mergesort").head(psi)
-        seed, tree = int(pdf["seed"].iloc[0]), int(pdf["tree"].iloc[0])
+        pdf = pdf.sort_values(["tree", "_h", "user_id", "day"], kind="mergesort")
+        pdf = pdf.groupby("tree", sort=True).head(psi)          # psi smallest hashes per tree
+        seed, block = int(pdf["seed"].iloc[0]), int(pdf["_block"].iloc[0])
         X = pdf[union].to_numpy(dtype=float)
-        trees = grow_trees(X, sets, np.random.default_rng(tree_seed(seed, tree)), max_depth)
-        parts = []
-        for name, t in zip(names, trees):
-            n = t["feature"].size
-            parts.append(pd.DataFrame({
-                "config": name, "seed": seed, "tree": tree,
-                "node": np.arange(n, dtype=np.int32), "feature": t["feature"],
-                "threshold": t["threshold"], "left": t["left"], "right": t["right"],
-                "depth": t["depth"], "size": t["size"], "path": t["path"]}))
-        return pd.concat(parts, ignore_index=True)
+        trees = pdf["tree"].to_numpy()
+        tree_ids, starts = np.unique(trees, return_index=True)
+        ends = np.r_[starts[1:], trees.size]
+        root_rows, root_allowed, root_tree, root_cfg = [], [], [], []
+        for t, a, b in zip(tree_ids, starts, ends):
+            for c in range(len(names)):
+                root_rows.append(np.arange(a, b))
+                root_tree.append(t)
+                root_cfg.append(c)
+        root_tree, root_cfg = np.array(root_tree), np.array(root_cfg)
+        g = grow_trees(X, root_rows, allowed[root_cfg], np.random.default_rng(tree_seed(seed, block)),
+                       max_depth)
+        cfg = root_cfg[g["root"]]
+        feat = np.where(g["feature"] >= 0, lut[cfg, np.maximum(g["feature"], 0)], -1)
+        return pd.DataFrame({
+            "config": np.array(names, dtype=object)[cfg], "seed": np.int32(seed),
+            "tree": root_tree[g["root"]].astype(np.int32), "node": g["node"].astype(np.int32),
+            "feature": feat.astype(np.int32), "threshold": g["threshold"],
+            "left": g["left"].astype(np.int32), "right": g["right"].astype(np.int32),
+            "depth": g["depth"].astype(np.int32), "size": g["size"].astype(np.int32),
+            "path": g["path"]})
 
     return build
 
@@ -241,7 +263,10 @@ def fit_forests(matrix: DataFrame, config_columns: dict[str, list[str]],
     psi = min(params.max_samples, n_rows)
     all_cols = sorted({c for cols in config_columns.values() for c in cols})
     sample = sample_rows(matrix.select("user_id", "day", *all_cols), n_rows, params)
-    return (sample.groupBy("seed", "tree")
+    # trees are grown in blocks: one Python call per (seed, block) amortises
+    # the per-call overhead; a group holds block x oversample x psi rows
+    block = F.floor(F.col("tree") / F.lit(int(params.trees_per_block))).cast("int")
+    return (sample.withColumn("_block", block).groupBy("seed", "_block")
             .applyInPandas(make_tree_builder(config_columns, psi), NODE_SCHEMA))
 
 

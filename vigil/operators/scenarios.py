@@ -98,7 +98,8 @@ def victim_plan(users: DataFrame, scenarios: DataFrame) -> list[dict]:
         n_days = (len(set(r["days_offset"] or [])) if r["name"] == "subtle_exfil"
                   else max(int(r["duration_days"] or 0), 0))
         plan.append(dict(ordinal=r["ordinal"], attack_type=r["name"], n=int(r["n"]),
-                         group_users=int(r["group_users"]), n_days=n_days))
+                         target_group=r["target_group"], group_users=int(r["group_users"]),
+                         n_days=n_days))
     return plan
 
 
@@ -137,15 +138,31 @@ def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
             .select("ordinal", "attack_type", "user_id", "_key"))
     pool = materialize(pool)
 
-    picked = None
+    # Exclusion only matters between attacks on the same group, so attacks are
+    # drawn in rounds: round r holds the r-th attack of every group, and each
+    # round excludes the users picked in earlier rounds.
+    rounds: dict[int, list[dict]] = {}
+    seen: dict[str, int] = {}
     for p in plan:
-        mine = pool.where(F.col("ordinal") == p["ordinal"])
+        g = p["target_group"]
+        rounds.setdefault(seen.get(g, 0), []).append(p)
+        seen[g] = seen.get(g, 0) + 1
+    spark = users.sparkSession
+    picked = None
+    for r in sorted(rounds):
+        attacks = rounds[r]
+        n_tbl = spark.createDataFrame([(p["ordinal"], p["n"]) for p in attacks], "ordinal int, _n int")
+        mine = pool.join(F.broadcast(n_tbl), "ordinal")
         if picked is not None:
             mine = mine.join(picked.select("user_id"), "user_id", "left_anti")
+        top = max(p["n"] for p in attacks)
         mine = (mine.withColumn("_rn", F.row_number().over(
             Window.partitionBy("ordinal").orderBy("_key", "user_id")))
-            .where(F.col("_rn") <= F.lit(p["n"])).select("ordinal", "attack_type", "user_id"))
+            .where(F.col("_rn") <= F.lit(top)).where(F.col("_rn") <= F.col("_n"))
+            .select("ordinal", "attack_type", "user_id"))
         picked = mine if picked is None else picked.unionByName(mine)
+        if r + 1 in rounds:
+            picked = materialize(picked)
     victims = materialize(picked)
     if validate:
         got = {r["attack_type"]: r["cnt"] for r in

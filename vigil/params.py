@@ -132,6 +132,8 @@ class ForestParams:
     seeds: tuple = SEEDS
     # Oversampling factor of the hash pre-filter that draws each tree's rows.
     oversample: float = 2.0
+    # Trees grown per Python call of the fit (amortises per-call overhead).
+    trees_per_block: int = 10
 
 
 @dataclass(frozen=True)

@@ -34,6 +34,7 @@ from vigil.params import (
     EvalParams,
     FeatureParams,
 )
+from vigil.session import materialize
 from vigil.sources.activity import activity_from_testdata, user_groups
 
 ROUND = 6
@@ -63,7 +64,10 @@ def _r(c: str) -> Column:
 
 
 def _activity(spark: SparkSession, sf: str) -> DataFrame:
-    return activity_from_testdata(spark, sf, EVENTS_DAY_ZERO)
+    """The user-day table, hash-partitioned by user and checkpointed: later
+    jobs of a query (draws, checks, windows) re-read it instead of
+    re-aggregating the event log."""
+    return materialize(activity_from_testdata(spark, sf, EVENTS_DAY_ZERO).repartition("user_id"))
 
 
 def _attacked(spark: SparkSession, sf: str, scenarios=EVENTS_SCENARIOS):
