@@ -1,6 +1,9 @@
 """The streamed rollup equals the batch rollup over the same events."""
 
 import tempfile
+import time
+
+from pyspark.sql import functions as F
 
 from vigil.sources.activity import read_table, user_day_from_events
 from vigil.streaming.rollup import start_partial_stream, user_day_from_partials
@@ -12,9 +15,13 @@ def test_stream_rollup_matches_batch(spark):
     work = tempfile.mkdtemp(prefix="vigil-stream-")
     src = f"{work}/events"
     events = read_table(spark, SF, "events")
-    # the event log arrives in time order, in three files (events older than
-    # the watermark would be dropped as late, which is the streaming contract)
-    events.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(src)
+    # the event log arrives in time order, in three files written one after
+    # the other (the file source reads oldest first; events older than the
+    # watermark would be dropped as late, which is the streaming contract)
+    for lo, hi in ((0, 10), (10, 20), (20, 31)):
+        part = events.where(F.dayofmonth("ts").between(lo + 1, hi))
+        part.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.2)
     q = start_partial_stream(spark, src, f"{work}/partials", f"{work}/ckpt",
                              max_files_per_trigger=1)
     q.awaitTermination(300)

@@ -35,7 +35,7 @@ from vigil.params import (
     FeatureParams,
 )
 from vigil.session import materialize
-from vigil.sources.activity import activity_from_testdata, user_groups
+from vigil.sources.activity import activity_from_testdata, partition_by_user, user_groups
 
 ROUND = 6
 RAW = list(RAW_COLUMNS)
@@ -67,7 +67,8 @@ def _activity(spark: SparkSession, sf: str) -> DataFrame:
     """The user-day table, hash-partitioned by user and checkpointed: later
     jobs of a query (draws, checks, windows) re-read it instead of
     re-aggregating the event log."""
-    return materialize(activity_from_testdata(spark, sf, EVENTS_DAY_ZERO).repartition("user_id"))
+    return materialize(partition_by_user(activity_from_testdata(spark, sf, EVENTS_DAY_ZERO)),
+                       keep_partitioning=True)
 
 
 def _attacked(spark: SparkSession, sf: str, scenarios=EVENTS_SCENARIOS):

@@ -22,7 +22,7 @@ from vigil.operators.sweep import run_sweep, summarize
 from vigil.params import AnalysisParams
 from vigil.session import materialize
 from vigil.sources import tables
-from vigil.sources.activity import read_table, user_day_from_events
+from vigil.sources.activity import partition_by_user, read_table, user_day_from_events
 
 
 @dataclass
@@ -38,7 +38,7 @@ def build_features(spark: SparkSession, events: DataFrame, customers: DataFrame,
                    params: AnalysisParams = AnalysisParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stages A2 → B → D: returns (overlaid activity, victims, features)."""
     activity = user_day_from_events(events, customers, params.day_zero)
-    activity = materialize(activity.repartition("user_id"))
+    activity = materialize(partition_by_user(activity), keep_partitioning=True)
     scenarios = scenario_table(spark, params.scenarios)
     attacked, victims = plant(activity, scenarios, params.scenario_seed,
                               params.evaluation.test_window_start)

@@ -26,16 +26,30 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
 
     A checkpointed table survives executor loss (it is re-read from the
-    shared folder, not recomputed) and keeps its physical partitioning, so a
-    table hash-partitioned by ``user_id`` stays co-located for the window
-    features that follow.
+    shared folder, not recomputed).  With ``keep_partitioning`` the
+    checkpoint also records the plan's hash partitioning (e.g. by
+    ``user_id``), so later per-user windows and joins reuse it without an
+    exchange; adaptive execution is paused for that one job because an
+    adaptive plan does not report its final partitioning up front.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:

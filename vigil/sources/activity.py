@@ -86,3 +86,15 @@ def activity_from_testdata(spark: SparkSession, sf_dir: str,
 def user_groups(activity: DataFrame) -> DataFrame:
     """A3: the user → group dimension (one group per user)."""
     return activity.select("user_id", "group").distinct()
+
+
+def partition_by_user(activity: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """Hash-partition by ``user_id`` with an explicit partition count.
+
+    An explicit count is not coalesced by adaptive execution, so a checkpoint
+    of the result keeps advertising ``hashpartitioning(user_id, n)`` and the
+    per-user windows that follow need no further exchange.  Default: the
+    session's ``spark.sql.shuffle.partitions``.
+    """
+    n = num_partitions or int(activity.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return activity.repartition(n, "user_id")
