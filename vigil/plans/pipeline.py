@@ -15,14 +15,19 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigil.operators.checks import validate
+from vigil.operators.checks import check_target_groups, validate
 from vigil.operators.features import compute_features
 from vigil.operators.scenarios import plant, scenario_table
 from vigil.operators.sweep import run_sweep, summarize
 from vigil.params import AnalysisParams
 from vigil.session import materialize
 from vigil.sources import tables
-from vigil.sources.activity import partition_by_user, read_table, user_day_from_events
+from vigil.sources.activity import (
+    partition_by_user,
+    read_table,
+    user_day_from_events,
+    user_groups,
+)
 
 
 @dataclass
@@ -40,6 +45,7 @@ def build_features(spark: SparkSession, events: DataFrame, customers: DataFrame,
     activity = user_day_from_events(events, customers, params.day_zero)
     activity = materialize(partition_by_user(activity), keep_partitioning=True)
     scenarios = scenario_table(spark, params.scenarios)
+    check_target_groups(scenarios, user_groups(activity))
     attacked, victims = plant(activity, scenarios, params.scenario_seed,
                               params.evaluation.test_window_start)
     features = materialize(compute_features(attacked, params.features))
