@@ -41,7 +41,7 @@ def unknown_target_groups(scenarios: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def check_target_groups(scenarios: DataFrame, users: DataFrame) -> None:
-    bad = unknown_target_groups(scenarios, users).limit(1).collect()
+    bad = unknown_target_groups(scenarios, users).collect()      # parameter-sized
     if bad:
         raise ValueError(f"Attack {bad[0]['name']!r} targets unknown group "
                          f"{bad[0]['target_group']!r}")

@@ -275,20 +275,21 @@ def fit_forests(matrix: DataFrame, config_columns: dict[str, list[str]],
 class PackedForest:
     """One forest's trees as flat arrays with global node ids."""
 
-    def __init__(self, nodes: pd.DataFrame, columns: list[str], psi: int):
-        nodes = nodes.sort_values(["tree", "node"], kind="mergesort")
-        trees = nodes["tree"].to_numpy()
-        _, first = np.unique(trees, return_index=True)
-        offsets = np.repeat(first, np.diff(np.append(first, len(trees))))
+    def __init__(self, columns: list[str], psi: int, tree: np.ndarray, node: np.ndarray,
+                 feature: np.ndarray, threshold: np.ndarray, left: np.ndarray,
+                 right: np.ndarray, depth: np.ndarray, path: np.ndarray):
+        # rows sorted by (tree, node); node ids restart at 0 in every tree
+        first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
+        offsets = np.repeat(first, np.diff(np.r_[first, tree.size]))
         self.columns = columns
-        self.feature = nodes["feature"].to_numpy(np.int64)
-        self.threshold = nodes["threshold"].to_numpy(float)
+        self.feature = feature.astype(np.int64)
+        self.threshold = threshold.astype(float)
         internal = self.feature >= 0
-        self.left = np.where(internal, nodes["left"].to_numpy(np.int64) + offsets, -1)
-        self.right = np.where(internal, nodes["right"].to_numpy(np.int64) + offsets, -1)
-        self.path = nodes["path"].to_numpy(float)
+        self.left = np.where(internal, left + offsets, -1)
+        self.right = np.where(internal, right + offsets, -1)
+        self.path = path.astype(float)
         self.roots = first.astype(np.int64)
-        self.depth = int(nodes["depth"].max()) if len(nodes) else 0
+        self.depth = int(depth.max()) if depth.size else 0
         self.norm = float(path_adjustment(np.array([psi]))[0]) or 1.0
 
     def score(self, X: np.ndarray) -> np.ndarray:
@@ -311,12 +312,20 @@ def pack_forests(nodes: DataFrame, config_columns: dict[str, list[str]], psi: in
                  params: ForestParams) -> dict:
     """Collect the node table (bounded by the parameters) into packed forests."""
     bound = len(config_columns) * len(params.seeds) * params.n_trees * (2 * psi - 1)
-    pdf = nodes.toPandas()
+    pdf = nodes.select("config", "seed", "tree", "node", "feature", "threshold", "left",
+                       "right", "depth", "path").toPandas()
     if len(pdf) > bound:
         raise RuntimeError(f"node table has {len(pdf)} rows, above its bound {bound}")
+    pdf = pdf.sort_values(["config", "seed", "tree", "node"], kind="mergesort")
+    cfg = pdf["config"].to_numpy()
+    seed = pdf["seed"].to_numpy()
+    cut = np.flatnonzero(np.r_[True, (cfg[1:] != cfg[:-1]) | (seed[1:] != seed[:-1]), True])
+    arrays = {c: pdf[c].to_numpy() for c in
+              ("tree", "node", "feature", "threshold", "left", "right", "depth", "path")}
     packed = {}
-    for (config, seed), grp in pdf.groupby(["config", "seed"], sort=True):
-        packed[(config, int(seed))] = PackedForest(grp, config_columns[config], psi)
+    for a, b in zip(cut[:-1], cut[1:]):
+        sl = {k: v[a:b] for k, v in arrays.items()}
+        packed[(str(cfg[a]), int(seed[a]))] = PackedForest(config_columns[str(cfg[a])], psi, **sl)
     return packed
 
 

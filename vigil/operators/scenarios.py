@@ -68,7 +68,7 @@ def scenario_table(spark: SparkSession, scenarios) -> DataFrame:
 def check_scenario_names(scenarios: DataFrame) -> None:
     """An attack without an overlay rule is an error."""
     known = F.array(*[F.lit(a) for a in KNOWN_ATTACKS])
-    bad = scenarios.where(~F.array_contains(known, F.col("name"))).select("name").limit(1).collect()
+    bad = scenarios.where(~F.array_contains(known, F.col("name"))).select("name").collect()
     if bad:
         raise ValueError(f"No handler for attack type: {bad[0]['name']}")
 
@@ -94,7 +94,7 @@ def victim_plan(users: DataFrame, scenarios: DataFrame) -> list[dict]:
                                  * F.coalesce(F.col("_group_users"), F.lit(0))).cast("int")))
                   .alias("n")))
     plan = []
-    for r in sc.orderBy("ordinal").collect():
+    for r in sorted(sc.collect(), key=lambda r: r["ordinal"]):      # one row per attack
         n_days = (len(set(r["days_offset"] or [])) if r["name"] == "subtle_exfil"
                   else max(int(r["duration_days"] or 0), 0))
         plan.append(dict(ordinal=r["ordinal"], attack_type=r["name"], n=int(r["n"]),
