@@ -1,6 +1,7 @@
 from vigil.functions.stats import (  # noqa: F401
-    average_ranks,
+    TrailingRankCorrelation,
     loo_peer_exact,
     loo_peer_float,
-    position_rank_correlation,
+    regression_from_sums,
+    regression_sums,
 )

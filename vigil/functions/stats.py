@@ -1,68 +1,32 @@
-"""Column expressions used by the feature families.
+"""Expressions used by the feature families, written as Spark SQL text.
 
-All of these are built-in Spark expressions (higher-order array functions,
-decimal arithmetic), so they stay inside whole-stage code generation; no
-Python runs per row.
+Every expression is a built-in Spark expression (comparisons, arithmetic,
+decimal math, window aggregates), so it runs inside whole-stage generated
+code with no Python per row.  They are produced as SQL text because a
+DataFrame projection given as text costs one JVM call, while the same
+expression assembled from ``Column`` objects costs one call per node — with
+~80 feature columns that difference is seconds of driver time per plan.
+
+Helpers take and return SQL fragments; ``q`` quotes a column name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-DEC = "decimal(38,0)"
-
+DEC = "DECIMAL(38,0)"
 
-def average_ranks(arr: Column) -> Column:
-    """1-based ranks of the elements of ``arr``; tied values share the mean rank."""
-    return F.transform(
-        arr,
-        lambda x: F.size(F.filter(arr, lambda y: y < x))
-        + (F.size(F.filter(arr, lambda y: y == x)) + 1) / 2.0,
-    )
 
+def q(name: str) -> str:
+    """A quoted column reference."""
+    return f"`{name}`"
 
-def position_rank_correlation(arr: Column, min_rows: int = 3,
-                              min_std: float = 1e-9) -> Column:
-    """Spearman correlation between position (0..k-1) and value for an array.
 
-    Positions are distinct, so their ranks are 1..k and the rank correlation
-    is the Pearson correlation of (i+1, rank_i).  Using the exact identities
-    mean = (k+1)/2 and sum((i+1-mean)^2) = k(k^2-1)/12, every intermediate is
-    a multiple of 1/4 and therefore exact in double arithmetic.
-
-    Returns 0.0 when the array has fewer than ``min_rows`` elements, when the
-    population standard deviation of the values is at most ``min_std``, or
-    when the correlation is undefined.
-    """
-    k = F.size(arr).cast("double")
-    mean = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x) / k
-    pop_std = F.sqrt(
-        F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / k)
-    ranks = average_ranks(arr)
-    centre_sq = k * ((k + 1) / 2.0) * ((k + 1) / 2.0)
-    s_pr = F.aggregate(F.transform(ranks, lambda r, i: (i + 1) * r), F.lit(0.0),
-                       lambda acc, v: acc + v)
-    s_rr = F.aggregate(ranks, F.lit(0.0), lambda acc, r: acc + r * r)
-    var_pos = k * (k * k - 1) / 12.0
-    rho = F.try_divide(s_pr - centre_sq, F.sqrt(var_pos * (s_rr - centre_sq)))
-    ok = (F.size(arr) >= min_rows) & (pop_std > F.lit(min_std))
-    return F.when(ok, F.coalesce(F.nanvl(rho, F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
-
-
-def tree_sum(terms) -> Column:
-    """Sum of columns as a balanced tree (shallow generated code)."""
-    terms = list(terms)
-    if not terms:
-        return F.lit(0.0)
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i]
-                 for i in range(0, len(terms), 2)]
-    return terms[0]
+def lit(x: float) -> str:
+    """A double literal."""
+    return f"{float(x)!r}D"
 
 
 def sql_tree_sum(terms) -> str:
-    """SQL text of a balanced sum (shallow expression trees compile well)."""
+    """Balanced sum of SQL terms (shallow expression trees compile well)."""
     terms = [f"({t})" for t in terms]
     if not terms:
         return "0.0D"
@@ -84,55 +48,51 @@ class TrailingRankCorrelation:
         var_r = 1/4 * sum_i (sum_{j != i} sign(v_i - v_j))^2
         var_p = k (k^2 - 1) / 12,     rho = cov / sqrt(var_p * var_r)
 
-    — n(n-1)/2 sign terms, plain expressions spread over three projection
-    stages (``stage1`` → ``stage2`` → ``result``) so that the generated code
-    stays small.  The expressions are written as SQL text: one JVM call per
-    column instead of one per node.  Returns 0.0 for fewer than ``min_rows``
-    elements, a population std of the values at most ``min_std``, or an
-    undefined value.
+    — n(n-1)/2 sign terms, spread over three projection stages
+    (``stage1`` → ``stage2`` → ``result``) so that the generated code stays
+    small (one flat expression overflows the generated-method size limit,
+    and array lambdas would be interpreted row by row).  Returns 0.0 for
+    fewer than ``min_rows`` elements, a population std of the values at most
+    ``min_std``, or an undefined value.
     """
 
     def __init__(self, name: str, n: int, min_rows: int = 3, min_std: float = 1e-9):
         self.t, self.n, self.min_rows, self.min_std = f"_{name}", n, min_rows, min_std
         self.pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
 
-    def stage1(self, values: list[str]) -> list[Column]:
-        """``values``: SQL text of the n window values, oldest first."""
+    def stage1(self, values: list[str]) -> list[str]:
+        """``values``: SQL of the n window values, oldest first."""
         assert len(values) == self.n
         t = self.t
-        out = [F.expr(f"coalesce(signum(({values[i]}) - ({values[j]})), 0.0D)").alias(f"{t}_s{i}_{j}")
+        out = [f"coalesce(signum(({values[i]}) - ({values[j]})), 0.0D) AS {q(f'{t}_s{i}_{j}')}"
                for i, j in self.pairs]
         k = sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN 1.0D ELSE 0.0D END" for x in values)
         tot = sql_tree_sum(f"coalesce(({x}), 0.0D)" for x in values)
-        return out + [F.expr(k).alias(f"{t}_k"), F.expr(tot).alias(f"{t}_tot")]
+        return out + [f"{k} AS {q(t + '_k')}", f"{tot} AS {q(t + '_tot')}"]
 
-    def stage2(self, values: list[str]) -> list[Column]:
+    def stage2(self, values: list[str]) -> list[str]:
         t, n = self.t, self.n
-        s = {p: f"`{t}_s{p[0]}_{p[1]}`" for p in self.pairs}
-        k = f"`{t}_k`"
-        mean = f"(`{t}_tot` / {k})"
+        s = {p: q(f"{t}_s{p[0]}_{p[1]}") for p in self.pairs}
+        k = q(f"{t}_k")
+        mean = f"({q(t + '_tot')} / {k})"
         row_sign = [sql_tree_sum([s[(i, j)] for j in range(i + 1, n)]
                                  + [f"-{s[(j, i)]}" for j in range(i)]) for i in range(n)]
-        cov = f"{sql_tree_sum(f'{float(i - j)}D * {s[(i, j)]}' for i, j in self.pairs)} / 2.0D"
+        cov = f"{sql_tree_sum(f'{lit(i - j)} * {s[(i, j)]}' for i, j in self.pairs)} / 2.0D"
         var_r = f"{sql_tree_sum(f'({r}) * ({r})' for r in row_sign)} / 4.0D"
         var_v = (sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN (({x}) - {mean}) * (({x}) - {mean}) "
                               f"ELSE 0.0D END" for x in values) + f" / {k}")
-        return [F.expr(k).alias(f"{t}_k2"), F.expr(cov).alias(f"{t}_cov"),
-                F.expr(var_r).alias(f"{t}_vr"), F.expr(var_v).alias(f"{t}_vv")]
+        return [f"{k} AS {q(t + '_k2')}", f"{cov} AS {q(t + '_cov')}",
+                f"{var_r} AS {q(t + '_vr')}", f"{var_v} AS {q(t + '_vv')}"]
 
-    def result_sql(self) -> str:
+    def result(self) -> str:
         t = self.t
-        k = f"`{t}_k2`"
-        return (f"CASE WHEN {k} >= {int(self.min_rows)} AND sqrt(`{t}_vv`) > {float(self.min_std)!r}D "
-                f"THEN coalesce(nanvl(try_divide(`{t}_cov`, sqrt(({k} * ({k} * {k} - 1.0D) / 12.0D) "
-                f"* `{t}_vr`)), 0.0D), 0.0D) ELSE 0.0D END")
+        k = q(f"{t}_k2")
+        return (f"CASE WHEN {k} >= {int(self.min_rows)} AND sqrt({q(t + '_vv')}) > {lit(self.min_std)} "
+                f"THEN coalesce(nanvl(try_divide({q(t + '_cov')}, sqrt(({k} * ({k} * {k} - 1.0D) / 12.0D) "
+                f"* {q(t + '_vr')})), 0.0D), 0.0D) ELSE 0.0D END")
 
-    def result(self) -> Column:
-        return F.expr(self.result_sql())
 
-
-def loo_peer_exact(x: Column, n: Column, s1: Column, s2: Column,
-                   s1_d: Column, s2_d: Column) -> tuple[Column, Column]:
+def loo_peer_exact(x: str, n: str, s1: str, s2: str, s1_d: str, s2_d: str) -> tuple[str, str]:
     """Leave-one-out mean and sample std of an integer measure among peers.
 
     ``n`` is the number of non-null peers including the row itself, ``s1``
@@ -146,59 +106,57 @@ def loo_peer_exact(x: Column, n: Column, s1: Column, s2: Column,
     Undefined variances (n <= 2) become 0 and an undefined mean stays null,
     as in the published definition (sqrt(greatest(null, 0)) = 0).
     """
-    xd = x.cast(DEC)
-    m = n - 1
-    t1 = s1 - xd
-    t2 = s2 - xd * xd
-    mean = F.try_divide(t1.cast("double"), m.cast("double"))
-    num = F.try_subtract(F.try_multiply(m.cast(DEC), t2), F.try_multiply(t1, t1))
-    denom = (m * (m - 1)).cast("double")
-    var_exact = F.try_divide(num.cast("double"), denom)
+    xd = f"CAST({x} AS {DEC})"
+    m = f"({n} - 1)"
+    t1 = f"({s1} - {xd})"
+    t2 = f"({s2} - {xd} * {xd})"
+    mean = f"try_divide(CAST({t1} AS DOUBLE), CAST({m} AS DOUBLE))"
+    num = f"try_subtract(try_multiply(CAST({m} AS {DEC}), {t2}), try_multiply({t1}, {t1}))"
+    var_exact = f"try_divide(CAST({num} AS DOUBLE), CAST({m} * ({m} - 1) AS DOUBLE))"
     # overflow fallback: double sums of the others
-    t1_d = s1_d - x.cast("double")
-    t2_d = s2_d - x.cast("double") * x.cast("double")
-    var_float = F.try_divide(t2_d - F.try_divide(t1_d * t1_d, m.cast("double")),
-                             (m - 1).cast("double"))
-    var = F.when(num.isNull(), var_float).otherwise(var_exact)
-    std = F.sqrt(F.greatest(var, F.lit(0.0)))
-    return mean, std
+    t1_d = f"({s1_d} - CAST({x} AS DOUBLE))"
+    t2_d = f"({s2_d} - CAST({x} AS DOUBLE) * CAST({x} AS DOUBLE))"
+    var_float = (f"try_divide({t2_d} - try_divide({t1_d} * {t1_d}, CAST({m} AS DOUBLE)), "
+                 f"CAST({m} - 1 AS DOUBLE))")
+    var = f"CASE WHEN {num} IS NULL THEN {var_float} ELSE {var_exact} END"
+    return mean, f"sqrt(greatest({var}, 0.0D))"
 
 
-def loo_peer_float(x: Column, n: Column, mean_g: Column, m2_g: Column) -> tuple[Column, Column]:
+def loo_peer_float(x: str, n: str, mean_g: str, m2_g: str) -> tuple[str, str]:
     """Leave-one-out mean and std for a floating measure (published formula).
 
     ``mean_g`` is the group mean and ``m2_g`` the group's sum of squared
     deviations; SSD_loo = M2 - n/(n-1) * (x - mean)^2.
     """
-    xd = x.cast("double")
-    nd = n.cast("double")
-    mean = F.try_divide(nd * mean_g - xd, nd - 1)
-    dev = xd - mean_g
-    ssd_loo = m2_g - F.try_divide(nd, nd - 1) * dev * dev
-    std = F.sqrt(F.greatest(F.try_divide(ssd_loo, nd - 2), F.lit(0.0)))
-    return mean, std
+    xd, nd = f"CAST({x} AS DOUBLE)", f"CAST({n} AS DOUBLE)"
+    mean = f"try_divide({nd} * {mean_g} - {xd}, {nd} - 1)"
+    dev = f"({xd} - {mean_g})"
+    ssd_loo = f"({m2_g} - try_divide({nd}, {nd} - 1) * {dev} * {dev})"
+    return mean, f"sqrt(greatest(try_divide({ssd_loo}, {nd} - 2), 0.0D))"
+
+
+REGRESSION_SUMS = ("n", "sx", "sy", "sxy", "sxx", "syy")
 
 
-def regression_sums(y: Column, x: Column) -> dict[str, Column]:
+def regression_sums(y: str, x: str) -> dict[str, str]:
     """Aggregates for an exact least-squares fit of integer y on integer x.
 
     Pairs with a null y (or x) are skipped, as in the SQL regression
     aggregates.  Products are formed in decimal(38,0), so every sum is exact.
     """
-    ok = y.isNotNull() & x.isNotNull()
-    xd, yd = x.cast(DEC), y.cast(DEC)
+    ok = f"{y} IS NOT NULL AND {x} IS NOT NULL"
+    xd, yd = f"CAST({x} AS {DEC})", f"CAST({y} AS {DEC})"
     return {
-        "n": F.count(F.when(ok, F.lit(1))),
-        "sx": F.sum(F.when(ok, xd)),
-        "sy": F.sum(F.when(ok, yd)),
-        "sxy": F.sum(F.when(ok, xd * yd)),
-        "sxx": F.sum(F.when(ok, xd * xd)),
-        "syy": F.sum(F.when(ok, yd * yd)),
+        "n": f"count(CASE WHEN {ok} THEN 1 END)",
+        "sx": f"sum(CASE WHEN {ok} THEN {xd} END)",
+        "sy": f"sum(CASE WHEN {ok} THEN {yd} END)",
+        "sxy": f"sum(CASE WHEN {ok} THEN {xd} * {yd} END)",
+        "sxx": f"sum(CASE WHEN {ok} THEN {xd} * {xd} END)",
+        "syy": f"sum(CASE WHEN {ok} THEN {yd} * {yd} END)",
     }
 
 
-def regression_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column,
-                         syy: Column) -> tuple[Column, Column]:
+def regression_from_sums(n: str, sx: str, sy: str, sxy: str, sxx: str, syy: str) -> tuple[str, str]:
     """Slope and R^2 of y on x from exact sums.
 
     cov = n*sxy - sx*sy, vx = n*sxx - sx^2, vy = n*syy - sy^2 are exact; one
@@ -206,13 +164,12 @@ def regression_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Co
     slope and R^2 are null when x has no spread, R^2 is 1 when y has none.
     (If an exact term overflows decimal(38,0) it becomes null.)
     """
-    nd = n.cast(DEC)
-    cov = F.try_subtract(F.try_multiply(nd, sxy), F.try_multiply(sx, sy))
-    vx = F.try_subtract(F.try_multiply(nd, sxx), F.try_multiply(sx, sx))
-    vy = F.try_subtract(F.try_multiply(nd, syy), F.try_multiply(sy, sy))
-    cov_d, vx_d, vy_d = cov.cast("double"), vx.cast("double"), vy.cast("double")
-    slope = F.when(vx != 0, cov_d / vx_d)
-    r2 = (F.when(vx == 0, F.lit(None).cast("double"))
-          .when(vy == 0, F.lit(1.0))
-          .otherwise(cov_d * cov_d / (vx_d * vy_d)))
+    nd = f"CAST({n} AS {DEC})"
+    cov = f"try_subtract(try_multiply({nd}, {sxy}), try_multiply({sx}, {sy}))"
+    vx = f"try_subtract(try_multiply({nd}, {sxx}), try_multiply({sx}, {sx}))"
+    vy = f"try_subtract(try_multiply({nd}, {syy}), try_multiply({sy}, {sy}))"
+    cov_d, vx_d, vy_d = (f"CAST({e} AS DOUBLE)" for e in (cov, vx, vy))
+    slope = f"CASE WHEN {vx} <> 0 THEN {cov_d} / {vx_d} END"
+    r2 = (f"CASE WHEN {vx} = 0 THEN CAST(NULL AS DOUBLE) WHEN {vy} = 0 THEN 1.0D "
+          f"ELSE {cov_d} * {cov_d} / ({vx_d} * {vy_d}) END")
     return slope, r2

@@ -23,11 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.stats import (
-    regression_from_sums,
-    regression_sums,
+    REGRESSION_SUMS,
+    TrailingRankCorrelation,
+    lit,
     loo_peer_exact,
     loo_peer_float,
-    TrailingRankCorrelation,
+    q,
+    regression_from_sums,
+    regression_sums,
 )
 from vigil.params import (
     FAMILY_ORDER,
@@ -111,7 +114,8 @@ def _check_families(families) -> list[str]:
 
 # ------------------------------------------------------------------ builder
 
-_RG = ("n", "sx", "sy", "sxy", "sxx", "syy")
+def _frame(lo: str, hi: str) -> str:
+    return f"(PARTITION BY `user_id` ORDER BY `day` ROWS BETWEEN {lo} AND {hi})"
 
 
 def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(),
@@ -121,119 +125,123 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
     Row count and input columns are preserved; families are applied in the
     fixed order self_z, robust_z, peer_z, rolling, diff, ramp, spearman.
 
-    The plan is built from a fixed number of projections (each DataFrame
-    operation re-analyses the plan on the driver, so their count matters):
-    peer join → L1 windows → L2 (MAD window, level-1 arithmetic) → L3 → final.
+    The plan is built from a fixed number of projections — peer join → L1
+    windows → L2 (MAD window, level-1 arithmetic) → L3 → final — each given
+    as SQL text (one driver→JVM call per projection; see functions.stats).
+    The frames are the same as ``past_frame`` / ``rolling_frame`` /
+    ``trailing_frame`` / ``user_order`` above.
     """
     fams = _check_families(params.families if families is None else families)
     raw = list(params.raw_columns)
-    eps = F.lit(params.epsilon)
+    eps = lit(params.epsilon)
     base_cols = list(activity.columns)
     dtypes = dict(activity.dtypes)
     integral = {c: dtypes.get(c) in _INTEGRAL for c in raw}
 
-    w_past = past_frame(params.history_rows)
-    w_roll = rolling_frame(params.rolling_window)
-    w_ramp = trailing_frame(params.ramp_window)
-    w_lag = user_order()
+    past_lo = ("UNBOUNDED PRECEDING" if params.history_rows is None
+               else f"{int(params.history_rows)} PRECEDING")
+    w_past = _frame(past_lo, "1 PRECEDING")
+    w_roll = _frame(f"{int(params.rolling_window)} PRECEDING", "1 PRECEDING")
+    w_ramp = _frame(f"{int(params.ramp_window) - 1} PRECEDING", "CURRENT ROW")
+    w_lag = "(PARTITION BY `user_id` ORDER BY `day`)"
     n_sp = int(params.spearman_window)
     spear = {c: TrailingRankCorrelation(f"{c}_sp", n_sp, SPEARMAN_MIN_ROWS, SPEARMAN_MIN_STD)
              for c in raw}
 
-    def xd(c: str) -> Column:
-        return F.col(c).cast("double")
+    def xd(c: str) -> str:
+        return f"CAST({q(c)} AS DOUBLE)"
 
     def lag_cols(c: str) -> list[str]:
-        return [f"`_{c}_lag_{j}`" for j in range(n_sp - 1, 0, -1)] + [f"CAST(`{c}` AS DOUBLE)"]
+        return [q(f"_{c}_lag_{j}") for j in range(n_sp - 1, 0, -1)] + [xd(c)]
 
     df = activity
     # ---- peers: (group, day) aggregate joined back before the user windows
     if "peer_z" in fams:
-        df, _ = _join_peer_stats(df, raw, dtypes, params)
+        df = _join_peer_stats(df, raw, dtypes, params)
 
     # ---- L1: plain user windows (one Window operator, one sort)
-    l1: list[Column] = []
+    l1: list[str] = []
     for c in raw:
         if "self_z" in fams:
-            l1 += [F.avg(xd(c)).over(w_past).alias(f"{c}_mean_self"),
-                   F.stddev_samp(xd(c)).over(w_past).alias(f"{c}_std_self")]
+            l1 += [f"avg({xd(c)}) OVER {w_past} AS {q(c + '_mean_self')}",
+                   f"stddev_samp({xd(c)}) OVER {w_past} AS {q(c + '_std_self')}"]
         if "robust_z" in fams:
-            l1.append(F.percentile_approx(F.col(c), 0.5).over(w_past).alias(f"{c}_med_self"))
+            l1.append(f"percentile_approx({q(c)}, 0.5) OVER {w_past} AS {q(c + '_med_self')}")
         if "rolling" in fams:
-            l1 += [F.max(xd(c)).over(w_roll).alias(f"{c}_roll7_max"),
-                   F.avg(xd(c)).over(w_roll).alias(f"{c}_roll7_mean"),
-                   F.stddev_samp(xd(c)).over(w_roll).alias(f"{c}_roll7_std")]
+            l1 += [f"max({xd(c)}) OVER {w_roll} AS {q(c + '_roll7_max')}",
+                   f"avg({xd(c)}) OVER {w_roll} AS {q(c + '_roll7_mean')}",
+                   f"stddev_samp({xd(c)}) OVER {w_roll} AS {q(c + '_roll7_std')}"]
         if "diff" in fams:
-            l1.append(F.lag(xd(c), 1).over(w_lag).alias(f"_{c}_lag1"))
+            l1.append(f"lag({xd(c)}, 1) OVER {w_lag} AS {q(f'_{c}_lag1')}")
         if "ramp" in fams:
             if integral[c]:
-                l1 += [e.over(w_ramp).alias(f"_{c}_rg_{k}")
-                       for k, e in regression_sums(F.col(c), F.col("day")).items()]
+                l1 += [f"{e} OVER {w_ramp} AS {q(f'_{c}_rg_{k}')}"
+                       for k, e in regression_sums(q(c), q("day")).items()]
             else:
-                day_d = F.col("day").cast("double")
-                l1 += [F.regr_slope(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_slope"),
-                       F.regr_r2(xd(c), day_d).over(w_ramp).alias(f"{c}_ramp_r2")]
+                day_d = "CAST(`day` AS DOUBLE)"
+                l1 += [f"regr_slope({xd(c)}, {day_d}) OVER {w_ramp} AS {q(c + '_ramp_slope')}",
+                       f"regr_r2({xd(c)}, {day_d}) OVER {w_ramp} AS {q(c + '_ramp_r2')}"]
         if "spearman" in fams:
             # the trailing frame as lag columns, oldest first
-            l1 += [F.lag(xd(c), j).over(w_lag).alias(f"_{c}_lag_{j}") for j in range(n_sp - 1, 0, -1)]
+            l1 += [f"lag({xd(c)}, {j}) OVER {w_lag} AS {q(f'_{c}_lag_{j}')}"
+                   for j in range(n_sp - 1, 0, -1)]
     if l1:
-        df = df.select("*", *l1)
+        df = df.selectExpr("*", *l1)
 
     # ---- L2: window over a level-1 column (robust MAD) + level-1 arithmetic
-    l2: list[Column] = []
+    l2: list[str] = []
     for c in raw:
         if "self_z" in fams:
-            l2.append(((xd(c) - F.col(f"{c}_mean_self")) / (F.col(f"{c}_std_self") + eps))
-                      .alias(f"{c}_z_self"))
+            l2.append(f"({xd(c)} - {q(c + '_mean_self')}) / ({q(c + '_std_self')} + {eps}) "
+                      f"AS {q(c + '_z_self')}")
         if "robust_z" in fams:
             # each past row's deviation is taken from that row's own expanding median
-            abs_dev = F.abs(xd(c) - F.col(f"{c}_med_self"))
-            l2.append((F.lit(params.mad_constant) * F.percentile_approx(abs_dev, 0.5).over(w_past))
-                      .alias(f"{c}_mad_self"))
+            l2.append(f"{lit(params.mad_constant)} * percentile_approx(abs({xd(c)} - "
+                      f"{q(c + '_med_self')}), 0.5) OVER {w_past} AS {q(c + '_mad_self')}")
         if "peer_z" in fams:
             mean, std = _peer_loo(c, integral[c])
-            l2 += [mean.alias(f"{c}_mean_peer_loo"), std.alias(f"{c}_std_peer_loo")]
+            l2 += [f"{mean} AS {q(c + '_mean_peer_loo')}", f"{std} AS {q(c + '_std_peer_loo')}"]
         if "diff" in fams:
-            lag = F.col(f"_{c}_lag1")
-            l2 += [(xd(c) - lag).alias(f"{c}_diff1"),
-                   ((xd(c) - lag) / (F.abs(lag) + eps)).alias(f"{c}_pct1")]
+            lag = q(f"_{c}_lag1")
+            l2 += [f"{xd(c)} - {lag} AS {q(c + '_diff1')}",
+                   f"({xd(c)} - {lag}) / (abs({lag}) + {eps}) AS {q(c + '_pct1')}"]
         if "ramp" in fams and integral[c]:
-            slope, r2 = regression_from_sums(*[F.col(f"_{c}_rg_{k}") for k in _RG])
-            l2 += [slope.alias(f"{c}_ramp_slope"), r2.alias(f"{c}_ramp_r2")]
+            slope, r2 = regression_from_sums(*[q(f"_{c}_rg_{k}") for k in REGRESSION_SUMS])
+            l2 += [f"{slope} AS {q(c + '_ramp_slope')}", f"{r2} AS {q(c + '_ramp_r2')}"]
         if "spearman" in fams:
             l2 += spear[c].stage1(lag_cols(c))
     if l2:
-        df = df.select("*", *l2)
+        df = df.selectExpr("*", *l2)
 
     # ---- L3: arithmetic on level-2 columns
-    l3: list[Column] = []
+    l3: list[str] = []
     for c in raw:
         if "robust_z" in fams:
-            l3.append(((xd(c) - F.col(f"{c}_med_self")) / (F.col(f"{c}_mad_self") + eps))
-                      .alias(f"{c}_rz_self"))
+            l3.append(f"({xd(c)} - {q(c + '_med_self')}) / ({q(c + '_mad_self')} + {eps}) "
+                      f"AS {q(c + '_rz_self')}")
         if "peer_z" in fams:
-            l3.append(((xd(c) - F.col(f"{c}_mean_peer_loo")) / (F.col(f"{c}_std_peer_loo") + eps))
-                      .alias(f"{c}_z_peer_loo"))
+            l3.append(f"({xd(c)} - {q(c + '_mean_peer_loo')}) / ({q(c + '_std_peer_loo')} + {eps}) "
+                      f"AS {q(c + '_z_peer_loo')}")
         if "ramp" in fams:
-            l3.append(F.when(F.col(f"{c}_ramp_slope") > 0, F.col(f"{c}_ramp_r2"))
-                      .otherwise(F.lit(0.0)).alias(f"{c}_ramp_signal"))
+            l3.append(f"CASE WHEN {q(c + '_ramp_slope')} > 0 THEN {q(c + '_ramp_r2')} ELSE 0.0D END "
+                      f"AS {q(c + '_ramp_signal')}")
         if "spearman" in fams:
             l3 += spear[c].stage2(lag_cols(c))
     if l3:
-        df = df.select("*", *l3)
+        df = df.selectExpr("*", *l3)
 
     # ---- final projection: input columns, then each family's columns
-    final: list[Column] = [F.col(c) for c in base_cols]
+    final: list[str] = [q(c) for c in base_cols]
     for f in fams:
         for name in family_columns(f, raw):
             if f == "spearman":
-                c = name[: -len("_spearman_pos")] if name.endswith("_pos") else name[: -len("_spearman")]
-                rho = spear[c].result_sql()
-                final.append(F.expr(f"greatest({rho}, 0.0D)" if name.endswith("_pos") else rho)
-                             .alias(name))
+                pos = name.endswith("_pos")
+                c = name[: -len("_spearman_pos")] if pos else name[: -len("_spearman")]
+                rho = spear[c].result()
+                final.append(f"{f'greatest({rho}, 0.0D)' if pos else rho} AS {q(name)}")
             else:
-                final.append(F.col(name))
-    return df.select(*final)
+                final.append(q(name))
+    return df.selectExpr(*final)
 
 
 def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
@@ -254,16 +262,15 @@ def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
     return activity.groupBy("group", "day").agg(*aggs)
 
 
-def _join_peer_stats(df: DataFrame, raw, dtypes, params: FeatureParams):
+def _join_peer_stats(df: DataFrame, raw, dtypes, params: FeatureParams) -> DataFrame:
     stats = peer_statistics(df.select("group", "day", *raw), raw, dtypes)
     stats, _ = bounded_broadcast(stats, params.peer_broadcast_max_keys)
-    helpers = [c for c in stats.columns if c not in ("group", "day")]
-    return df.join(stats, ["group", "day"], "left"), helpers
+    return df.join(stats, ["group", "day"], "left")
 
 
-def _peer_loo(c: str, integral: bool) -> tuple[Column, Column]:
-    n = F.col(f"_{c}_n")
+def _peer_loo(c: str, integral: bool) -> tuple[str, str]:
+    n = q(f"_{c}_n")
     if integral:
-        return loo_peer_exact(F.col(c), n, F.col(f"_{c}_s1"), F.col(f"_{c}_s2"),
-                              F.col(f"_{c}_s1d"), F.col(f"_{c}_s2d"))
-    return loo_peer_float(F.col(c), n, F.col(f"_{c}_mean"), F.col(f"_{c}_m2"))
+        return loo_peer_exact(q(c), n, q(f"_{c}_s1"), q(f"_{c}_s2"),
+                              q(f"_{c}_s1d"), q(f"_{c}_s2d"))
+    return loo_peer_float(q(c), n, q(f"_{c}_mean"), q(f"_{c}_m2"))

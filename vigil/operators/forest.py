@@ -31,7 +31,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.params import ForestParams
@@ -108,9 +108,14 @@ def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams,
     The key sample is bounded by the parameters; it is broadcast to the
     matrix scan when that bound is under ``max_broadcast_rows``.
     """
-    keys = sample_keys(matrix, n_rows, params)
     psi = min(params.max_samples, n_rows)
-    bound = len(params.seeds) * params.n_trees * max(params.oversample * psi, psi) * 1.5
+    keys = sample_keys(matrix, n_rows, params)
+    # keep each tree's psi smallest hashes while the rows are still narrow
+    # (a literal bound: Spark applies the group limit map-side)
+    w = Window.partitionBy("seed", "tree").orderBy("_h", "user_id", "day")
+    keys = (keys.withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
+    bound = len(params.seeds) * params.n_trees * psi
     keys = F.broadcast(keys) if bound <= max_broadcast_rows else keys
     return matrix.join(keys, ["user_id", "day"])
 
