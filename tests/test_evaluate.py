@@ -4,6 +4,7 @@ import pytest
 
 from vigil.operators.evaluate import (
     check_aggregation,
+    check_alignment,
     evaluate,
     rank_users,
     top_users,
@@ -95,3 +96,10 @@ def test_keyed_runs_in_one_job(spark):
     m = {r["seed"]: r for r in evaluate(runs, _victims(spark), PARAMS, run_keys=("seed",)).collect()}
     assert m[0]["precision_at_2"] == 1.0
     assert m[1]["precision_at_2"] == 0.0          # reversed scores put attackers last
+
+
+def test_scores_must_align_with_rows(spark):
+    s = _scored(spark)
+    check_alignment(s, s)
+    with pytest.raises(ValueError, match="does not match"):
+        check_alignment(s, s.where("NOT (user_id = 3 AND day = 6)"))

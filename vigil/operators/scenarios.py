@@ -175,11 +175,14 @@ def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
 
 
 def attack_targets(activity: DataFrame, scenarios: DataFrame, victims: DataFrame,
-                   test_window_start: int) -> DataFrame:
+                   test_window_start: int, broadcast_victims: bool = True) -> DataFrame:
     """Every (user_id, day) an attack touches, with its overlay rule.
 
     Bounded by the parameters: sum over attacks of victims x attack days.
+    ``broadcast_victims`` says whether victim-sized tables (the slow-ramp
+    victims and their base medians) are under the broadcast bound.
     """
+    hint = F.broadcast if broadcast_victims else (lambda d: d)
     start = F.lit(int(test_window_start))
     sc = scenarios.select(
         F.col("name").alias("attack_type"), "duration_days", "start_day_offset",
@@ -202,11 +205,11 @@ def attack_targets(activity: DataFrame, scenarios: DataFrame, victims: DataFrame
     # slow ramp: base = int(median of the user's bytes before the window)
     ramp_users = tgt.where(F.col("attack_type") == "slow_ramp").select("user_id").distinct()
     base = (activity.where(F.col("day") < start).select("user_id", "bytes")
-            .join(F.broadcast(ramp_users), "user_id", "left_semi")
+            .join(hint(ramp_users), "user_id", "left_semi")
             .groupBy("user_id")
             .agg(F.percentile(F.col("bytes").cast("double"), 0.5).alias("_median"))
             .select("user_id", F.col("_median").cast("long").alias("_ramp_base")))
-    tgt = tgt.join(F.broadcast(base), "user_id", "left")
+    tgt = tgt.join(hint(base), "user_id", "left")
     ramp_bytes = (F.col("_ramp_base")
                   * (F.col("ramp_start_multiplier") + F.col("ramp_step") * F.col("_i"))).cast("long")
     return tgt.select(
@@ -257,7 +260,9 @@ def plant(activity: DataFrame, scenarios: DataFrame, seed: int, test_window_star
     users = user_groups(activity) if users is None else users
     plan = victim_plan(users, scenarios)
     victims = pick_victims(users, scenarios, seed, validate=validate, plan=plan)
-    bound = sum(p["n"] * p["n_days"] for p in plan)
-    targets = attack_targets(activity, scenarios, victims, test_window_start)
-    return (overlay(activity, targets, broadcast_targets=bound <= max_broadcast_targets),
+    bound = sum(p["n"] * max(p["n_days"], 1) for p in plan)
+    small = bound <= max_broadcast_targets
+    targets = attack_targets(activity, scenarios, victims, test_window_start,
+                             broadcast_victims=small)
+    return (overlay(activity, targets, broadcast_targets=small),
             victims.select("attack_type", "user_id"))
