@@ -144,3 +144,19 @@ def test_summary_rounds_half_even(spark):
     df = df.select("config", "seed", "n_features", F.col("v").alias("precision_at_50"),
                    F.col("v").alias("recall_at_50"))
     assert summarize(df, p).collect()[0]["precision_at_50"] == 0.062
+
+
+def test_one_pass_sampler_equals_key_sampler(spark):
+    from pyspark.sql import Window
+
+    from vigil.operators.forest import sample_keys, sample_rows
+    big = spark.range(0, 300_000).select(F.col("id").alias("user_id"), F.lit(0).alias("day"),
+                                         F.rand(1).alias("a"))
+    p = ForestParams(n_trees=50, max_samples=256, seeds=(3, 4))
+    rows = sample_rows(big, 300_000, p)
+    w = Window.partitionBy("seed", "tree").orderBy("_h", "user_id", "day")
+    keys = (sample_keys(big, 300_000, p).withColumn("_rn", F.row_number().over(w))
+            .where("_rn <= 256"))
+    cols = ["seed", "tree", "user_id", "day"]
+    assert rows.count() == 2 * 50 * 256
+    assert rows.select(cols).exceptAll(keys.select(cols)).count() == 0

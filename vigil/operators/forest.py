@@ -103,18 +103,42 @@ def sample_keys(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFra
 
 def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams,
                 max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """Rows of every (seed, tree) with their feature columns and order hash.
-
-    The key sample is bounded by the parameters; it is broadcast to the
-    matrix scan when that bound is under ``max_broadcast_rows``.
+    """Rows of every (seed, tree), psi per tree, with feature columns and hash.
+
+    * rows ≫ trees x psi: one pass over the matrix — a code-generated
+      predicate keeps rows whose (seed, row) hash falls under the rate for
+      any seed; only those few are exploded to (seed, tree);
+    * otherwise (small data, rows in several trees): the (seed, tree) draw is
+      made on key columns only, cut to psi per tree, and joined back — the
+      key table is bounded by seeds x trees x psi and broadcast under
+      ``max_broadcast_rows``.
+
+    Either way each tree keeps its psi smallest hashes through a window with a
+    literal bound (Spark applies the group limit map-side).
     """
     psi = min(params.max_samples, n_rows)
-    keys = sample_keys(matrix, n_rows, params)
-    # keep each tree's psi smallest hashes while the rows are still narrow
-    # (a literal bound: Spark applies the group limit map-side)
+    rate = params.oversample * psi / max(n_rows, 1)
+    T = int(params.n_trees)
     w = Window.partitionBy("seed", "tree").orderBy("_h", "user_id", "day")
-    keys = (keys.withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
+
+    def top_psi(df: DataFrame) -> DataFrame:
+        return (df.withColumn("_rn", F.row_number().over(w))
+                .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
+
+    if rate * T < 1.0:
+        cut = F.lit(rate * T)
+        u = {s: _hash_fraction(F.lit(int(s)), F.col("user_id"), F.col("day")) for s in params.seeds}
+        any_seed = None
+        for s in params.seeds:
+            any_seed = (u[s] < cut) if any_seed is None else (any_seed | (u[s] < cut))
+        seeds = F.explode(F.array(*[F.lit(int(s)) for s in params.seeds])).alias("seed")
+        hit = (matrix.where(any_seed).select("*", seeds)
+               .withColumn("_u", _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day")))
+               .where(F.col("_u") < cut)
+               .withColumn("tree", F.floor(F.col("_u") / F.lit(rate)).cast("int"))
+               .withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day")).drop("_u"))
+        return top_psi(hit)
+    keys = top_psi(sample_keys(matrix, n_rows, params))
     bound = len(params.seeds) * params.n_trees * psi
     keys = F.broadcast(keys) if bound <= max_broadcast_rows else keys
     return matrix.join(keys, ["user_id", "day"])
