@@ -1,7 +1,6 @@
 """Feature families on hand-built fixtures (ramp user, edge cases)."""
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from helpers import activity_df, brute_trailing_spearman, ramp_dataset

@@ -7,7 +7,6 @@ checks them by row counts; their properties are covered by tests.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.operators.forest import score_summary, top_rows_by_type
 from vigil.operators.sweep import config_columns, score_all_runs, summarize, run_sweep
@@ -83,5 +82,3 @@ FOREST_QUERIES = {
     "ablation_runs": q_ablation_runs,
     "ablation": flagship,
 }
-
-_ = F  # functions kept for ad-hoc extensions
