@@ -83,7 +83,10 @@ def victim_plan(users: DataFrame, scenarios: DataFrame) -> list[dict]:
 
     Parameter-sized (one row per attack), so it is collected to the driver.
     """
-    group_sizes = users.groupBy("group").agg(F.count("*").alias("_group_users"))
+    # user counts of the target groups only: one row per scenario at most
+    targets = F.broadcast(scenarios.select(F.col("target_group").alias("group")).distinct())
+    group_sizes = (users.join(targets, "group", "left_semi")
+                   .groupBy("group").agg(F.count("*").alias("_group_users")))
     sc = (scenarios.join(F.broadcast(group_sizes),
                          scenarios["target_group"] == group_sizes["group"], "left")
           .select("ordinal", "name", "target_group", "duration_days", "days_offset",
