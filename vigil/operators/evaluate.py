@@ -41,16 +41,28 @@ def user_scores(scored: DataFrame, test_window_start: int, aggregation: str = "s
     """Roll row scores of the test window up to one row per user.
 
     ``is_attacker`` — any anomalous row in the window; ``attack_type`` — the
-    label of the earliest labelled row, '' if none.  Partial aggregation: a
-    user's rows are combined map-side.
+    label of the earliest labelled row, '' if none.
+
+    The score roll-up is a hash aggregate keyed by (run, user) with partial
+    aggregation.  Labels do not depend on the run, so they are aggregated
+    once, from the labelled rows only (a string-valued minimum would force a
+    sort-based aggregate over every scored row), and joined on.
     """
     check_aggregation(aggregation)
-    labelled = F.when(F.col("anomaly_type") != "", F.struct("day", "anomaly_type"))
-    return (scored.where(F.col("day") >= F.lit(int(test_window_start)))
-            .groupBy(*run_keys, "user_id")
-            .agg(_AGG[aggregation](F.col("score").cast("double")).alias("agg_score"),
-                 F.bool_or(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("is_attacker"),
-                 F.coalesce(F.min(labelled)["anomaly_type"], F.lit("")).alias("attack_type")))
+    window = scored.where(F.col("day") >= F.lit(int(test_window_start)))
+    scores = (window.groupBy(*run_keys, "user_id")
+              .agg(_AGG[aggregation](F.col("score").cast("double")).alias("agg_score")))
+    labelled = window.where(F.coalesce(F.col("is_anomaly"), F.lit(False))
+                            | (F.coalesce(F.col("anomaly_type"), F.lit("")) != ""))
+    first = F.when(F.col("anomaly_type") != "", F.struct("day", "anomaly_type"))
+    labels = (labelled.select("user_id", "day", "is_anomaly", "anomaly_type").distinct()
+              .groupBy("user_id")
+              .agg(F.bool_or(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("_att"),
+                   F.min(first)["anomaly_type"].alias("_type")))
+    return (scores.join(labels, "user_id", "left")
+            .select(*run_keys, "user_id", "agg_score",
+                    F.coalesce(F.col("_att"), F.lit(False)).alias("is_attacker"),
+                    F.coalesce(F.col("_type"), F.lit("")).alias("attack_type")))
 
 
 def _rank_order() -> list[Column]:
