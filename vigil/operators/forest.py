@@ -10,16 +10,19 @@ unsuccessful search in a binary search tree; the anomaly score is
 
 Spark plan:
 
-* **sample** — one seeded 64-bit hash per (seed, tree, row) or, when rows
-  vastly outnumber trees x psi, one per (seed, row) that also assigns the
-  tree.  A pre-filter keeps about ``oversample`` x psi rows per tree; the
-  tree builder keeps the psi smallest hashes.  No row order, partitioning or
-  task id enters the draw, so the sample is the same on any cluster.  It does
-  not depend on the feature set, so one sample per seed serves every set.
+* **sample** — one seeded 64-bit hash per (seed, tree, row) on key columns
+  only or, when rows vastly outnumber trees x psi, a single pass over the
+  matrix with one hash per (seed, row) that also assigns the tree.  A
+  pre-filter keeps about ``oversample`` x psi rows per tree and a window with
+  a literal bound (partial group limit, map-side) keeps the psi smallest
+  hashes.  No row order, partitioning or task id enters the draw, so the
+  sample is the same on any cluster.  It does not depend on the feature set,
+  so one sample per seed serves every set.
 * **fit** — ``groupBy(seed, tree block).applyInPandas``: each group holds
-  about block x oversample x psi rows (bounded by the parameters, not by the
-  data) and grows every tree of the block for every feature set in one
-  vectorised, level-wise pass.  The model *is* a table.
+  block x psi rows (bounded by the parameters, not by the data) and grows
+  every tree of the block for every feature set in one vectorised,
+  level-wise pass, with a random stream seeded by (seed, block).  The model
+  *is* a table.
 * **score** — the node table is bounded by sets x seeds x trees x (2 psi - 1)
   rows; it is checked against that bound, shipped once as a broadcast
   variable and applied in Arrow batches by ``mapInPandas``.
@@ -293,7 +296,7 @@ def fit_forests(matrix: DataFrame, config_columns: dict[str, list[str]],
     all_cols = sorted({c for cols in config_columns.values() for c in cols})
     sample = sample_rows(matrix.select("user_id", "day", *all_cols), n_rows, params)
     # trees are grown in blocks: one Python call per (seed, block) amortises
-    # the per-call overhead; a group holds block x oversample x psi rows
+    # the per-call overhead; a group holds block x psi rows
     block = F.floor(F.col("tree") / F.lit(int(params.trees_per_block))).cast("int")
     return (sample.withColumn("_block", block).groupBy("seed", "_block")
             .applyInPandas(make_tree_builder(config_columns, psi), NODE_SCHEMA))
