@@ -160,3 +160,38 @@ def test_history_bound_option(spark):
     g = pdf[pdf.user_id == 0].sort_values("day")
     # mean of the previous 3 rows only
     assert g["bytes_mean_self"].iloc[6] == pytest.approx(np.mean([1300, 1400, 1500]))
+
+
+def test_floating_measures_use_float_paths(spark):
+    """Double-typed measures: published leave-one-out formula and built-in
+    regression aggregates, checked against brute force."""
+    from pyspark.sql import types as T
+    rng = np.random.default_rng(3)
+    rows = []
+    for uid in range(8):
+        for day in range(9):
+            rows.append((uid, "g" if uid < 5 else "h", day, float(rng.normal(10, 2)),
+                         float(rng.normal(5, 1)), 1.5, 0.0, False, ""))
+    schema = T.StructType([
+        T.StructField("user_id", T.LongType()), T.StructField("group", T.StringType()),
+        T.StructField("day", T.IntegerType()), T.StructField("bytes", T.DoubleType()),
+        T.StructField("logins", T.DoubleType()), T.StructField("hosts", T.DoubleType()),
+        T.StructField("fails", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType()),
+        T.StructField("anomaly_type", T.StringType())])
+    pdf = compute_features(spark.createDataFrame(rows, schema),
+                           families=["peer_z", "ramp", "spearman"]).toPandas()
+    for (grp, day), g in pdf.groupby(["group", "day"]):
+        x = g["bytes"].to_numpy()
+        for k in range(len(x)):
+            others = np.delete(x, k)
+            assert g.iloc[k]["bytes_mean_peer_loo"] == pytest.approx(others.mean())
+            assert g.iloc[k]["bytes_std_peer_loo"] == pytest.approx(others.std(ddof=1), abs=1e-9)
+    u = pdf[pdf.user_id == 2].sort_values("day").reset_index(drop=True)
+    for i in range(1, len(u)):
+        lo = max(0, i - 6)
+        slope = np.polyfit(u["day"][lo:i + 1], u["logins"][lo:i + 1], 1)[0]
+        assert u["logins_ramp_slope"].iloc[i] == pytest.approx(slope, abs=1e-9)
+    np.testing.assert_allclose(u["logins_spearman"], brute_trailing_spearman(u["logins"].to_numpy()),
+                               atol=1e-12)
+    assert (u["hosts_ramp_slope"].iloc[1:] == 0).all()          # constant measure
+    assert (pdf["hosts_std_peer_loo"] == 0).all()
