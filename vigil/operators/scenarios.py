@@ -164,8 +164,6 @@ def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
             .where(F.col("_rn") <= F.lit(top)).where(F.col("_rn") <= F.col("_n"))
             .select("ordinal", "attack_type", "user_id"))
         picked = mine if picked is None else picked.unionByName(mine)
-        if r + 1 in rounds:
-            picked = materialize(picked)
     victims = materialize(picked)
     if validate:
         got = {r["attack_type"]: r["cnt"] for r in
