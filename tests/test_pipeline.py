@@ -57,3 +57,10 @@ def test_unknown_target_group_rejected(spark):
                                          duration_days=1),))
     with pytest.raises(ValueError, match="unknown group"):
         pipeline.run(spark, SF, bad)
+
+
+def test_window_outside_data_rejected(spark):
+    from vigil.params import EvalParams
+    bad = AnalysisParams(evaluation=EvalParams(test_window_start=40))
+    with pytest.raises(ValueError, match="test_window_start"):
+        pipeline.run(spark, SF, bad)

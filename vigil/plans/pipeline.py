@@ -14,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigil.operators.checks import check_target_groups, validate
 from vigil.operators.features import compute_features
@@ -44,6 +45,8 @@ def build_features(spark: SparkSession, events: DataFrame, customers: DataFrame,
     """Stages A2 → B → D: returns (overlaid activity, victims, features)."""
     activity = user_day_from_events(events, customers, params.day_zero)
     activity = materialize(partition_by_user(activity), keep_partitioning=True)
+    last_day = activity.agg(F.max("day").alias("d")).collect()[0]["d"]
+    validate(params, n_days=None if last_day is None else last_day + 1)   # window inside the data
     scenarios = scenario_table(spark, params.scenarios)
     check_target_groups(scenarios, user_groups(activity))
     attacked, victims = plant(activity, scenarios, params.scenario_seed,
