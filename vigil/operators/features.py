@@ -125,8 +125,8 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
     Row count and input columns are preserved; families are applied in the
     fixed order self_z, robust_z, peer_z, rolling, diff, ramp, spearman.
 
-    The plan is built from a fixed number of projections — peer join → L1
-    windows → L2 (MAD window, level-1 arithmetic) → L3 → final — each given
+    The plan is built from a fixed number of projections — L1 windows → peer
+    join → L2 (MAD window, level-1 arithmetic) → L3 → final — each given
     as SQL text (one driver→JVM call per projection; see functions.stats).
     The frames are the same as ``past_frame`` / ``rolling_frame`` /
     ``trailing_frame`` / ``user_order`` above.
@@ -155,10 +155,6 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
         return [q(f"_{c}_lag_{j}") for j in range(n_sp - 1, 0, -1)] + [xd(c)]
 
     df = activity
-    # ---- peers: (group, day) aggregate joined back before the user windows
-    if "peer_z" in fams:
-        df = _join_peer_stats(df, raw, dtypes, params)
-
     # ---- L1: plain user windows (one Window operator, one sort)
     l1: list[str] = []
     for c in raw:
@@ -188,6 +184,11 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
     if l1:
         df = df.selectExpr("*", *l1)
 
+    # ---- peers: (group, day) sums of the input, joined after the first Window
+    # so the user sort carries narrow rows (a broadcast join keeps the order)
+    if "peer_z" in fams:
+        df = _join_peer_stats(df, activity, raw, dtypes, params)
+
     # ---- L2: window over a level-1 column (robust MAD) + level-1 arithmetic
     l2: list[str] = []
     for c in raw:
@@ -262,8 +263,9 @@ def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
     return activity.groupBy("group", "day").agg(*aggs)
 
 
-def _join_peer_stats(df: DataFrame, raw, dtypes, params: FeatureParams) -> DataFrame:
-    stats = peer_statistics(df.select("group", "day", *raw), raw, dtypes)
+def _join_peer_stats(df: DataFrame, source: DataFrame, raw, dtypes,
+                     params: FeatureParams) -> DataFrame:
+    stats = peer_statistics(source.select("group", "day", *raw), raw, dtypes)
     stats, _ = bounded_broadcast(stats, params.peer_broadcast_max_keys)
     return df.join(stats, ["group", "day"], "left")
 

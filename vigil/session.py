@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +56,14 @@ def bounded_broadcast(small: DataFrame, max_rows: int) -> tuple[DataFrame, bool]
     """Broadcast ``small`` only if it has at most ``max_rows`` rows.
 
     The count is taken on the (already small, aggregated) side, which is
-    persisted so the join does not compute it again; above the bound the frame
+    checkpointed so the join does not compute it again; above the bound the frame
     is returned unhinted so Spark plans a shuffle join, where AQE can split
     skewed partitions.
     """
-    small = small.persist(StorageLevel.MEMORY_AND_DISK)   # the count fills it; the join reuses it
+    # checkpoint (not persist): the join then reads the small table instead of
+    # recomputing it — a persisted frame is not matched when it derives from
+    # the same relation as the other join side (the analyzer re-aliases it)
+    small = materialize(small)
     n = small.count()
     if n <= max_rows:
         return F.broadcast(small), True
