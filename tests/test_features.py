@@ -195,3 +195,33 @@ def test_floating_measures_use_float_paths(spark):
                                atol=1e-12)
     assert (u["hosts_ramp_slope"].iloc[1:] == 0).all()          # constant measure
     assert (pdf["hosts_std_peer_loo"] == 0).all()
+
+
+def test_tie_heavy_random_users_match_brute_force(spark):
+    """Many users with small integer values (ties everywhere) and gaps."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for uid in range(60):
+        days = np.sort(rng.choice(20, size=int(rng.integers(1, 16)), replace=False))
+        for d in days:
+            v = [int(rng.integers(0, 4)) for _ in range(4)]
+            rows.append((uid, f"g{uid % 4}", int(d), *v, False, ""))
+    pdf = compute_features(activity_df(spark, rows),
+                           families=["robust_z", "peer_z", "spearman", "ramp"]).toPandas()
+    for uid, g in pdf.groupby("user_id"):
+        g = g.sort_values("day").reset_index(drop=True)
+        x = g["fails"].to_numpy()
+        np.testing.assert_allclose(g["fails_spearman"], brute_trailing_spearman(x), atol=1e-12)
+        for i in range(1, len(g)):
+            past = np.sort(x[:i])
+            assert g["fails_med_self"].iloc[i] == past[(len(past) - 1) // 2]
+            lo = max(0, i - 6)
+            if np.ptp(g["day"].iloc[lo:i + 1]) > 0:
+                slope = np.polyfit(g["day"].iloc[lo:i + 1], x[lo:i + 1], 1)[0]
+                assert g["fails_ramp_slope"].iloc[i] == pytest.approx(slope, abs=1e-9)
+    for (grp, day), g in pdf.groupby(["group", "day"]):
+        x = g["hosts"].astype(float).to_numpy()
+        for k in range(len(x)):
+            others = np.delete(x, k)
+            if len(others) >= 2:
+                assert g.iloc[k]["hosts_std_peer_loo"] == pytest.approx(others.std(ddof=1), abs=1e-12)
