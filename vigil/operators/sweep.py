@@ -68,12 +68,15 @@ def score_all_runs(features: DataFrame, cfg_cols: dict, forest: ForestParams,
     """E3–E6 for every run: returns (node table, scored rows).
 
     Forests are fitted on all rows; rows are scored from ``score_from_day``
-    on (None: all rows).
+    on (None: all rows).  ``features`` should be materialised (checkpointed):
+    the sample, the fit and the scoring pass each read it.
     """
     spark = features.sparkSession
     all_cols = union_columns(cfg_cols)
-    matrix = materialize(prepare_matrix(features, all_cols))
-    n = matrix.count()
+    # a projection of the (already materialised) feature table: re-derived by
+    # each reader rather than written again
+    matrix = prepare_matrix(features, all_cols)
+    n = features.count()
     psi = min(forest.max_samples, n)
     nodes = materialize(fit_forests(matrix, cfg_cols, forest, n_rows=n))
     packed = pack_forests(nodes, cfg_cols, psi, forest)
