@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.params import ForestParams
+from vigil.session import ship_package
 
 NODE_SCHEMA = ("config string, seed int, tree int, node int, feature int, "
                "threshold double, left int, right int, depth int, size int, path double")
@@ -294,6 +295,7 @@ def fit_forests(matrix: DataFrame, config_columns: dict[str, list[str]],
     n_rows = matrix.count() if n_rows is None else n_rows
     psi = min(params.max_samples, n_rows)
     all_cols = sorted({c for cols in config_columns.values() for c in cols})
+    ship_package(matrix.sparkSession)          # the grouped-map function lives here
     sample = sample_rows(matrix.select("user_id", "day", *all_cols), n_rows, params)
     # trees are grown in blocks: one Python call per (seed, block) amortises
     # the per-call overhead; a group holds block x psi rows
@@ -391,6 +393,7 @@ def score_rows(matrix: DataFrame, forests_bc, all_columns: list[str]) -> DataFra
                     "anomaly_type": pdf["anomaly_type"].to_numpy(object),
                     "score": forest.score(X)})
 
+    ship_package(matrix.sparkSession)
     cols = ["user_id", "day", "is_anomaly", "anomaly_type", *all_columns]
     return matrix.select(*cols).mapInPandas(run, SCORE_SCHEMA)
 
