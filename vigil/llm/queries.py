@@ -24,6 +24,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("items"), F.round("similarity", 6).alias("similarity"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and near-duplicate component."""
+    from vigil.llm.ngram_join import near_duplicate_components
+    return near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that spread over ten sites or more."""
     from vigil.llm.line_dedup import dedup_lines
@@ -34,6 +40,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
+    "op4_ngram_join": op4_ngram_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
