@@ -30,6 +30,31 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of 2048 tokens."""
+    import public_tokenizers
+
+    from vigil.llm.packing import packed_digest
+    return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest inner products of every vector whose id divides by 50."""
+    from vigil.llm.topk import top_k
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    from vigil.llm.secrets import scan_secrets, span_text
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
+        count(2).alias("n_hex"), F.sha2(span_text("base"), 256).alias("base_sha256"),
+        span_text("spans").alias("spans"), "n_live", "n_example")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that spread over ten sites or more."""
     from vigil.llm.line_dedup import dedup_lines
@@ -41,6 +66,9 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
     "op4_ngram_join": op4_ngram_join,
+    "op6_packing": op6_packing,
+    "op8_topk": op8_topk,
+    "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
 }
 
