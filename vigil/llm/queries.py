@@ -24,12 +24,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("items"), F.round("similarity", 6).alias("similarity"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from vigil.llm.toxicity import toxicity_of
+    return toxicity_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and near-duplicate component."""
     from vigil.llm.ngram_join import near_duplicate_components
     return near_duplicate_components(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    import public_tokenizers
+
+    from vigil.llm.language_id import language_of
+    return language_of(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of 2048 tokens."""
     import public_tokenizers
@@ -65,7 +79,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
