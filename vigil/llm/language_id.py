@@ -181,6 +181,7 @@ def _expect(batches: Iterator[pa.RecordBatch], path: str, model: dict) -> Iterat
 def fit(docs: DataFrame, path: str, learn, id_col: str = "doc_id", text_col: str = "text",
         lang_col: str = "lang", fit_rows: int = FIT_ROWS, rounds: int = EM_ROUNDS) -> dict[str, np.ndarray]:
     """Piece probabilities of every language: one array of the vocabulary's size each."""
+    ship_package(docs.sparkSession)
     v = vocabulary(path)
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
@@ -225,15 +226,20 @@ class _Scorer:
 _scorers: dict[bytes, _Scorer] = {}
 
 
-def _predict(batches: Iterator[pa.RecordBatch], path: str, langs: list[str], prob: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _scorer(path: str, langs: list[str], prob: np.ndarray) -> _Scorer:
     import hashlib
     key = hashlib.blake2b(prob.tobytes() + "\0".join(langs).encode()).digest()
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = _Scorer(path, langs, prob)
-    s = _scorers[key]
+    return _scorers[key]
+
+
+def _predict(batches: Iterator[pa.RecordBatch], path: str, langs: list[str], prob: np.ndarray, text_col: str,
+             keep: list[str], names: list[str]) -> Iterator[pa.RecordBatch]:
+    s = _scorer(path, langs, prob)
     for b in batches:
-        texts = b.column("text").to_pylist()
+        texts = b.column(text_col).to_pylist()
         pred, score = [], []
         for lo in range(0, len(texts), 128):
             split = [words_of(t or "") for t in texts[lo:lo + 128]]
@@ -248,22 +254,29 @@ def _predict(batches: Iterator[pa.RecordBatch], path: str, langs: list[str], pro
                 best = int(total.argmax())
                 pred.append(langs[best])
                 score.append(float(total[best] / total.sum()))
-        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                         ["id", "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())], names)
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], path: str, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score of every row."""
+def annotate(docs: DataFrame, model: dict[str, np.ndarray], path: str, text_col: str, pred: str, score: str,
+             keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all, if not given) and the prediction of every row."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    keep = docs.columns if keep is None else keep
     if not model:
-        return rows.select("id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias(pred), F.lit(0.0).alias(score))
     langs = sorted(model)
     prob = np.stack([model[g] for g in langs], axis=1)
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_predict, path=path, langs=langs, prob=prob),
-                           f"id {kind}, lang_pred string, score double")
+    out = docs.select(*keep, F.lit("").alias(pred), F.lit(0.0).alias(score)).schema
+    return docs.mapInArrow(partial(_predict, path=path, langs=langs, prob=prob, text_col=text_col, keep=keep,
+                                   names=out.names), out)
+
+
+def identify(docs: DataFrame, model: dict[str, np.ndarray], path: str, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """id, lang_pred, score of every row."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return annotate(rows, model, path, "text", "lang_pred", "score", ["id"])
 
 
 def held_out(id_col: str = "doc_id"):
@@ -272,7 +285,6 @@ def held_out(id_col: str = "doc_id"):
 
 def language_of(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows that are not held out."""
-    ship_package(docs.sparkSession)
     model = fit(docs, path, ~held_out())
     return identify(docs, model, path).select(
         F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import textvec as tv
-from vigil.llm.common import row_parallelism, stored
+from vigil.llm.common import fresh, row_parallelism, stored
 from vigil.session import ship_package
 
 PERCENT = 75
@@ -397,18 +397,54 @@ def _open_pairs(lists: DataFrame, probes: DataFrame, labels: DataFrame, percent:
         .groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
 
 
-def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                              percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def row_keys(id_col: str, text_col: str) -> tuple:
+    """Two hashes that name a row by its id and text."""
+    i = F.col(id_col).cast("long")
+    return F.xxhash64(i, F.col(text_col)), F.xxhash64(F.col(text_col), i, F.lit(1))
+
+
+def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 percent: int = PERCENT) -> DataFrame:
+    """id, n, k1, k2, label (null for an empty set), component_id of every row."""
+    k1, k2 = row_keys(id_col, text_col)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
-                       F.xxhash64(text_col).alias("k1"), F.xxhash64(text_col, F.lit(1)).alias("k2"))
+                       k1.alias("k1"), k2.alias("k2"))
     members, labels = link_sets(text, percent)
     classes = members.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
     whole = classes.join(labels, "cid", "left").select(
         "cid", "least", F.coalesce("label", "cid").alias("label"))
     comps = whole.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = stored(whole.join(comps, "label").select("cid", "component_id"), "components")
-    # half-rows by class: a hot class joins one row, so the join is split by AQE and not by key
+    by_class = stored(whole.join(comps, "label").select("cid", "label", "component_id"), "components")
     return members.join(by_class, "cid", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        "id", "n", "k1", "k2", "label",
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                              percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return grouped_rows(docs, id_col, text_col, percent).select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                         percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component (the smallest id, then text hash); rows
+    without words stay.  Only the keys of the rows that go are joined with the texts."""
+    rows = grouped_rows(docs, id_col, text_col, percent).where("label IS NOT NULL") \
+        .groupBy("label", "k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2"))
+                                      .alias("f")).select("label", F.col("f.k1").alias("f1"), F.col("f.k2").alias("f2"))
+    goes = (F.col("k1") != F.col("f1")) | (F.col("k2") != F.col("f2"))
+    marked = stored(rows.join(first, "label").select("k1", "k2", goes.alias("goes"), "c")
+                    .where("goes OR c > 1"), "marked-rows")
+    k1, k2 = fresh(docs, "k1", "k2")
+    a, b = row_keys(id_col, text_col)
+    keyed = docs.withColumns({k1: a, k2: b})
+    gone = marked.where("goes").select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    left = keyed.join(gone, [k1, k2], "left_anti")         # rows without words are never marked
+    again = marked.where("NOT goes").select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    if not again.isEmpty():                                # rows equal in id and text: one stays
+        left = left.join(again, [k1, k2], "left_anti").unionByName(
+            left.join(again, [k1, k2], "left_semi").dropDuplicates([k1, k2]))
+    return left.select(*docs.columns)

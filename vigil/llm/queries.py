@@ -52,6 +52,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the normalised archives."""
+    from vigil.llm.warc import round_trip
+    records, _ = round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest inner products of every vector whose id divides by 50."""
     from vigil.llm.topk import top_k
@@ -83,6 +90,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
