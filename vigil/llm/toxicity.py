@@ -32,8 +32,10 @@ from vigil.session import ship_package
 
 #: labelled rows the model is fitted on, at most (the smallest hashes)
 FIT_ROWS = 20_000
-#: a term marks toxic rows this much more often (log odds), in so many of them
-MIN_ODDS, MIN_ROWS = 3.5, 5
+#: a term marks toxic rows this much more often (log odds), in so many and such a share of them
+MIN_ODDS, MIN_ROWS, MIN_SHARE = 4.0, 5, 0.01
+#: a kind of hit with lower log odds is no evidence
+MIN_WEIGHT = 1.0
 STEMS = (4, 5, 6)
 #: words on each side that tell quotation from use
 WINDOW = 6
@@ -57,7 +59,8 @@ def bare(token: str) -> str:
 
 
 def edits(term: str) -> int:
-    n = len(term.rstrip("*"))
+    """Edits allowed to a term; a stem, open to any continuation, allows none."""
+    n = 0 if term.endswith("*") else len(term)
     return 0 if n < 5 else 1 if n < 8 else 2
 
 
@@ -175,7 +178,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int) -> list[str]:
     counted = sample.mapInArrow(_terms, "term string, t bigint, f bigint") \
         .groupBy("term").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     strong = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("f") + 0.5) / (other + 1)) >= MIN_ODDS
-    found = counted.where((F.col("t") >= MIN_ROWS) & strong).toPandas()
+    found = counted.where((F.col("t") >= max(MIN_ROWS, MIN_SHARE * toxic)) & strong).toPandas()
     seen = dict(zip(found["term"], found["t"]))
     words = {w: t for w, t in seen.items() if not w.endswith("*")}
     under: dict[str, list[int]] = {}
@@ -184,10 +187,12 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int) -> list[str]:
             under.setdefault(w[:n] + "*", []).append(t)
     stems = {}
     for s in sorted((s for s in seen if s.endswith("*")), key=len):
-        if any(s[:n] + "*" in stems for n in STEMS if n < len(s) - 1):
-            continue
-        if max(under.get(s, [0])) < 0.5 * seen[s]:
-            stems[s] = seen[s]
+        if any(s[:n] + "*" in seen for n in STEMS if n < len(s) - 1):
+            continue                                        # a shorter stem speaks for it
+        if max(under.get(s, [0])) < 0.5 * seen[s]:          # else one word speaks for the stem
+            # the longest stem that keeps nearly all its rows
+            longer = [x for x in seen if x.endswith("*") and x.startswith(s[:-1]) and seen[x] >= 0.9 * seen[s]]
+            stems[max(longer, key=len)] = seen[s]
     rest = [w for w in words if not any(w[:n] + "*" in stems for n in STEMS)]
     return sorted(rest) + sorted(stems)
 
@@ -264,7 +269,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     rate = int((1 << 30) * min(1.0, fit_rows / max(n, 1)))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate)        # about fit_rows rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")) \
-        .join(F.broadcast(known), "id").select("toxic", "text")
+        .join(F.broadcast(known), "id").select("toxic", "text").dropDuplicates()   # copies count once
     sample = stored(rows, "labelled-sample")
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
@@ -286,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
             weights[t, m, 0] = own
             q = seen.get((t, m, 1), (0, 0))
             weights[t, m, 1] = float(odds(*q, toxic, other)) if sum(q) else own / 10
-    return terms, weights, base
+    return terms, {k: w for k, w in weights.items() if w >= MIN_WEIGHT}, base
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
