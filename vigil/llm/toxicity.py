@@ -250,19 +250,20 @@ def _kinds(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.R
             ["term", "misspelled", "quoted", "t", "f"])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], terms: list[str], weights: dict, none: float) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], terms: list[str], weights: dict, none: float, prior: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, out = b.column("text").to_pylist(), []
         for lo in range(0, len(texts), 128):
             for h in hits([t or "" for t in texts[lo:lo + 128]], terms):
-                z = none + sum(weights.get(k, 0.0) for k in h)
+                found = sum(weights.get(k, 0.0) for k in h)
+                z = prior + found if found else none
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.float64())], ["id", "score"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", fit_rows: int = FIT_ROWS):
-    """(terms, weights of the kinds of hits, log odds of a text without hits)."""
+    """(terms, weights of the kinds of hits, log odds of a text without hits, of any text)."""
     known = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     n = known.count()
@@ -274,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
-        return [], {}, -30.0
+        return [], {}, -30.0, -30.0
     terms = learn_lexicon(sample, toxic, other)
     kinds = sample.mapInArrow(partial(_kinds, terms=terms),
                               "term int, misspelled int, quoted int, t bigint, f bigint") \
@@ -291,18 +292,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
             weights[t, m, 0] = own
             q = seen.get((t, m, 1), (0, 0))
             weights[t, m, 1] = float(odds(*q, toxic, other)) if sum(q) else own / 10
-    return terms, {k: w for k, w in weights.items() if w >= MIN_WEIGHT}, base
+    return terms, {k: w for k, w in weights.items() if w >= MIN_WEIGHT}, base, float(odds(toxic, other, 0, 0))
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1) of every row."""
     ship_package(docs.sparkSession)
-    terms, weights, none = model
+    terms, weights, none, prior = model
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not terms:
         return rows.select("id", F.lit(float(1 / (1 + np.exp(-none))) if none > -30 else 0.0).alias("score"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(partial(_scores, terms=terms, weights=weights, none=none), f"id {kind}, score double")
+    return rows.mapInArrow(partial(_scores, terms=terms, weights=weights, none=none, prior=prior), f"id {kind}, score double")
 
 
 def held_out(id_col: str = "doc_id"):
