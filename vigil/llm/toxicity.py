@@ -287,8 +287,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     for t in range(len(terms)):
         for m in (0, 1):
             plain = seen.get((t, m, 0), (0, 0))
-            # unseen kinds: a misspelling counts half, a quotation a tenth of what is known
-            own = float(odds(*plain, toxic, other)) if sum(plain) else (weights[t, 0, 0] / 2 if m else 0.0)
+            # one misspelling is weak evidence, two are strong: a third of what is known; an
+            # unseen quotation counts a tenth
+            own = float(odds(*plain, toxic, other)) if sum(plain) else (weights[t, 0, 0] if m else 0.0)
+            own = min(own, weights[t, 0, 0]) / 3 if m else own
             weights[t, m, 0] = own
             q = seen.get((t, m, 1), (0, 0))
             weights[t, m, 1] = float(odds(*q, toxic, other)) if sum(q) else own / 10
