@@ -8,13 +8,15 @@ differ and one more finds the pair.  The first m/8 segments also index their
 one-deletion neighbourhood: such a segment finds the pair at one difference and
 counts twice.  Small bands take every shingle as its own segment.
 
-Cost-based allocation: a set probes only with the D+1 cheapest of its units by
-the measured length of their lists; lists that hold no other set cost nothing,
-so a set without partners probes nothing.  A set whose units fall short of D+1
-(empty segments) is compared on its shingles directly.
-
-Candidates are verified exactly.  Hub rounds first link every set to one member
-of its lists; after them only pairs whose components still differ are
+Cost-based allocation: a linked set shares all but D of a set's units, so the
+set may leave out some and still require the others to match.  It leaves out the
+dearest by the measured length of their lists, half of what it can spare, and a
+candidate must match all but D of the rest; lists that hold no other set cost
+nothing, so a set without partners probes nothing.  A set whose units fall short
+of D+1 (empty segments) is compared on its shingles directly.
+
+Candidates are verified exactly.  Hub rounds first link sets to one likely member
+of their lists; after them only pairs whose components still differ are
 verified, so a group of copies costs its size and not its square.
 
 The index travels as packed blocks (ten bytes an entry) dealt by signature,
@@ -46,7 +48,7 @@ SEGMENTED = 64
 #: index entries meant for one block of signatures
 BLOCK_ENTRIES = 1_000_000
 #: hub rounds before the remaining pairs are verified one by one
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: a class of equal sets with this share of the rows is indexed by one row only
 HOT_SHARE = 1e-3
 BROADCAST_KEYS = 1_000_000
@@ -161,7 +163,7 @@ def _distinct_sets(b: pa.RecordBatch, hot: dict) -> Iterator[tuple[np.ndarray, n
 
 def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
            percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
-    """Packed index blocks; block -1 holds the ids whose units fall short."""
+    """Packed index blocks; blocks under zero hold the ids whose units fall short."""
     for b in batches:
         for tokens, sizes, cids in _distinct_sets(b, hot):
             for lo in range(0, len(sizes), 30_000):          # entity numbers have 16 bits
@@ -195,7 +197,8 @@ def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
 
 
 def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a block that hold two sets or more.  Rows arrive sorted by block."""
+    """The lists of a block that hold two sets or more, and the ids that fall short (a
+    null key).  Rows arrive sorted by block."""
     def flush(ents: list, rows: list) -> pa.RecordBatch | None:
         shift = np.cumsum([0] + [len(e) for e in ents])
         ent = np.concatenate(ents)
@@ -222,9 +225,17 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(e["units"]), pa.array(unit[keep].astype(np.int32))],
             ["key", "cid", "n", "band", "units", "unit"])
 
+    def short(ids: np.ndarray) -> pa.RecordBatch:
+        none = [pa.nulls(len(ids), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
+        return pa.RecordBatch.from_arrays([none[0], pa.array(ids), *none[1:]],
+                                          ["key", "cid", "n", "band", "units", "unit"])
+
     now, ents, rows = None, [], []
     for b in batches:
         for block, e, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if block < 0:
+                yield short(np.frombuffer(e, "<i8"))
+                continue
             if block != now and rows:
                 if (out := flush(ents, rows)) is not None:
                     yield out
@@ -251,10 +262,12 @@ def _small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact overlap."""
-    a = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select(
+    """The pairs (a, b) that link, by exact overlap.  Only the sets that pairs name move."""
+    pairs = _small(pairs)
+    a = pairs.join(sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a")
+    named = _small(stored(pairs.select("b").distinct(), "named"))
+    b = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")).join(named, "b", "left_semi")
+    both = a.join(b, "b").select(
         "a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"),
         F.size(F.array_intersect("ta", "tb")).alias("c"))
     return stored(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
@@ -297,12 +310,12 @@ def link_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
     blocks = max(row_parallelism(spark), int(tokens * 0.7) // BLOCK_ENTRIES + 1)
     index = docs.select("id", "text").mapInArrow(
         partial(_index, blocks=blocks, hot=hot, percent=percent), "block int, entities binary, entries binary")
-    index = stored(index, "index")
-    live = stored(index.where("block >= 0").repartition(blocks, "block").sortWithinPartitions("block")
-                  .mapInArrow(_live_lists, "key bigint, cid bigint, n int, band int, units int, unit int"),
-                  "lists")
+    found = stored(index.repartition(blocks, "block").sortWithinPartitions("block")
+                   .mapInArrow(_live_lists, "key bigint, cid bigint, n int, band int, units int, unit int"),
+                   "lists")
+    live, short = found.where("key IS NOT NULL"), found.where("key IS NULL").select("cid").distinct()
 
-    # cost-based allocation: the cheapest D+1 units of each (set, band)
+    # cost-based allocation: all units of each (set, band) but the dearest it can spare
     delta = F.expr(f"(n + least(n * 100 div {percent}, shiftleft(1L, band + 1) - 1)) "
                    f"* {100 - percent} div {100 + percent}")
     lists = live.groupBy("key").agg(F.count("*").alias("length"))
@@ -312,22 +325,28 @@ def link_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
     seg = Window.partitionBy("cid", "band", F.expr("unit div 2"))
     unit_cost = unit_cost.withColumn("cost", F.max("cost").over(seg.orderBy("unit")))
     mine = Window.partitionBy("cid", "band")
-    probes = unit_cost.withColumn("place", F.row_number().over(mine.orderBy("cost", "deletion", "unit"))) \
+    spare = F.floor(F.greatest(F.col("units") - delta, F.lit(0)) / 2)
+    chosen = unit_cost.withColumn("place", F.row_number().over(mine.orderBy("cost", "deletion", "unit"))) \
         .withColumn("free", F.col("units") - F.count("*").over(mine)) \
-        .where(F.col("place") <= delta + 1 - F.col("free"))
-    probes = live.join(probes.select("cid", "band", "unit"), ["cid", "band", "unit"])
-    probes = stored(probes, "probes")
+        .withColumn("asked", (F.col("units") - spare).cast("int")) \
+        .where((F.col("free") <= delta) & (F.col("place") <= F.col("asked") - F.col("free")))
+    chosen = chosen.withColumn("weight", F.count("*").over(seg)).select("cid", "band", "unit", "asked", "weight")
+    probes = stored(live.join(chosen, ["cid", "band", "unit"]), "probes")
     lists = stored(live.join(probes.select("key").distinct(), "key", "left_semi"), "probed-lists")
 
-    sets = _sets_of(docs, members, lists.select("cid").distinct())
-    links = _exhaustive(docs, members, index, percent)
+    links = _exhaustive(docs, members, short, percent)
     nodes = lists.select("cid").unionByName(links.select(F.col("a").alias("cid"))) \
         .unionByName(links.select(F.col("b").alias("cid"))).distinct()
     labels = components(stored(nodes.select("cid", F.col("cid").alias("label")), "nodes"), links)
+
+    def after(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        return components(labels, _verified(pairs, _sets_of(docs, members, named), percent))
+
     for turn in range(HUB_ROUNDS):
-        labels = components(labels, _verified(_hub_pairs(lists, labels, turn, percent), sets, percent))
-    rest = _open_pairs(lists, probes, labels, percent)
-    return members, components(labels, _verified(rest, sets, percent))
+        labels = after(_hub_pairs(lists, labels, turn, percent))
+    return members, after(_open_pairs(lists, probes, labels, percent))
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -339,13 +358,11 @@ def _sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFram
     return stored(arrays.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
 
 
-def _exhaustive(docs: DataFrame, members: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+def _exhaustive(docs: DataFrame, members: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """Links of the sets whose units fall short (rare: empty segments), on their shingles."""
-    short = index.where("block = -1").select("entities")
-    found = stored(short.mapInArrow(_short_ids, "cid bigint").distinct(), "short")
-    if found.isEmpty():
+    if short.isEmpty():
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    few = _sets_of(docs, members, found).select(F.col("cid").alias("a"), F.size("tokens").alias("na"),
+    few = _sets_of(docs, members, short).select(F.col("cid").alias("a"), F.size("tokens").alias("na"),
                                                 F.explode("tokens").alias("t"))
     every = docs.select("id", "text").mapInArrow(_token_arrays, "cid bigint, tokens array<bigint>") \
         .select(F.col("cid").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t")) \
@@ -355,15 +372,10 @@ def _exhaustive(docs: DataFrame, members: DataFrame, index: DataFrame, percent:
                   .select("a", "b"), "short-links")
 
 
-def _short_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for x in b.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<i8"))], ["cid"])
-
-
 def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair per set: the hub of another component that most of its lists name."""
-    at = lists.join(labels, "cid")
+    """One pair per set: the hub of another component that most of its lists name, where
+    they are a good part of the set's.  Which pairs are tried here decides speed only."""
+    at = lists.where("unit % 2 = 0").join(labels, "cid")
     rank = F.xxhash64("label", F.lit(turn))
     hubs = at.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "label")).alias("hub"),
                                  F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -371,30 +383,40 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) ->
     votes = at.join(hubs, "key").where(
         (F.col("label") != F.col("hub.label"))
         & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))) \
-        .groupBy("cid", F.col("hub.cid").alias("h")).agg(F.count("*").alias("c"))
+        .groupBy("cid", F.col("hub.cid").alias("h"), "units", "band").agg(F.count("*").alias("c")) \
+        .where(F.col("c") >= 0.25 * F.col("units"))
     return votes.groupBy("cid").agg(F.max(F.struct("c", "h")).alias("best")).select(
         F.col("cid").alias("a"), F.col("best.h").alias("b"))
 
 
 def _open_pairs(lists: DataFrame, probes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a probe and a larger set of its list whose components differ.  In a
-    list only members outside its main component meet the others."""
+    """Every pair of a probing set and one no smaller whose components differ and which
+    matches all but D of the units asked for.  In a list only members outside its main
+    component meet the others."""
     at = lists.join(labels, "cid")
     sizes = at.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")) \
         .where("k > 1").select("key", F.col("m.label").alias("main"))
-    flagged = probes.select("key", "cid", "band", "unit", F.lit(True).alias("probe"))
+    flagged = probes.select("key", "cid", "band", "unit", "asked", "weight")
     at = stored(at.join(main, "key").join(flagged, ["key", "cid", "band", "unit"], "left")
                 .withColumn("own", F.expr("shiftleft(1, band) <= n")), "open-lists")
-    x, y = at.where("label <> main").alias("x"), at.alias("y")
-
-    def side(r: str, s: str):
-        return F.expr(f"{r}.probe AND {s}.own AND ({r}.n < {s}.n OR ({r}.n = {s}.n AND {r}.cid < {s}.cid)) "
-                      f"AND 100 * {r}.n >= {percent} * {s}.n AND ({r}.unit % 2 = 0 OR {s}.unit % 2 = 0)")
-    pairs = x.join(y, F.expr("x.key = y.key AND x.label <> y.label AND x.cid <> y.cid")
-                   & (F.coalesce(side("x", "y"), F.lit(False)) | F.coalesce(side("y", "x"), F.lit(False))))
-    return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")) \
-        .groupBy("a", "b").agg(F.lit(1).alias("one")).drop("one")
+
+    def meet(r: DataFrame, s: DataFrame) -> DataFrame:
+        r = r.where("asked IS NOT NULL").alias("r")
+        s = s.where("own").alias("s")
+        both = r.join(s, F.expr(
+            "r.key = s.key AND r.label <> s.label AND (r.n < s.n OR (r.n = s.n AND r.cid < s.cid)) "
+            f"AND 100 * r.n >= {percent} * s.n AND (r.unit % 2 = 0 OR s.unit % 2 = 0)"))
+        return both.select(F.col("r.cid").alias("a"), F.col("s.cid").alias("b"), "r.band", "r.asked", "r.weight",
+                           (F.col("r.n") + F.col("s.n")).alias("both"), F.expr("r.unit div 2").alias("seg"))
+
+    off, on = at.where("label <> main"), at.where("label = main")
+    met = meet(off, at).unionByName(meet(on, off))
+    # a segment's matches count once, with all its units
+    met = met.groupBy("a", "b", "band", "asked", "both", "seg").agg(F.max("weight").alias("w")) \
+        .groupBy("a", "b", "band", "asked", "both").agg(F.sum("w").alias("w"))
+    lost = F.expr(f"both * {100 - percent} div {100 + percent}")
+    return met.where(F.col("w") >= F.col("asked") - lost).select("a", "b").distinct()
 
 
 def row_keys(id_col: str, text_col: str) -> tuple:
