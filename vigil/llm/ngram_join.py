@@ -19,7 +19,7 @@ Candidates are verified exactly.  Hub rounds first link sets to one likely membe
 of their lists; after them only pairs whose components still differ are
 verified, so a group of copies costs its size and not its square.
 
-The index travels as packed blocks (ten bytes an entry) dealt by signature,
+The index travels as packed blocks (eight bytes an entry) dealt by signature,
 their number follows the data.  Shingles are 64-bit hashes.
 
 Defined results: null, empty and word-free texts are empty sets, linked with
@@ -44,7 +44,7 @@ from vigil.session import ship_package
 
 PERCENT = 75
 #: smallest set size that is cut into segments
-SEGMENTED = 64
+SEGMENTED = 16
 #: index entries meant for one block of signatures
 BLOCK_ENTRIES = 1_000_000
 #: hub rounds before the remaining pairs are verified one by one
@@ -55,12 +55,14 @@ BROADCAST_KEYS = 1_000_000
 
 U = np.uint64
 _ENTITY = np.dtype([("cid", "<i8"), ("n", "<i4"), ("band", "<i2"), ("units", "<i4")])
-_ENTRY = np.dtype([("lo", "<u4"), ("hi", "<u2"), ("entity", "<u2"), ("unit", "<u2")])
+_ENTRY = np.dtype([("sig", "<u4"), ("entity", "<u2"), ("unit", "<u2")])     # 32 bits beside the block
 
 
 def segments_of(band):
     """(segments, of which with deletion neighbourhoods) of a band of sizes [2**band, 2**(band+1))."""
-    m = np.maximum(1, (np.left_shift(1, np.asarray(band, np.int64) + 1) * 33) // 100)
+    top = np.left_shift(1, np.asarray(band, np.int64) + 1)
+    # the share keeps the units five deviations over D+1; small bands leave more segments empty
+    m = np.maximum(1, top * np.where(top >= 128, 33, np.where(top >= 64, 40, 45)) // 100)
     return m, np.maximum(1, m // 8)
 
 
@@ -176,7 +178,7 @@ def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
                 block = ((sig >> U(48)) * U(blocks)) >> U(16)
                 order = np.argsort(block, kind="stable")
                 rows = np.zeros(len(sig), _ENTRY)
-                rows["lo"], rows["hi"] = sig & U(0xFFFFFFFF), (sig >> U(32)) & U(0xFFFF)
+                rows["sig"] = sig & U(0xFFFFFFFF)
                 rows["entity"], rows["unit"] = ent, unit & 0xFFFF
                 rows, block = rows[order], block[order]
                 names, at = np.unique(block, return_index=True)
@@ -199,12 +201,12 @@ def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
 def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lists of a block that hold two sets or more, and the ids that fall short (a
     null key).  Rows arrive sorted by block."""
-    def flush(ents: list, rows: list) -> pa.RecordBatch | None:
+    def flush(block: int, ents: list, rows: list) -> pa.RecordBatch | None:
         shift = np.cumsum([0] + [len(e) for e in ents])
         ent = np.concatenate(ents)
         row = np.concatenate(rows)
         who = np.concatenate([r["entity"].astype(np.int64) + s for r, s in zip(rows, shift)])
-        key = (row["hi"].astype(np.int64) << 32) | row["lo"].astype(np.int64)
+        key = (block << 32) | row["sig"].astype(np.int64)
         order = np.lexsort((ent["cid"][who], key))
         key, who, unit = key[order], who[order], row["unit"][order]
         cid = ent["cid"][who]
@@ -237,13 +239,13 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield short(np.frombuffer(e, "<i8"))
                 continue
             if block != now and rows:
-                if (out := flush(ents, rows)) is not None:
+                if (out := flush(now, ents, rows)) is not None:
                     yield out
                 ents, rows = [], []
             now = block
             ents.append(np.frombuffer(e, _ENTITY))
             rows.append(np.frombuffer(r, _ENTRY))
-    if rows and (out := flush(ents, rows)) is not None:
+    if rows and (out := flush(now, ents, rows)) is not None:
         yield out
 
 
@@ -407,16 +409,14 @@ def _open_pairs(lists: DataFrame, probes: DataFrame, labels: DataFrame, percent:
         both = r.join(s, F.expr(
             "r.key = s.key AND r.label <> s.label AND (r.n < s.n OR (r.n = s.n AND r.cid < s.cid)) "
             f"AND 100 * r.n >= {percent} * s.n AND (r.unit % 2 = 0 OR s.unit % 2 = 0)"))
-        return both.select(F.col("r.cid").alias("a"), F.col("s.cid").alias("b"), "r.band", "r.asked", "r.weight",
-                           (F.col("r.n") + F.col("s.n")).alias("both"), F.expr("r.unit div 2").alias("seg"))
+        return both.select(F.col("r.cid").alias("a"), F.col("s.cid").alias("b"), "r.weight",
+                           (F.col("r.asked") - F.expr(f"(r.n + s.n) * {100 - percent} div {100 + percent}"))
+                           .alias("least"))
 
     off, on = at.where("label <> main"), at.where("label = main")
-    met = meet(off, at).unionByName(meet(on, off))
-    # a segment's matches count once, with all its units
-    met = met.groupBy("a", "b", "band", "asked", "both", "seg").agg(F.max("weight").alias("w")) \
-        .groupBy("a", "b", "band", "asked", "both").agg(F.sum("w").alias("w"))
-    lost = F.expr(f"both * {100 - percent} div {100 + percent}")
-    return met.where(F.col("w") >= F.col("asked") - lost).select("a", "b").distinct()
+    # a segment matches one key of the other set; the band is that of the larger set
+    return meet(off, at).unionByName(meet(on, off)).groupBy("a", "b") \
+        .agg(F.sum("weight").alias("w"), F.max("least").alias("least")).where("w >= least").select("a", "b")
 
 
 def row_keys(id_col: str, text_col: str) -> tuple:
