@@ -20,8 +20,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 @pytest.mark.parametrize("params,match", [
     (AnalysisParams(evaluation=EvalParams(primary_top_k=7)), "primary_top_k"),
     (AnalysisParams(evaluation=EvalParams(aggregation="median")), "aggregation"),
-    (AnalysisParams(features=FeatureParams(families=("self_z",))), "not an enabled family"),
-    (AnalysisParams(features=FeatureParams(families=("self_z", "bogus"))), "Unknown feature family"),
+    (AnalysisParams(features=FeatureParams(families=("self_z",))), "family_computed of z"),
+    (AnalysisParams(features=FeatureParams(families=("self_z", "bogus"))), "family_known of features"),
 ])
 def test_invalid_parameters_rejected(params, match):
     with pytest.raises(ValueError, match=match):
@@ -38,7 +38,7 @@ def test_unknown_target_group(spark):
     from vigil.operators.scenarios import scenario_table
     users = spark.createDataFrame([(1, "a")], "user_id long, group string")
     sc = scenario_table(spark, [dict(name="exfil", target_group="zzz", n_victims=1)])
-    with pytest.raises(ValueError, match="unknown group"):
+    with pytest.raises(ValueError, match="no users in the group"):
         checks.check_target_groups(sc, users)
 
 

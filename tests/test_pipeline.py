@@ -55,7 +55,7 @@ def test_cached_features_reused(spark, run):
 def test_unknown_target_group_rejected(spark):
     bad = AnalysisParams(scenarios=(dict(name="exfil", target_group="NOPE", n_victims=1,
                                          duration_days=1),))
-    with pytest.raises(ValueError, match="unknown group"):
+    with pytest.raises(ValueError, match="no users in the group"):
         pipeline.run(spark, SF, bad)
 
 

@@ -134,14 +134,14 @@ def test_days_beyond_data_touch_nothing(spark):
 def test_too_few_users_raises(spark):
     act = activity_df(spark, _activity_rows(n_days=4))
     scen = (dict(DEFAULT_SCENARIOS[4], n_victims=13),)        # exec has 12 users
-    with pytest.raises(ValueError, match="Not enough users"):
+    with pytest.raises(ValueError, match="victims, its group"):
         plant(act, scenario_table(spark, scen), seed=0, test_window_start=2)
 
 
 def test_unknown_attack_raises(spark):
     act = activity_df(spark, _activity_rows(n_days=4))
     scen = (dict(name="teleport", target_group="exec", n_victims=1, duration_days=1),)
-    with pytest.raises(ValueError, match="No handler"):
+    with pytest.raises(ValueError, match="no overlay rule"):
         plant(act, scenario_table(spark, scen), seed=0, test_window_start=2)
 
 

@@ -40,8 +40,9 @@ class TrailingRankCorrelation:
     """Spearman correlation of position vs value over a short trailing window.
 
     The window's values are given oldest first (e.g. ``lag(x, n-1) ..
-    lag(x, 1), x``); a null is an absent element, which for a trailing frame
-    only happens before the user's first row.  With average ranks,
+    lag(x, 1), x``); ``rows`` is the number of rows in the
+    frame, so a lag before the user's first row is told from a null value: a
+    window that holds a null value gives 0.0.  With average ranks,
     r_i - (k+1)/2 = 1/2 * sum_j sign(v_i - v_j), hence
 
         cov   = 1/2 * sum_{i<j} (i - j) * sign(v_i - v_j)
@@ -74,20 +75,21 @@ class TrailingRankCorrelation:
         t, n = self.t, self.n
         s = {p: q(f"{t}_s{p[0]}_{p[1]}") for p in self.pairs}
         k = q(f"{t}_k")
-        mean = f"({q(t + '_tot')} / {k})"
+        mean = f"try_divide({q(t + '_tot')}, {k})"
         row_sign = [sql_tree_sum([s[(i, j)] for j in range(i + 1, n)]
                                  + [f"-{s[(j, i)]}" for j in range(i)]) for i in range(n)]
         cov = f"{sql_tree_sum(f'{lit(i - j)} * {s[(i, j)]}' for i, j in self.pairs)} / 2.0D"
         var_r = f"{sql_tree_sum(f'({r}) * ({r})' for r in row_sign)} / 4.0D"
-        var_v = (sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN (({x}) - {mean}) * (({x}) - {mean}) "
-                              f"ELSE 0.0D END" for x in values) + f" / {k}")
+        square = sql_tree_sum(f"CASE WHEN ({x}) IS NOT NULL THEN (({x}) - {mean}) * (({x}) - {mean}) "
+                              f"ELSE 0.0D END" for x in values)
+        var_v = f"try_divide({square}, {k})"
         return [f"{k} AS {q(t + '_k2')}", f"{cov} AS {q(t + '_cov')}",
                 f"{var_r} AS {q(t + '_vr')}", f"{var_v} AS {q(t + '_vv')}"]
 
-    def result(self) -> str:
+    def result(self, rows: str) -> str:
         t = self.t
         k = q(f"{t}_k2")
-        return (f"CASE WHEN {k} >= {int(self.min_rows)} AND sqrt({q(t + '_vv')}) > {lit(self.min_std)} "
+        return (f"CASE WHEN {k} = {rows} AND {k} >= {int(self.min_rows)} AND sqrt({q(t + '_vv')}) > {lit(self.min_std)} "
                 f"THEN coalesce(nanvl(try_divide({q(t + '_cov')}, sqrt(({k} * ({k} * {k} - 1.0D) / 12.0D) "
                 f"* {q(t + '_vr')})), 0.0D), 0.0D) ELSE 0.0D END")
 

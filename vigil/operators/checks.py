@@ -6,32 +6,38 @@ ledger), so they cost one pass over the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.params import AGGREGATIONS, FAMILY_ORDER, AnalysisParams
 
 
+def membership_rules(params: AnalysisParams, n_days: int | None = None) -> list[tuple]:
+    """H2 as one table: (rule, subject, value, the values allowed)."""
+    ev, computed = params.evaluation, params.features.families
+    rules = [("aggregation", "evaluation", ev.aggregation, AGGREGATIONS),
+             ("primary_top_k", "evaluation", ev.primary_top_k, ev.top_k_values)]
+    rules += [("family_known", "features", f, FAMILY_ORDER) for f in computed]
+    rules += [("family_computed", name, f, computed)
+              for name, families in params.feature_sets.items() for f in families]
+    if n_days is not None:
+        rules.append(("test_window_start", "evaluation", ev.test_window_start, range(n_days)))
+    return rules
+
+
+def parameter_violations(spark: SparkSession, params: AnalysisParams, n_days: int | None = None) -> DataFrame:
+    """H2: one row (rule, subject, value) per broken rule."""
+    return spark.createDataFrame(
+        [(rule, subject, str(value)) for rule, subject, value, allowed in membership_rules(params, n_days)
+         if value not in allowed], "rule string, subject string, value string")
+
+
 def validate(params: AnalysisParams, n_days: int | None = None) -> None:
-    """H2: cross-parameter consistency (raises ValueError)."""
-    ev = params.evaluation
-    if n_days is not None and ev.test_window_start >= n_days:
-        raise ValueError(f"test_window_start ({ev.test_window_start}) must be less than "
-                         f"n_days ({n_days})")
-    if ev.primary_top_k not in ev.top_k_values:
-        raise ValueError(f"primary_top_k ({ev.primary_top_k}) must be in top_k_values")
-    enabled = set(params.features.families)
-    for f in enabled:
-        if f not in FAMILY_ORDER:
-            raise ValueError(f"Unknown feature family: {f!r}")
-    for name, fams in params.feature_sets.items():
-        for fam in fams:
-            if fam not in enabled:
-                raise ValueError(f"feature set {name!r} references {fam!r} "
-                                 "but it is not an enabled family")
-    if ev.aggregation not in AGGREGATIONS:
-        raise ValueError(f"aggregation must be one of {list(AGGREGATIONS)}, "
-                         f"got {ev.aggregation!r}")
+    """H2: raise one error that names every broken rule."""
+    broken = [f"{rule} of {subject}: {value!r}"
+              for rule, subject, value, allowed in membership_rules(params, n_days) if value not in allowed]
+    if broken:
+        raise ValueError("; ".join(broken))
 
 
 def unknown_target_groups(scenarios: DataFrame, users: DataFrame) -> DataFrame:
@@ -43,8 +49,8 @@ def unknown_target_groups(scenarios: DataFrame, users: DataFrame) -> DataFrame:
 def check_target_groups(scenarios: DataFrame, users: DataFrame) -> None:
     bad = unknown_target_groups(scenarios, users).collect()      # parameter-sized
     if bad:
-        raise ValueError(f"Attack {bad[0]['name']!r} targets unknown group "
-                         f"{bad[0]['target_group']!r}")
+        raise ValueError("no users in the group aimed at: " + ", ".join(
+            f"{r['name']} -> {r['target_group']}" for r in bad))
 
 
 def key_violations(activity: DataFrame) -> DataFrame:

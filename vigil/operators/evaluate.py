@@ -22,8 +22,7 @@ _AGG = {"sum": F.sum, "max": F.max, "mean": F.avg}
 
 def check_aggregation(aggregation: str) -> None:
     if aggregation not in AGGREGATIONS:
-        raise ValueError(f"Unknown aggregation: {aggregation!r}. "
-                         f"Must be one of {list(AGGREGATIONS)}")
+        raise ValueError(f"aggregation {aggregation!r} is none of {', '.join(AGGREGATIONS)}")
 
 
 def check_alignment(rows: DataFrame, scored: DataFrame, keys=("user_id", "day")) -> None:

@@ -19,7 +19,7 @@ Plan shape (one measure list, all families):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.stats import (
@@ -45,33 +45,6 @@ _INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 # ---------------------------------------------------------------- windows C*
 
-def user_order() -> Window:
-    """C4: a user's rows ordered by day (lag order)."""
-    return Window.partitionBy("user_id").orderBy("day")
-
-
-def past_frame(history_rows: int | None = None) -> Window:
-    """The user's earlier rows, excluding today (optionally bounded)."""
-    lo = Window.unboundedPreceding if history_rows is None else -int(history_rows)
-    return user_order().rowsBetween(lo, -1)
-
-
-def peer_partition() -> Window:
-    """Same group, same day (kept for ad-hoc use; the features use an
-    aggregate + join instead, see module doc)."""
-    return Window.partitionBy("group", "day")
-
-
-def rolling_frame(n: int) -> Window:
-    """The last ``n`` rows before today."""
-    return user_order().rowsBetween(-int(n), -1)
-
-
-def trailing_frame(n: int) -> Window:
-    """Today and the ``n-1`` rows before it."""
-    return user_order().rowsBetween(-(int(n) - 1), 0)
-
-
 # ------------------------------------------------------------ column naming
 
 def family_columns(family: str, raw_columns) -> list[str]:
@@ -128,8 +101,6 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
     The plan is built from a fixed number of projections — L1 windows → peer
     join → L2 (MAD window, level-1 arithmetic) → L3 → final — each given
     as SQL text (one driver→JVM call per projection; see functions.stats).
-    The frames are the same as ``past_frame`` / ``rolling_frame`` /
-    ``trailing_frame`` / ``user_order`` above.
     """
     fams = _check_families(params.families if families is None else families)
     raw = list(params.raw_columns)
@@ -181,6 +152,8 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
             # the trailing frame as lag columns, oldest first
             l1 += [f"lag({xd(c)}, {j}) OVER {w_lag} AS {q(f'_{c}_lag_{j}')}"
                    for j in range(n_sp - 1, 0, -1)]
+    if "spearman" in fams:
+        l1.append(f"count(1) OVER {_frame(f'{n_sp - 1} PRECEDING', 'CURRENT ROW')} AS `_sp_rows`")
     if l1:
         df = df.selectExpr("*", *l1)
 
@@ -238,7 +211,7 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
             if f == "spearman":
                 pos = name.endswith("_pos")
                 c = name[: -len("_spearman_pos")] if pos else name[: -len("_spearman")]
-                rho = spear[c].result()
+                rho = spear[c].result("`_sp_rows`")
                 final.append(f"{f'greatest({rho}, 0.0D)' if pos else rho} AS {q(name)}")
             else:
                 final.append(q(name))

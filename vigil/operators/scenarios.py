@@ -70,7 +70,7 @@ def check_scenario_names(scenarios: DataFrame) -> None:
     known = F.array(*[F.lit(a) for a in KNOWN_ATTACKS])
     bad = scenarios.where(~F.array_contains(known, F.col("name"))).select("name").collect()
     if bad:
-        raise ValueError(f"No handler for attack type: {bad[0]['name']}")
+        raise ValueError(f"no overlay rule is defined for {bad[0]['name']}")
 
 
 def _draw_key(seed: int) -> F.Column:
@@ -170,8 +170,8 @@ def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
                victims.groupBy("attack_type").agg(F.count("*").alias("cnt")).collect()}
         for p in plan:
             if got.get(p["attack_type"], 0) < p["n"]:
-                raise ValueError(f"Not enough users in group for {p['attack_type']!r}: "
-                                 f"need {p['n']}, have {got.get(p['attack_type'], 0)}")
+                raise ValueError(f"{p['attack_type']} asks for {p['n']} victims, its group "
+                                 f"offers {got.get(p['attack_type'], 0)}")
     return victims
 
 

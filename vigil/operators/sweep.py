@@ -7,6 +7,8 @@ emits every run's score, one keyed evaluation and one aggregate.
 
 from __future__ import annotations
 
+from itertools import chain, product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,36 +33,44 @@ from vigil.session import materialize
 RUN_KEYS = ("config", "seed")
 
 
-def resolve_columns(config_name: str, feature_sets: dict = FEATURE_SETS,
-                    raw_columns=RAW_COLUMNS) -> list[str]:
-    """Matrix columns of a named set — raw measures first, then each
-    family's templates (ramp and spearman for bytes only)."""
-    families = feature_sets.get(config_name, ())
-    cols = list(raw_columns)
-    for family in families:
-        templates = FAMILY_MATRIX_COLUMNS.get(family)
-        if templates is None:
-            raise ValueError(f"Unknown feature family: {family!r}. "
-                             f"Known: {list(FAMILY_MATRIX_COLUMNS)}")
-        apply_to = ["bytes"] if family in BYTES_ONLY_FAMILIES else list(raw_columns)
-        for c in apply_to:
-            for t in templates:
-                cols.append(t.format(c=c))
-    return cols
+def family_catalog(raw_columns=RAW_COLUMNS) -> dict[str, tuple[str, ...]]:
+    """Matrix columns of every family over the raw measures; the measures
+    themselves are the entry ``raw``."""
+    return {"raw": tuple(raw_columns)} | {
+        family: tuple(t.format(c=c) for c, t in product(
+            ("bytes",) if family in BYTES_ONLY_FAMILIES else raw_columns, templates))
+        for family, templates in FAMILY_MATRIX_COLUMNS.items()}
+
+
+def feature_set_rows(feature_sets: dict = FEATURE_SETS, raw_columns=RAW_COLUMNS) -> list[tuple]:
+    """E1/E2 as rows (config, ordinal, family, column), in declared order."""
+    catalog = family_catalog(raw_columns)
+    unknown = {f for families in feature_sets.values() for f in families} - set(catalog)
+    if unknown:
+        raise ValueError(f"no such family: {', '.join(sorted(unknown))}")
+    return [(config, ordinal, family, column)
+            for config, families in feature_sets.items()
+            for ordinal, (family, column) in enumerate(
+                (f, c) for f in ("raw", *families) for c in catalog[f])]
 
 
 def config_columns(feature_sets: dict = FEATURE_SETS, raw_columns=RAW_COLUMNS) -> dict:
     """Every named set → its columns, in declared order."""
-    return {name: resolve_columns(name, feature_sets, raw_columns) for name in feature_sets}
+    out: dict[str, list[str]] = {}
+    for config, _, _, column in feature_set_rows(feature_sets, raw_columns):
+        out.setdefault(config, []).append(column)
+    return out
+
+
+def resolve_columns(config_name: str, feature_sets: dict = FEATURE_SETS,
+                    raw_columns=RAW_COLUMNS) -> list[str]:
+    """The columns of one set (raw measures only if it is not declared)."""
+    one = {config_name: feature_sets.get(config_name, ())}
+    return config_columns(one, raw_columns)[config_name]
 
 
 def union_columns(cfg_cols: dict) -> list[str]:
-    seen: list[str] = []
-    for cols in cfg_cols.values():
-        for c in cols:
-            if c not in seen:
-                seen.append(c)
-    return seen
+    return list(dict.fromkeys(chain.from_iterable(cfg_cols.values())))
 
 
 def score_all_runs(features: DataFrame, cfg_cols: dict, forest: ForestParams,
@@ -105,12 +115,9 @@ def summarize(runs: DataFrame, evaluation: EvalParams = EvalParams(),
               decimals: int = SUMMARY_DECIMALS) -> DataFrame:
     """Seed average of every metric, half-even rounding, headline
     columns first, best primary precision first (ties by config)."""
-    p = evaluation.primary_top_k
-    metrics = metric_columns(evaluation) + ["n_features"]
-    agg = runs.groupBy("config").agg(*[
-        F.bround(F.avg(F.col(m).cast("double")), decimals).alias(m) for m in metrics])
-    priority = ["config", "n_features", f"precision_at_{p}", f"recall_at_{p}",
-                *[f"caught_{t}" for t in evaluation.attack_types_tracked]]
-    rest = [c for c in ["config", *metrics] if c not in priority]
-    return (agg.select(*priority, *rest)
-            .orderBy(F.col(f"precision_at_{p}").desc(), F.col("config")))
+    headline = [f"precision_at_{evaluation.primary_top_k}", f"recall_at_{evaluation.primary_top_k}"]
+    place = {m: i for i, m in enumerate(
+        ["n_features", *headline, *(f"caught_{t}" for t in evaluation.attack_types_tracked)])}
+    ordered = sorted([*metric_columns(evaluation), "n_features"], key=lambda m: place.get(m, len(place)))
+    averages = [F.bround(F.avg(F.col(m).cast("double")), decimals).alias(m) for m in ordered]
+    return runs.groupBy("config").agg(*averages).orderBy(F.col(headline[0]).desc(), F.col("config"))

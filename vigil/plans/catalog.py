@@ -373,7 +373,7 @@ def _sql_spearman() -> str:
         f"+ (count(*) OVER (PARTITION BY user_id, day, x_{c}) - 1) / 2.0 AS r_{c}" for c in RAW)
     rho = []
     for c in RAW:
-        rho.append(f"CASE WHEN count(*) >= 3 AND stddev_pop(x_{c}) > 1e-9 THEN "
+        rho.append(f"CASE WHEN count(*) >= 3 AND count(x_{c}) = count(*) AND stddev_pop(x_{c}) > 1e-9 THEN "
                    f"coalesce(CASE WHEN isnan(corr(pos, r_{c})) THEN 0.0 ELSE corr(pos, r_{c}) END, 0.0) "
                    f"ELSE 0.0 END AS {c}_spearman")
     pos = [f"greatest({c}_spearman, 0.0) AS {c}_spearman_pos" for c in RAW]

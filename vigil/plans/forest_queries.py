@@ -40,11 +40,11 @@ def q_forest_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_forest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Every test-window row scored by every forest."""
+    """Every row scored by every forest."""
     params = AnalysisParams()
     _, _, features = _features(spark, sf, params)
     _, scored = score_all_runs(features, config_columns(params.feature_sets), params.forest,
-                               params.evaluation.test_window_start)
+                               score_from_day=None)
     return scored
 
 
