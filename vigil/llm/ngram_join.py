@@ -16,8 +16,11 @@ nothing, so a set without partners probes nothing.  A set whose units fall short
 of D+1 (empty segments) is compared on its shingles directly.
 
 Candidates are verified exactly.  Hub rounds first link sets to one likely member
-of their lists; after them only pairs whose components still differ are
-verified, so a group of copies costs its size and not its square.
+of their lists, the one that shares most with the others to begin with; after them
+only pairs whose components still differ are verified, so a group of copies costs
+its size and not its square.  A member of long lists that is still apart counts the
+shingles that any other set of its lists holds: no overlap exceeds that number, and
+the variants too far from all others meet none of them.
 
 The index travels as packed blocks (eight bytes an entry) dealt by signature,
 their number follows the data.  Shingles are 64-bit hashes.
@@ -49,6 +52,8 @@ SEGMENTED = 16
 BLOCK_ENTRIES = 1_000_000
 #: hub rounds before the remaining pairs are verified one by one
 HUB_ROUNDS = 2
+#: members from which a list is long
+LONG_LIST = 64
 #: a class of equal sets with this share of the rows is indexed by one row only
 HOT_SHARE = 1e-3
 BROADCAST_KEYS = 1_000_000
@@ -348,7 +353,9 @@ def link_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
 
     for turn in range(HUB_ROUNDS):
         labels = after(_hub_pairs(lists, labels, turn, percent))
-    return members, after(_open_pairs(lists, probes, labels, percent))
+    open_lists = _open_lists(lists, probes, labels)
+    shared = _shared_shingles(docs, members, open_lists)
+    return members, after(_open_pairs(open_lists, shared, percent))
 
 
 def _sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -376,10 +383,16 @@ def _exhaustive(docs: DataFrame, members: DataFrame, short: DataFrame, percent:
 
 def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
     """One pair per set: the hub of another component that most of its lists name, where
-    they are a good part of the set's.  Which pairs are tried here decides speed only."""
-    at = lists.where("unit % 2 = 0").join(labels, "cid")
-    rank = F.xxhash64("label", F.lit(turn))
-    hubs = at.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "cid", "n", "label")).alias("hub"),
+    they are a good part of the set's.  The first hubs are the sets with the longest lists
+    (the middle of a group), later ones are drawn.  Which pairs are tried decides speed only."""
+    at = lists.where("unit % 2 = 0")
+    if turn == 0:
+        lengths = at.groupBy("key").agg(F.count("*").alias("length"))
+        reach = at.join(lengths, "key").groupBy("cid").agg((-F.sum("length")).alias("rank"))
+        at = at.join(labels.join(reach, "cid"), "cid")
+    else:
+        at = at.join(labels, "cid").withColumn("rank", F.xxhash64("label", F.lit(turn)))
+    hubs = at.groupBy("key").agg(F.min(F.struct("rank", "cid", "n", "label")).alias("hub"),
                                  F.min("label").alias("lo"), F.max("label").alias("hi"))
     hubs = hubs.where("lo <> hi").select("key", "hub")
     votes = at.join(hubs, "key").where(
@@ -391,24 +404,48 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) ->
         F.col("cid").alias("a"), F.col("best.h").alias("b"))
 
 
-def _open_pairs(lists: DataFrame, probes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair of a probing set and one no smaller whose components differ and which
-    matches all but D of the units asked for.  In a list only members outside its main
-    component meet the others."""
+def _open_lists(lists: DataFrame, probes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, with the largest of them (``main``), the
+    list's length and what the probing sets ask."""
     at = lists.join(labels, "cid")
     sizes = at.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k")) \
-        .where("k > 1").select("key", F.col("m.label").alias("main"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k"),
+                                    F.sum("c").alias("length")) \
+        .where("k > 1").select("key", F.col("m.label").alias("main"), "length")
     flagged = probes.select("key", "cid", "band", "unit", "asked", "weight")
-    at = stored(at.join(main, "key").join(flagged, ["key", "cid", "band", "unit"], "left")
-                .withColumn("own", F.expr("shiftleft(1, band) <= n")), "open-lists")
+    return stored(at.join(main, "key").join(flagged, ["key", "cid", "band", "unit"], "left")
+                  .withColumn("own", F.expr("shiftleft(1, band) <= n")), "open-lists")
+
+
+def _shared_shingles(docs: DataFrame, members: DataFrame, open_lists: DataFrame) -> DataFrame:
+    """cid, alone: the shingles of a set of long lists that no other set of its open lists
+    (long or short) holds, where there are any."""
+    apart = stored(open_lists.where(f"length >= {LONG_LIST} AND label <> main").select("cid").distinct(), "apart")
+    if apart.isEmpty():
+        return apart.select("cid", F.lit(0).cast("long").alias("alone"))
+    keys = open_lists.join(_small(apart), "cid", "left_semi").select("key").distinct()
+    near = stored(open_lists.join(keys, "key", "left_semi").select("cid").distinct(), "near-apart")
+    tokens = _sets_of(docs, members, near).select("cid", F.explode("tokens").alias("t"))
+    single = tokens.groupBy("t").agg(F.min("cid").alias("cid"), F.count("*").alias("c")).where("c = 1")
+    alone = single.groupBy("cid").agg(F.count("*").alias("alone"))
+    return stored(alone.join(_small(apart), "cid", "left_semi"), "alone")
+
+
+def _open_pairs(open_lists: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Every pair of a probing set and one no smaller whose components differ and which
+    matches all but D of the units asked for.  In a list only members outside its main
+    component meet the others."""
+    at = open_lists.join(_small(shared), "cid", "left") \
+        .withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))) \
+        .where(f"{100 + percent} * most >= {percent} * (n + n * {percent} div 100)")
 
     def meet(r: DataFrame, s: DataFrame) -> DataFrame:
         r = r.where("asked IS NOT NULL").alias("r")
         s = s.where("own").alias("s")
         both = r.join(s, F.expr(
             "r.key = s.key AND r.label <> s.label AND (r.n < s.n OR (r.n = s.n AND r.cid < s.cid)) "
-            f"AND 100 * r.n >= {percent} * s.n AND (r.unit % 2 = 0 OR s.unit % 2 = 0)"))
+            f"AND 100 * r.n >= {percent} * s.n AND (r.unit % 2 = 0 OR s.unit % 2 = 0) "
+            f"AND {100 + percent} * least(r.most, s.most) >= {percent} * (r.n + s.n)"))
         return both.select(F.col("r.cid").alias("a"), F.col("s.cid").alias("b"), "r.weight",
                            (F.col("r.asked") - F.expr(f"(r.n + s.n) * {100 - percent} div {100 + percent}"))
                            .alias("least"))
