@@ -18,9 +18,9 @@ of D+1 (empty segments) is compared on its shingles directly.
 Candidates are verified exactly.  Hub rounds first link sets to one likely member
 of their lists, the one that shares most with the others to begin with; after them
 only pairs whose components still differ are verified, so a group of copies costs
-its size and not its square.  A member of long lists that is still apart counts the
-shingles that any other set of its lists holds: no overlap exceeds that number, and
-the variants too far from all others meet none of them.
+its size and not its square.  The sets that lie in long lists with a quarter of their
+units count the shingles that any other of them holds: no overlap of two of them
+exceeds that number, and the variants too far from all others meet none of them.
 
 The index travels as packed blocks (eight bytes an entry) dealt by signature,
 their number follows the data.  Shingles are 64-bit hashes.
@@ -418,26 +418,25 @@ def _open_lists(lists: DataFrame, probes: DataFrame, labels: DataFrame) -> DataF
 
 
 def _shared_shingles(docs: DataFrame, members: DataFrame, open_lists: DataFrame) -> DataFrame:
-    """cid, alone: the shingles of a set of long lists that no other set of its open lists
-    (long or short) holds, where there are any."""
-    apart = stored(open_lists.where(f"length >= {LONG_LIST} AND label <> main").select("cid").distinct(), "apart")
-    if apart.isEmpty():
-        return apart.select("cid", F.lit(0).cast("long").alias("alone"))
-    keys = open_lists.join(_small(apart), "cid", "left_semi").select("key").distinct()
-    near = stored(open_lists.join(keys, "key", "left_semi").select("cid").distinct(), "near-apart")
-    tokens = _sets_of(docs, members, near).select("cid", F.explode("tokens").alias("t"))
+    """cid, alone of the sets with a quarter of their units in long lists: the number of
+    their shingles that no other such set holds."""
+    crowd = open_lists.where(f"length >= {LONG_LIST}").groupBy("cid", "band").agg(
+        F.count("*").alias("c"), F.max("units").alias("units")).where("4 * c >= units").select("cid").distinct()
+    crowd = stored(crowd, "crowd")
+    if crowd.isEmpty():
+        return crowd.select("cid", F.lit(0).cast("long").alias("alone"))
+    tokens = _sets_of(docs, members, crowd).select("cid", F.explode("tokens").alias("t"))
     single = tokens.groupBy("t").agg(F.min("cid").alias("cid"), F.count("*").alias("c")).where("c = 1")
     alone = single.groupBy("cid").agg(F.count("*").alias("alone"))
-    return stored(alone.join(_small(apart), "cid", "left_semi"), "alone")
+    return stored(crowd.join(alone, "cid", "left").select("cid", F.coalesce("alone", F.lit(0)).alias("alone")),
+                  "alone")
 
 
 def _open_pairs(open_lists: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
     """Every pair of a probing set and one no smaller whose components differ and which
     matches all but D of the units asked for.  In a list only members outside its main
     component meet the others."""
-    at = open_lists.join(_small(shared), "cid", "left") \
-        .withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0))) \
-        .where(f"{100 + percent} * most >= {percent} * (n + n * {percent} div 100)")
+    at = open_lists.join(_small(shared), "cid", "left").withColumn("most", F.col("n") - F.col("alone"))
 
     def meet(r: DataFrame, s: DataFrame) -> DataFrame:
         r = r.where("asked IS NOT NULL").alias("r")
@@ -445,7 +444,8 @@ def _open_pairs(open_lists: DataFrame, shared: DataFrame, percent: int) -> DataF
         both = r.join(s, F.expr(
             "r.key = s.key AND r.label <> s.label AND (r.n < s.n OR (r.n = s.n AND r.cid < s.cid)) "
             f"AND 100 * r.n >= {percent} * s.n AND (r.unit % 2 = 0 OR s.unit % 2 = 0) "
-            f"AND {100 + percent} * least(r.most, s.most) >= {percent} * (r.n + s.n)"))
+            "AND (r.most IS NULL OR s.most IS NULL "         # both count each other's shingles
+            f"OR {100 + percent} * least(r.most, s.most) >= {percent} * (r.n + s.n))"))
         return both.select(F.col("r.cid").alias("a"), F.col("s.cid").alias("b"), "r.weight",
                            (F.col("r.asked") - F.expr(f"(r.n + s.n) * {100 - percent} div {100 + percent}"))
                            .alias("least"))
