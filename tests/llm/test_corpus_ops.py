@@ -213,6 +213,30 @@ def test_ngram_components_match_brute_force(docs, rows, empty):
     assert near_duplicate_components(empty).count() == 0
 
 
+def test_ngram_long_lists_match_brute_force(spark):
+    """A large group of variants, part of them too far from all others to link."""
+    from vigil.llm.ngram_join import LONG_LIST, near_duplicate_components
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(4 * LONG_LIST):
+        text = list(base)
+        for place in rng.sample(range(150), rng.randrange(9)):
+            text[place] = f"e{i}x{place}"
+        rows.append((i, " ".join(text)))
+    sets = [_shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    assert len(set(label)) > 10 and Counter(label).most_common(1)[0][1] > LONG_LIST
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_index_pigeonhole():
     """Any two sets within the similarity share a key in the larger one's band."""
     from vigil.llm import textvec as tv
