@@ -353,7 +353,7 @@ def test_chunk_encoder_equals_whole_texts():
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     texts = ["", " ", "  a  b ", "a\n\n b\t\tc \n", "it's we'll 12ab3 !?", "x y 　z\x1ca", "<|endoftext|> é",
-             "a\r\n  b", "\n", " \n x", "tab\t word"]
+             "a\r\n  b", "\n", " \n x", "tab\t word", "foo.bar, é.x! e\u0301. x(.) ×. ÷, $$$a%b 1.5 3,000:; it's. \"a\"."]
     got = [np.frombuffer(b, "<u4").tolist() for b in ChunkEncoder(path).encode(texts)]
     assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 

@@ -38,8 +38,9 @@ CACHE = 600_000
 class ChunkEncoder:
     """Ids of whole texts, taken chunk by chunk from a bounded cache.
 
-    The byte-level pattern always breaks before a space that precedes a word, so
-    a text is the concatenation of its chunks ' ?\\S+' and its white space; a text
+    The byte-level pattern always breaks before a space that precedes a word and
+    between a letter or digit and a mark such as a stop, so a text is the
+    concatenation of the chunks cut there and its white space; a text
     with white space other than blank, tab and line ends is encoded whole.
     """
 
@@ -49,7 +50,9 @@ class ChunkEncoder:
         import tokenizers
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.chunks = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+").findall
+        # letters or digits before a mark or a gap end their piece; marks joined to words would
+        # make many more distinct chunks
+        self.chunks = re.compile(r" ?[A-Za-z0-9À-ÖØ-öø-ɏ]++(?![^\s.,;:!?$%])| ?[^\s]+|\s+(?!\S)|\s+").findall
         self.odd = re.compile(r"[^\S \n\t\r]").search
         self.known: dict[str, bytes] = {}
 
@@ -60,10 +63,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
         split = [None if self.odd(t) else self.chunks(t) for t in texts]
-        missing = list({c for s in split if s is not None for c in s if c not in known})
+        wanted = set().union(*(s for s in split if s is not None))
+        missing = list(wanted.difference(known))
         if len(known) + len(missing) > CACHE:
             known.clear()
-            missing = list({c for s in split if s is not None for c in s})
+            missing = list(wanted)
         known.update(zip(missing, self._ids(missing)))
         for t, s in zip(texts, split):
             yield self._ids([t])[0] if s is None else b"".join(map(known.__getitem__, s))
