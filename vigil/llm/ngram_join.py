@@ -50,6 +50,10 @@ PERCENT = 75
 SEGMENTED = 16
 #: index entries meant for one block of signatures
 BLOCK_ENTRIES = 1_000_000
+#: bytes of text hashed at once; smaller than elsewhere as the index holds many arrays a word
+SLICE_BYTES = 1 << 21
+#: rows of the live lists that leave a task at once
+LIST_ROWS = 100_000
 #: hub rounds before the remaining pairs are verified one by one
 HUB_ROUNDS = 2
 #: members from which a list is long
@@ -141,7 +145,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tv.text_buffers(b.column("text"))
         sizes, cids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for i, j in tv.slices(off):
+        for i, j in tv.slices(off, SLICE_BYTES):
             tokens, size = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
             sizes.append(size)
             cids.append(tv.set_ids(tokens, size))
@@ -155,7 +159,7 @@ def _distinct_sets(b: pa.RecordBatch, hot: dict) -> Iterator[tuple[np.ndarray, n
     """(tokens, sizes, ids) of a batch's slices; of a hot class only its first document's rows."""
     data, off = tv.text_buffers(b.column("text"))
     ids = b.column("id").to_pylist() if hot else None
-    for i, j in tv.slices(off):
+    for i, j in tv.slices(off, SLICE_BYTES):
         tokens, sizes = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
         cids = tv.set_ids(tokens, sizes)
         take = np.zeros(len(sizes), bool)
@@ -206,14 +210,17 @@ def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
 def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lists of a block that hold two sets or more, and the ids that fall short (a
     null key).  Rows arrive sorted by block."""
-    def flush(block: int, ents: list, rows: list) -> pa.RecordBatch | None:
-        shift = np.cumsum([0] + [len(e) for e in ents])
+    def flush(block: int, ents: list, rows: list) -> Iterator[pa.RecordBatch]:
+        shift = np.cumsum([0] + [len(e) for e in ents], dtype=np.int32)
         ent = np.concatenate(ents)
         row = np.concatenate(rows)
-        who = np.concatenate([r["entity"].astype(np.int64) + s for r, s in zip(rows, shift)])
+        who = np.concatenate([r["entity"].astype(np.int32) + s for r, s in zip(rows, shift)])
+        ents.clear()
+        rows.clear()
         key = (block << 32) | row["sig"].astype(np.int64)
         order = np.lexsort((ent["cid"][who], key))
         key, who, unit = key[order], who[order], row["unit"][order]
+        del order, row
         cid = ent["cid"][who]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         # repeats of an entry (copies in other batches) go; deletions may meet their own segment
@@ -224,13 +231,15 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_key) - 1
         many = np.bincount(group, weights=new_cid) >= 2
         keep = fresh & many[group]
-        if not keep.any():
-            return None
-        who, e = who[keep], ent[who[keep]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[keep]), pa.array(e["cid"]), pa.array(e["n"]), pa.array(e["band"].astype(np.int32)),
-             pa.array(e["units"]), pa.array(unit[keep].astype(np.int32))],
-            ["key", "cid", "n", "band", "units", "unit"])
+        kept = np.flatnonzero(keep)
+        del cid, fresh, new_key, new_cid, group, many, keep
+        for lo in range(0, len(kept), LIST_ROWS):
+            at = kept[lo:lo + LIST_ROWS]
+            e = ent[who[at]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[at]), pa.array(e["cid"]), pa.array(e["n"]), pa.array(e["band"].astype(np.int32)),
+                 pa.array(e["units"]), pa.array(unit[at].astype(np.int32))],
+                ["key", "cid", "n", "band", "units", "unit"])
 
     def short(ids: np.ndarray) -> pa.RecordBatch:
         none = [pa.nulls(len(ids), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
@@ -244,14 +253,12 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield short(np.frombuffer(e, "<i8"))
                 continue
             if block != now and rows:
-                if (out := flush(now, ents, rows)) is not None:
-                    yield out
-                ents, rows = [], []
+                yield from flush(now, ents, rows)
             now = block
             ents.append(np.frombuffer(e, _ENTITY))
             rows.append(np.frombuffer(r, _ENTRY))
-    if rows and (out := flush(now, ents, rows)) is not None:
-        yield out
+    if rows:
+        yield from flush(now, ents, rows)
 
 
 def _token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
