@@ -237,6 +237,24 @@ def test_ngram_long_lists_match_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+def test_ngram_hot_class_in_any_order(spark):
+    """The copies of a hot class stand in one slice, its smallest id last, beside near variants."""
+    from vigil.llm.ngram_join import near_duplicate_components
+    rng = random.Random(12)
+    base = _words(rng, 150)
+    rows = [(i, " ".join(base)) for i in range(70)]
+    rng.shuffle(rows)
+    rows.sort(key=lambda r: r[0] == 0)
+    for i in range(70, 75):
+        text = list(base)
+        text[i] = f"changed{i}"
+        rows.insert(rng.randrange(60), (i, " ".join(text)))
+    rows += [(100 + i, " ".join(_words(rng, 60))) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()}
+    assert got == {i: 0 if i < 75 else i for i, _ in rows}
+
+
 def test_index_pigeonhole():
     """Any two sets within the similarity share a key in the larger one's band."""
     from vigil.llm import textvec as tv

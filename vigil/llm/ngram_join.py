@@ -156,19 +156,19 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _distinct_sets(b: pa.RecordBatch, hot: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(tokens, sizes, ids) of a batch's slices; of a hot class only its first document's rows."""
+    """(tokens, sizes, ids) of a batch's slices; of a hot class only its smallest id's rows."""
     data, off = tv.text_buffers(b.column("text"))
     ids = b.column("id").to_pylist() if hot else None
     for i, j in tv.slices(off, SLICE_BYTES):
         tokens, sizes = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
         cids = tv.set_ids(tokens, sizes)
+        rows = sizes > 0
+        if hot:                                              # before the first of each set is taken
+            rows &= np.fromiter((hot.get(c, d) == d for c, d in zip(cids.view(np.int64).tolist(), ids[i:j])),
+                                bool, len(sizes))
+        rows = np.flatnonzero(rows)
         take = np.zeros(len(sizes), bool)
-        take[np.unique(cids, return_index=True)[1]] = True
-        take &= sizes > 0
-        if hot:
-            for r in np.flatnonzero(take):
-                c = int(cids[r].view(np.int64))
-                take[r] = c not in hot or hot[c] == ids[i + r]
+        take[rows[np.unique(cids[rows], return_index=True)[1]]] = True
         yield tokens[np.repeat(take, sizes)], sizes[take], cids[take]
 
 
