@@ -255,6 +255,34 @@ def test_ngram_hot_class_in_any_order(spark):
     assert got == {i: 0 if i < 75 else i for i, _ in rows}
 
 
+def test_ngram_large_sets_match_brute_force(spark):
+    """Sets with more unit numbers than 16 bits hold, one word changed and near the similarity."""
+    from vigil.llm.ngram_join import near_duplicate_components
+    rng = random.Random(14)
+    rows, want = [], {}
+    for n in (70_000, 150_000, 300_000):
+        base = [f"{n}w{i}" for i in range(n)]
+        texts = [base]
+        for changes in (1, round(n * 0.0275), round(n * 0.0295)):   # similar by about 1, 0.76 and 0.74
+            text = list(base)
+            for at in rng.sample(range(n // 5), changes):
+                text[5 * at] = f"c{changes}x{at}"
+            texts.append(text)
+        sets = [{hash(tuple(t[i:i + 5])) for i in range(n - 4)} for t in texts]
+        label = list(range(len(rows), len(rows) + 4))
+        for i in range(4):
+            for j in range(i):
+                if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                    lo, hi = sorted((label[i], label[j]))
+                    label = [lo if x == hi else x for x in label]
+        assert len(set(label)) == 2                        # the last one stands alone
+        for t, x in zip(texts, label):
+            want[len(rows)] = x
+            rows.append((len(rows), " ".join(t)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near_duplicate_components(docs).collect()} == want
+
+
 def test_index_pigeonhole():
     """Any two sets within the similarity share a key in the larger one's band."""
     from vigil.llm import textvec as tv

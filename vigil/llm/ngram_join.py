@@ -22,8 +22,8 @@ its size and not its square.  The sets that lie in long lists with a quarter of
 units count the shingles that any other of them holds: no overlap of two of them
 exceeds that number, and the variants too far from all others meet none of them.
 
-The index travels as packed blocks (eight bytes an entry) dealt by signature,
-their number follows the data.  Shingles are 64-bit hashes.
+The index travels as packed blocks (eight bytes an entry, ten beside unit numbers from
+65,536 on) dealt by signature, their number follows the data.  Shingles are 64-bit hashes.
 
 Defined results: null, empty and word-free texts are empty sets, linked with
 nothing, component_id their own id; equal sets are linked; a null id is ignored
@@ -64,7 +64,8 @@ BROADCAST_KEYS = 1_000_000
 
 U = np.uint64
 _ENTITY = np.dtype([("cid", "<i8"), ("n", "<i4"), ("band", "<i2"), ("units", "<i4")])
-_ENTRY = np.dtype([("sig", "<u4"), ("entity", "<u2"), ("unit", "<u2")])     # 32 bits beside the block
+#: 32 bits of the signature beside the block; the upper half of larger unit numbers travels apart
+_ENTRY = np.dtype([("sig", "<u4"), ("entity", "<u2"), ("unit", "<u2")])
 
 
 def segments_of(band):
@@ -189,37 +190,45 @@ def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
                 rows = np.zeros(len(sig), _ENTRY)
                 rows["sig"] = sig & U(0xFFFFFFFF)
                 rows["entity"], rows["unit"] = ent, unit & 0xFFFF
-                rows, block = rows[order], block[order]
+                rows, block, high = rows[order], block[order], (unit >> 16).astype("<u2")[order]
                 names, at = np.unique(block, return_index=True)
-                out_no, out_ent, out_rows = [], [], []
+                out_no, out_ent, out_rows, out_high = [], [], [], []
                 for no, p, q in zip(names, at, [*at[1:], len(block)]):
                     r = rows[p:q].copy()
                     used, r["entity"] = np.unique(r["entity"], return_inverse=True)
                     out_no.append(int(no))
                     out_ent.append(ents[used].tobytes())
                     out_rows.append(r.tobytes())
+                    out_high.append(high[p:q].tobytes() if high[p:q].any() else b"")
                 if len(short):
                     out_no.append(-1)
                     out_ent.append(np.unique(short).tobytes())
                     out_rows.append(b"")
+                    out_high.append(b"")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out_no, pa.int32()), pa.array(out_ent, pa.binary()),
-                     pa.array(out_rows, pa.binary())], ["block", "entities", "entries"])
+                     pa.array(out_rows, pa.binary()), pa.array(out_high, pa.binary())],
+                    ["block", "entities", "entries", "high"])
 
 
 def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lists of a block that hold two sets or more, and the ids that fall short (a
     null key).  Rows arrive sorted by block."""
-    def flush(block: int, ents: list, rows: list) -> Iterator[pa.RecordBatch]:
+    def flush(block: int, ents: list, rows: list, high: list) -> Iterator[pa.RecordBatch]:
         shift = np.cumsum([0] + [len(e) for e in ents], dtype=np.int32)
         ent = np.concatenate(ents)
         row = np.concatenate(rows)
         who = np.concatenate([r["entity"].astype(np.int32) + s for r, s in zip(rows, shift)])
+        unit = row["unit"]
+        if any(len(h) for h in high):
+            above = np.concatenate([h if len(h) else np.zeros(len(r), "<u2") for r, h in zip(rows, high)])
+            unit = unit | (above.astype(np.int32) << 16)
         ents.clear()
         rows.clear()
+        high.clear()
         key = (block << 32) | row["sig"].astype(np.int64)
         order = np.lexsort((ent["cid"][who], key))
-        key, who, unit = key[order], who[order], row["unit"][order]
+        key, who, unit = key[order], who[order], unit[order]
         del order, row
         cid = ent["cid"][who]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
@@ -246,19 +255,20 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([none[0], pa.array(ids), *none[1:]],
                                           ["key", "cid", "n", "band", "units", "unit"])
 
-    now, ents, rows = None, [], []
+    now, ents, rows, high = None, [], [], []
     for b in batches:
-        for block, e, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for block, e, r, h in zip(*(c.to_pylist() for c in b.columns)):
             if block < 0:
                 yield short(np.frombuffer(e, "<i8"))
                 continue
             if block != now and rows:
-                yield from flush(now, ents, rows)
+                yield from flush(now, ents, rows, high)
             now = block
             ents.append(np.frombuffer(e, _ENTITY))
             rows.append(np.frombuffer(r, _ENTRY))
+            high.append(np.frombuffer(h, "<u2"))
     if rows:
-        yield from flush(now, ents, rows)
+        yield from flush(now, ents, rows, high)
 
 
 def _token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,7 +333,8 @@ def link_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
         if r.first is not None}
     blocks = max(row_parallelism(spark), int(tokens * 0.7) // BLOCK_ENTRIES + 1)
     index = docs.select("id", "text").mapInArrow(
-        partial(_index, blocks=blocks, hot=hot, percent=percent), "block int, entities binary, entries binary")
+        partial(_index, blocks=blocks, hot=hot, percent=percent),
+        "block int, entities binary, entries binary, high binary")
     found = stored(index.repartition(blocks, "block").sortWithinPartitions("block")
                    .mapInArrow(_live_lists, "key bigint, cid bigint, n int, band int, units int, unit int"),
                    "lists")
