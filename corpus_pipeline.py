@@ -5,7 +5,8 @@ as Parquet and reread as the next stage's docs; all but the last return the
 columns of ``documents``.
 
 1. language: documents without a letter (``und``) or without a clear language go;
-2. lines: boilerplate lines go from the texts, the documents stay;
+2. lines: boilerplate lines go from the texts; a document whose words all lay in lines
+   that stay elsewhere holds nothing of its own and goes, the others stay;
 3. duplicates: one document of each near-duplicate group stays (its smallest id;
    documents without words stay);
 4. benchmark: documents that hold a benchmark item go;
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm import decontaminate, language_id, line_dedup, ngram_join, packing
-from vigil.llm.common import fresh, stored, table
+from vigil.llm.common import WORD, fresh, stored, table
 
 #: a language is clear from this posterior on
 CLEAR = 0.5
@@ -37,7 +38,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(docs)
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    had, = fresh(docs, "had_words")
+    out = line_dedup.dedup_lines(docs.withColumn(had, worded))
+    out = out.where(worded | ~F.col(had))         # emptied: every line of it stays in another place
     removed = out.columns[-1]                     # rows that lost no line keep their n_chars
     size = [F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c)
             if c == "n_chars" else F.col(c) for c in docs.columns]

@@ -512,3 +512,21 @@ def test_pipeline_stages(spark, tmp_path):
     again = corpus_pipeline.run(spark, src)
     cols = ["doc_id", "piece", "length", "ids_crc32"]
     assert Counter(map(tuple, again.select(*cols).collect())) == Counter(map(tuple, docs.select(*cols).collect()))
+
+
+def test_pipeline_keeps_one_of_a_copy_group(spark):
+    """Copies on 12 sources: one document reaches the packing stage, no emptied one does."""
+    import corpus_pipeline
+    rng = random.Random(15)
+    copy = "\n".join(" ".join(_words(rng, 12)) for _ in range(4))
+    rows = [(i, copy, "en", f"s{i}", len(copy)) for i in range(12)]
+    rows += [(20 + i, t, "en", "s1", len(t)) for i, t in enumerate(" ".join(_words(rng, 30)) for _ in range(3))]
+    rows += [(30, copy + "\nits own last line", "en", "s2", len(copy) + 18), (31, " \n", "en", "s3", 2), (32, None, "en", "s4", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, None)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    left = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert sorted(left) == [0, 20, 21, 22, 30, 31, 32]
+    assert left[0] == (copy, len(copy)) and left[30] == ("its own last line", 17)
+    assert left[31] == (" \n", 2) and left[32] == (None, None)

@@ -11,6 +11,7 @@ from vigil.session import checkpoint_dir
 
 # ASCII whitespace, the word separator shared by the shingle operators
 WORD_GAP = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
