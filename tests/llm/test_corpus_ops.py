@@ -494,6 +494,22 @@ def test_line_dedup_matches_brute_force(docs, rows, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_long_lines(spark):
+    """Long lines go from three sites on, from there to ten short ones stay."""
+    from vigil.llm.line_dedup import dedup_lines
+    rng = random.Random(16)
+    line = {n: " ".join(_words(rng, n)) for n in (49, 50, 80, 120)}
+    sites = {49: 9, 50: 3, 80: 2, 120: 9}
+    rows = [(100 * n + i, f"own {n} {i}\n{line[n]}  \nend {n} {i}", f"s{i}") for n, k in sites.items() for i in range(k)]
+    rows += [(9000 + i, f"more {i}\n{line[80]}", "s0") for i in range(20)]     # one site, many rows
+    rows += [(9500, line[80], None)]
+    out = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for n, k in sites.items():
+        assert [out[100 * n + i].n_removed for i in range(k)] == [0] + [int(n in (50, 120))] * (k - 1), n
+    assert out[5001].text == "own 50 1\nend 50 1" and out[5000].text == rows[9][1]
+    assert all(out[9000 + i].n_removed == 0 for i in range(20)) and out[9500].n_removed == 0
+
+
 # pipeline -------------------------------------------------------------- stages
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
