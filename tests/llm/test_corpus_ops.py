@@ -448,6 +448,18 @@ def test_top_k_is_exact(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_pivot_rows_are_bounded_before_ranking(spark):
+    """The rows ranked for pivots follow the sample and not the table."""
+    from vigil.llm.topk import choose_pivots, low_hashes, usable
+    rows = [(i, [float(i % 97), 1.0] if i < 20_000 else [1.0, 2.0, float(i)]) for i in range(20_030)]
+    v = usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    v = v.cache()
+    ranked = Counter(r.dim for r in low_hashes(v, 200).select("dim").collect())
+    assert 300 < ranked[2] < 500 and ranked[3] == 30
+    assert {d: len(p) for d, p in choose_pivots(v, 32, 200).items()} == {2: 32, 3: 30}
+    v.unpersist()
+
+
 # 9 ------------------------------------------------------------------- secrets
 def test_secrets(spark, docs, empty):
     from vigil.llm.secrets import base_spans, scan_secrets, span_text

@@ -9,7 +9,7 @@ evaluated too).  Queries and candidates travel as blocks; every pair of blocks i
 one unit of work, and the k best of each are merged.
 
 Pivots: chosen by farthest-first traversal from a bounded sample (PIVOT_SAMPLE
-rows of the smallest hash); they affect speed only.  Vectors of different length
+rows of the smallest hash among those under a hash rate); they affect speed only.  Vectors of different length
 are not compared.  Defined results: vectors that are null, empty or hold a null or
 non-finite component take no part, nor do rows without an id; equal rows are rows
 of their own; ties go to the smaller id; other columns are ignored.  Scores must
@@ -45,11 +45,20 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Data
                     F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("x"))
 
 
+def low_hashes(v: DataFrame, sample: int = PIVOT_SAMPLE) -> DataFrame:
+    """rid, dim, x of about twice ``sample`` rows of each vector length, by a hash rate from
+    the counts (all rows where there are fewer), so no task ranks the whole table."""
+    rate = v.groupBy("dim").agg(F.count("*").alias("n")).select(
+        F.col("dim").alias("d"), F.least(F.lit(1.0), 2.0 * sample / F.col("n")).alias("rate"))
+    low = F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) < F.col("rate") * (1 << 30)
+    return v.join(F.broadcast(rate), F.col("dim") == F.col("d")).where(low).select("rid", "dim", "x")
+
+
 def choose_pivots(v: DataFrame, n: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict[int, np.ndarray]:
     """Farthest-first pivots of each vector length, from at most ``sample`` rows each."""
-    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("rid")))
     out = {}
-    rows = v.withColumn("r", rank).where(F.col("r") <= sample).select("dim", "x").collect()
+    rank = F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("rid")))
+    rows = low_hashes(v, sample).withColumn("r", rank).where(F.col("r") <= sample).select("dim", "x").collect()
     for dim in {r.dim for r in rows}:
         x = np.asarray([r.x for r in rows if r.dim == dim], dtype=np.float64)
         picked, far = [0], np.full(len(x), np.inf)
