@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm import oracles
 from vigil.llm.common import table
 
 
@@ -83,6 +84,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof and the root folded from its (partly tampered) row."""
+    from vigil.llm.merkle import manifest
+    return manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_decontaminate": op2_decontaminate,
@@ -94,6 +101,9 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op13_merkle": oracles.OP13,
+}
