@@ -84,6 +84,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's aligned tokens and what its linked id pairs count in the corpus."""
+    import public_tokenizers
+
+    from vigil.llm.alignment import alignment
+    scored, _ = alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                          public_tokenizers.path("piece_bpe_32k.model"))
+    return scored
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, its proof and the root folded from its (partly tampered) row."""
     from vigil.llm.merkle import manifest
@@ -101,6 +111,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_alignment": op11_alignment,
     "op13_merkle": op13_merkle,
 }
 
