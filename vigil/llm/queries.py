@@ -94,6 +94,12 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
+def op12_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's consensus paths."""
+    from vigil.llm.extract import extract
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf, its proof and the root folded from its (partly tampered) row."""
     from vigil.llm.merkle import manifest
@@ -112,6 +118,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
     "op11_alignment": op11_alignment,
+    "op12_extract": op12_extract,
     "op13_merkle": op13_merkle,
 }
 
