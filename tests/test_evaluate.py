@@ -1,14 +1,17 @@
 """Ranking and metrics on the analytic toy scenario (6 users x 8 days)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigil.operators.evaluate import (
     check_aggregation,
     check_alignment,
     evaluate,
+    key_figures,
     rank_users,
     top_users,
     user_scores,
+    user_totals,
 )
 from vigil.params import EvalParams
 
@@ -100,6 +103,9 @@ def test_keyed_runs_in_one_job(spark):
 
 def test_scores_must_align_with_rows(spark):
     s = _scored(spark)
-    check_alignment(s, s)
+    check_alignment(s, key_figures(s))
+    check_alignment(s, user_totals(s, 0, "sum", keyed=True))
     with pytest.raises(ValueError, match="does not match"):
-        check_alignment(s, s.where("NOT (user_id = 3 AND day = 6)"))
+        check_alignment(s, key_figures(s.where("NOT (user_id = 3 AND day = 6)")))
+    with pytest.raises(ValueError):                        # as many rows, another key
+        check_alignment(s, key_figures(s.withColumn("user_id", F.expr("if(user_id = 3 AND day = 6, 99, user_id)"))))

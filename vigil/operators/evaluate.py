@@ -25,43 +25,83 @@ def check_aggregation(aggregation: str) -> None:
         raise ValueError(f"aggregation {aggregation!r} is none of {', '.join(AGGREGATIONS)}")
 
 
-def check_alignment(rows: DataFrame, scored: DataFrame, keys=("user_id", "day")) -> None:
-    """F1: every row must have a score and every score a row."""
-    k = list(keys)
-    missing = rows.select(*k).join(scored.select(*k), k, "left_anti").limit(1).count()
-    extra = scored.select(*k).join(rows.select(*k), k, "left_anti").limit(1).count()
-    if missing or extra:
-        raise ValueError("Score table does not match the rows: "
-                         f"{'rows without a score' if missing else 'scores without a row'}")
+_KEY_RANGE = 1 << 24
 
 
-def user_scores(scored: DataFrame, test_window_start: int, aggregation: str = "sum",
-                run_keys=()) -> DataFrame:
-    """Roll row scores of the test window up to one row per user.
+def key_figures(rows: DataFrame, run_keys=()) -> DataFrame:
+    """rows and key checksum (user_id, day) of a table, per run."""
+    return rows.groupBy(*run_keys).agg(F.count("*").alias("rows"), F.sum(_key_part()).alias("keys"))
 
-    ``is_attacker`` — any anomalous row in the window; ``attack_type`` — the
-    label of the earliest labelled row, '' if none.
 
-    The score roll-up is a hash aggregate keyed by (run, user) with partial
-    aggregation.  Labels do not depend on the run, so they are aggregated
-    once, from the labelled rows only (a string-valued minimum would force a
-    sort-based aggregate over every scored row), and joined on.
+def _key_part() -> Column:
+    return F.pmod(F.xxhash64(F.col("user_id").cast("long"), F.col("day").cast("int")), F.lit(_KEY_RANGE))
+
+
+def alignment(rows: DataFrame, figures: DataFrame, run_keys=()) -> DataFrame:
+    """F1: per run the table's rows, the scored rows and whether they hold the same keys.
+
+    ``figures`` has one row a run, or one row a run and user as ``user_totals`` makes with
+    ``keyed``; so the check reads what the roll-up made and no row is joined to its score.
+    """
+    totals = figures.groupBy(*run_keys).agg(F.sum("rows").alias("scored_rows"), F.sum("keys").alias("scored_keys"))
+    return totals.join(F.broadcast(key_figures(rows)), F.lit(True)).select(        # one row
+        *run_keys, "rows", "scored_rows",
+        ((F.col("rows") == F.col("scored_rows")) & F.col("keys").eqNullSafe(F.col("scored_keys"))).alias("aligned"))
+
+
+def check_alignment(rows: DataFrame, figures: DataFrame, run_keys=(), runs: int = 1) -> None:
+    """F1: every run must have scored exactly the rows."""
+    found = alignment(rows, figures, run_keys).collect()       # one row a run
+    bad = [r for r in found if not r["aligned"]]
+    if bad or (len(found) != runs and not rows.isEmpty()):
+        raise ValueError("Score table does not match the rows: " + (
+            f"{bad[0]['scored_rows']} rows scored of {bad[0]['rows']}" if bad else f"{len(found)} runs of {runs}"))
+
+
+def user_totals(scored: DataFrame, test_window_start: int, aggregation: str = "sum",
+                run_keys=(), keyed: bool = False) -> DataFrame:
+    """Row scores of the test window rolled up to one row per (run, user).
+
+    A hash aggregate with partial aggregation.  With ``keyed`` it also counts and
+    checksums the keys of the rows it has read (see ``alignment``).
     """
     check_aggregation(aggregation)
-    window = scored.where(F.col("day") >= F.lit(int(test_window_start)))
-    scores = (window.groupBy(*run_keys, "user_id")
-              .agg(_AGG[aggregation](F.col("score").cast("double")).alias("agg_score")))
-    labelled = window.where(F.coalesce(F.col("is_anomaly"), F.lit(False))
-                            | (F.coalesce(F.col("anomaly_type"), F.lit("")) != ""))
+    extra = [F.count("*").alias("rows"), F.sum(_key_part()).alias("keys")] if keyed else []
+    return (scored.where(F.col("day") >= F.lit(int(test_window_start)))
+            .groupBy(*run_keys, "user_id")
+            .agg(_AGG[aggregation](F.col("score").cast("double")).alias("agg_score"), *extra))
+
+
+def user_labels(labelled: DataFrame, test_window_start: int) -> DataFrame:
+    """Attackers of the test window (user_id, is_attacker, attack_type).
+
+    ``is_attacker`` — any anomalous row in the window; ``attack_type`` — the
+    label of the earliest labelled row, '' if none.  Labels do not depend on the run, so they
+    are read once, from the labelled rows of the table that carries them.
+    """
+    flag = F.coalesce(F.col("is_anomaly"), F.lit(False))
     first = F.when(F.col("anomaly_type") != "", F.struct("day", "anomaly_type"))
-    labels = (labelled.select("user_id", "day", "is_anomaly", "anomaly_type").distinct()
-              .groupBy("user_id")
-              .agg(F.bool_or(F.coalesce(F.col("is_anomaly"), F.lit(False))).alias("_att"),
-                   F.min(first)["anomaly_type"].alias("_type")))
-    return (scores.join(labels, "user_id", "left")
-            .select(*run_keys, "user_id", "agg_score",
-                    F.coalesce(F.col("_att"), F.lit(False)).alias("is_attacker"),
-                    F.coalesce(F.col("_type"), F.lit("")).alias("attack_type")))
+    return (labelled.where(F.col("day") >= F.lit(int(test_window_start)))
+            .where(flag | (F.coalesce(F.col("anomaly_type"), F.lit("")) != ""))
+            .groupBy("user_id").agg(F.bool_or(flag).alias("is_attacker"),
+                                    F.coalesce(F.min(first)["anomaly_type"], F.lit("")).alias("attack_type")))
+
+
+def with_labels(users: DataFrame, labels: DataFrame) -> DataFrame:
+    """Label columns of every user; users without labelled rows are no attackers."""
+    return users.join(labels, "user_id", "left").select(
+        *users.columns, F.coalesce("is_attacker", F.lit(False)).alias("is_attacker"),
+        F.coalesce("attack_type", F.lit("")).alias("attack_type"))
+
+
+def user_scores(scored: DataFrame, test_window_start: int, aggregation: str = "sum",
+                run_keys=(), labelled: DataFrame | None = None) -> DataFrame:
+    """Score and labels of every user of every run.
+
+    ``labelled``: the table with the labels, where it is cheaper to read than ``scored``.
+    """
+    users = user_totals(scored, test_window_start, aggregation, run_keys)
+    return with_labels(users, user_labels(scored if labelled is None else labelled, test_window_start))
 
 
 def _rank_order() -> list[Column]:
@@ -132,17 +172,12 @@ def run_metrics(top: DataFrame, victims: DataFrame, params: EvalParams,
     """
     counts = victim_counts(victims)
     n_total = sum(counts.values())
-    hits = top.groupBy(*run_keys).agg(*[
-        F.count_if((F.col("rank") <= k) & F.col("is_attacker")).alias(f"_hits_{k}")
-        for k in params.top_k_values])
-    primary = params.primary_top_k
-    caught = (top.where(F.col("rank") <= F.lit(primary)).select(*run_keys, "user_id")
-              .join(victims.select("user_id", F.col("attack_type").alias("_vt")), "user_id")
-              .groupBy(*run_keys)
-              .agg(*[F.count_if(F.col("_vt") == t).alias(f"_caught_{t}")
-                     for t in params.attack_types_tracked]))
-    j = (hits.join(caught, list(run_keys), "left") if run_keys
-         else _single_run_join(hits, caught))
+    types = victims.groupBy("user_id").agg(F.collect_set("attack_type").alias("_types"))
+    hit = lambda k: F.col("rank") <= F.lit(int(k))
+    j = top.join(types, "user_id", "left").groupBy(*run_keys).agg(
+        *[F.count_if(hit(k) & F.col("is_attacker")).alias(f"_hits_{k}") for k in params.top_k_values],
+        *[F.count_if(hit(params.primary_top_k) & F.array_contains("_types", t)).alias(f"_caught_{t}")
+          for t in params.attack_types_tracked])
     cols: list[Column] = []
     for k in params.top_k_values:
         cols.append((F.col(f"_hits_{k}") / F.lit(float(k)) if k > 0 else F.lit(0.0))
@@ -157,20 +192,25 @@ def run_metrics(top: DataFrame, victims: DataFrame, params: EvalParams,
     return j.select(*run_keys, *cols)
 
 
-def _single_run_join(hits: DataFrame, caught: DataFrame) -> DataFrame:
-    """Both sides have at most one row when there are no run keys."""
-    k = F.lit(1).alias("_one")
-    return (hits.select("*", k).join(caught.select("*", k), "_one", "left").drop("_one"))
-
-
 def metrics_long(wide: DataFrame, params: EvalParams, run_keys=()) -> DataFrame:
     """The same metrics as (run keys, metric, value) rows."""
     return wide.unpivot(list(run_keys), metric_columns(params), "metric", "value")
 
 
 def evaluate(scored: DataFrame, victims: DataFrame, params: EvalParams,
-             run_keys=()) -> DataFrame:
-    """F2–F11 for any number of runs: scored rows → wide metric rows."""
-    users = user_scores(scored, params.test_window_start, params.aggregation, run_keys)
+             run_keys=(), labelled: DataFrame | None = None) -> DataFrame:
+    """F2–F11 for any number of runs: scored rows → wide metric rows.
+
+    The scored table is read once where ``labelled`` brings the labels.
+    """
+    users = user_totals(scored, params.test_window_start, params.aggregation, run_keys)
+    return evaluate_users(users, scored if labelled is None else labelled, victims, params, run_keys)
+
+
+def evaluate_users(users: DataFrame, labelled: DataFrame, victims: DataFrame, params: EvalParams,
+                   run_keys=()) -> DataFrame:
+    """F4–F11 from the users' scores: only each run's top users meet their labels."""
     max_k = max(list(params.top_k_values) + [params.primary_top_k])
-    return run_metrics(top_users(users, max_k, run_keys), victims, params, run_keys)
+    top = with_labels(top_users(users.select(*run_keys, "user_id", "agg_score"), max_k, run_keys),
+                      user_labels(labelled, params.test_window_start))
+    return run_metrics(top, victims, params, run_keys)

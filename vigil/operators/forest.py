@@ -8,28 +8,31 @@ of its leaf plus c(leaf size), where c(n) is the average path length of an
 unsuccessful search in a binary search tree; the anomaly score is
 2 ** (-mean path / c(psi)) — higher is more anomalous.
 
-Spark plan:
-
-* **sample** — one seeded 64-bit hash per (seed, tree, row) on key columns
-  only or, when rows vastly outnumber trees x psi, a single pass over the
-  matrix with one hash per (seed, row) that also assigns the tree.  A
-  pre-filter keeps about ``oversample`` x psi rows per tree and a window with
-  a literal bound (partial group limit, map-side) keeps the psi smallest
-  hashes.  No row order, partitioning or task id enters the draw, so the
-  sample is the same on any cluster.  It does not depend on the feature set,
-  so one sample per seed serves every set.
-* **fit** — ``groupBy(seed, tree block).applyInPandas``: each group holds
-  block x psi rows (bounded by the parameters, not by the data) and grows
-  every tree of the block for every feature set in one vectorised,
-  level-wise pass, with a random stream seeded by (seed, block).  The model
-  *is* a table.
-* **score** — the node table is bounded by sets x seeds x trees x (2 psi - 1)
-  rows; it is checked against that bound, shipped once as a broadcast
-  variable and applied in Arrow batches by ``mapInPandas``.
+Every draw is an md5 of its key, so the model depends on the data and the
+parameters alone (not on partitions, tree blocks, other feature sets or the size
+of the input) and plain SQL can repeat it.
+
+* **sample** — a row enters every tree independently with the same rate.  Keyed
+  geometric gaps walk from one tree that takes the row to the next, so a row costs one hash
+  per tree it enters plus one, and a row that enters none is dropped by one
+  comparison.  Each tree keeps its psi smallest keyed hashes.  A tree with
+  fewer rows raises.  One law at every size; the sample does not depend on the
+  feature set, so one sample per seed serves every set.
+* **fit** — ``groupBy(seed, tree block).applyInPandas``: a group holds about
+  block x oversample x psi rows (bounded by the parameters, not by the data) and grows every tree of
+  the block for every feature set in one vectorised, level-wise pass.  Feature
+  and threshold of a node come from the md5 of (seed, set, tree, node).  The
+  model *is* a table with one row a tree; nodes are numbered 1, 2n, 2n + 1.
+* **score** — the tree table is bounded by sets x seeds x trees rows of 2 psi
+  entries; it is counted against that bound and broadcast.  Rows are exploded to trees,
+  joined by tree number and walked down one generated comparison a level, all in one
+  compiled stage without Python.  Path lengths are summed in whole
+  micro-units, so scores do not depend on the order of summation.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -38,12 +41,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.params import ForestParams
-from vigil.session import ship_package
+from vigil.session import materialize, ship_package
 
-NODE_SCHEMA = ("config string, seed int, tree int, node int, feature int, "
-               "threshold double, left int, right int, depth int, size int, path double")
+TREE_SCHEMA = ("config string, seed int, tree int, psi int, feature array<int>, threshold array<double>, "
+               "size array<int>, path array<bigint>")
 
-_FRAC_BITS = 53
+#: path lengths are whole numbers of this part of an edge
+MICRO = 1_000_000
+#: rows that are walked down a tree together
+SCORE_ROWS = 512
 
 
 def path_adjustment(n) -> np.ndarray:
@@ -60,342 +66,288 @@ def max_depth_for(psi: int) -> int:
     return int(math.ceil(math.log2(max(psi, 2))))
 
 
-def _hash_fraction(*cols) -> Column:
-    """Uniform [0, 1) from a 64-bit hash of the given columns."""
-    return (F.xxhash64(*cols).bitwiseAND(F.lit((1 << _FRAC_BITS) - 1)).cast("double")
-            / float(1 << _FRAC_BITS))
-
-
 # ------------------------------------------------------------------ E3/E4
 
-def prepare_matrix(features: DataFrame, columns: list[str],
+def prepare_matrix(features: DataFrame, columns: list[str], decimals: int | None = None,
                    keep=("user_id", "day", "is_anomaly", "anomaly_type")) -> DataFrame:
-    """The feature columns as doubles with nulls (and NaN) set to 0."""
-    cols = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c)
-            for c in columns]
-    return features.select(*[k for k in keep if k in features.columns], *cols)
+    """The feature columns as doubles with nulls (and NaN) set to 0.
+
+    With ``decimals`` values are rounded (half to even), so that the last bits of a
+    windowed mean cannot turn a comparison with a threshold.
+    """
+    def clean(c: str) -> Column:
+        v = F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+        if decimals is not None:
+            scale = F.lit(10.0 ** decimals)
+            v = F.rint(v * scale) / scale + F.lit(0.0)
+        return v.alias(c)
+
+    return features.select(*[k for k in keep if k in features.columns], *map(clean, columns))
 
 
 # --------------------------------------------------------------------- E5
 
-def sample_keys(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFrame:
-    """(seed, tree, user_id, day, _h) of every row drawn for every tree.
+def _key(*parts) -> Column:
+    return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
 
-    Only key columns are generated: about ``oversample`` x psi rows per
-    (seed, tree) survive the hash pre-filter, so the result is bounded by
-    seeds x trees x oversample x psi whatever the data size.
-    """
+
+def _fraction(digest: Column) -> Column:
+    """Uniform in (0, 1) from the first 52 bits of a hex digest."""
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def sample_rate(n_rows: int, params: ForestParams) -> float:
+    """Probability that a row is drawn for a tree, before the cut to psi."""
     psi = min(params.max_samples, n_rows)
-    rate = params.oversample * psi / max(n_rows, 1)
-    T = int(params.n_trees)
-    seeds = F.explode(F.array(*[F.lit(int(s)) for s in params.seeds])).alias("seed")
-    keys = matrix.select("user_id", "day", seeds)
-    if rate * T >= 1.0:
-        # each row is expected in one or more trees: one hash per (seed, tree, row);
-        # explode then filter keeps the predicate in generated code
-        out = keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(T - 1))).alias("tree"))
-        if rate < 1.0:
-            out = out.where(_hash_fraction(F.col("seed"), F.col("tree"), F.col("user_id"),
-                                           F.col("day")) < F.lit(rate))
-    else:
-        # far more rows than trees x psi: one hash per (seed, row) picks at most one tree
-        u = _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day"))
-        out = (keys.withColumn("_u", u).where(F.col("_u") < F.lit(rate * T))
-               .withColumn("tree", F.floor(F.col("_u") / F.lit(rate)).cast("int")).drop("_u"))
-    return out.withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day"))
-
-
-def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams,
-                max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """Rows of every (seed, tree), psi per tree, with feature columns and hash.
-
-    * rows ≫ trees x psi: one pass over the matrix — a code-generated
-      predicate keeps rows whose (seed, row) hash falls under the rate for
-      any seed; only those few are exploded to (seed, tree);
-    * otherwise (small data, rows in several trees): the (seed, tree) draw is
-      made on key columns only, cut to psi per tree, and joined back — the
-      key table is bounded by seeds x trees x psi and broadcast under
-      ``max_broadcast_rows``.
-
-    Either way each tree keeps its psi smallest hashes through a window with a
-    literal bound (Spark applies the group limit map-side).
+    return min(1.0, params.oversample * psi / max(n_rows, 1))
+
+
+def drawn_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFrame:
+    """Every (seed, tree, row) drawn, with the row's columns and its hash ``_h`` in the tree.
+
+    The k-th gap between trees that take a row is floor(ln u / ln(1 - rate)), u keyed by
+    (seed, row, k): the gaps of independent draws at that rate.
     """
+    rate, last = sample_rate(n_rows, params), int(params.n_trees)
+
+    def gap(seed: Column, k: Column) -> Column:
+        if rate >= 1.0:
+            return F.lit(0)
+        u = _fraction(_key(seed, F.col("user_id"), F.col("day"), k))
+        return F.least(F.floor(F.log(u) / F.lit(math.log1p(-rate))), F.lit(last)).cast("int")
+
+    first = [gap(F.lit(int(s)), F.lit(0)) for s in params.seeds]
+    entered = F.least(*first) if len(first) > 1 else first[0]
+    seeds = F.explode(F.array(*[F.struct(F.lit(int(s)).alias("seed"), g.alias("first"))
+                                for s, g in zip(params.seeds, first)])).alias("_s")
+    hits = matrix.where(entered < last).select("*", seeds) \
+        .select(*matrix.columns, F.col("_s.seed").alias("seed"), F.col("_s.first").alias("_first")) \
+        .where(F.col("_first") < last)
+    walk = F.aggregate(
+        F.sequence(F.lit(1), F.lit(last)), F.array("_first"),
+        lambda seen, k: F.when(F.element_at(seen, -1) >= last, seen).otherwise(
+            F.concat(seen, F.array(F.element_at(seen, -1) + 1 + gap(F.col("seed"), k)))))
+    trees = hits.withColumn("tree", F.explode(F.filter(walk, lambda t: t < last))).drop("_first")
+    return trees.withColumn("_h", _key(F.col("seed"), F.col("tree"), F.col("user_id"), F.col("day"), F.lit("cut")))
+
+
+def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFrame:
+    """The psi rows of every (seed, tree): the smallest hashes among those drawn."""
     psi = min(params.max_samples, n_rows)
-    rate = params.oversample * psi / max(n_rows, 1)
-    T = int(params.n_trees)
     w = Window.partitionBy("seed", "tree").orderBy("_h", "user_id", "day")
+    return (drawn_rows(matrix, n_rows, params).withColumn("_rn", F.row_number().over(w))
+            .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
+
 
-    def top_psi(df: DataFrame) -> DataFrame:
-        return (df.withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
-
-    if rate * T < 1.0:
-        cut = F.lit(rate * T)
-        u = {s: _hash_fraction(F.lit(int(s)), F.col("user_id"), F.col("day")) for s in params.seeds}
-        any_seed = None
-        for s in params.seeds:
-            any_seed = (u[s] < cut) if any_seed is None else (any_seed | (u[s] < cut))
-        seeds = F.explode(F.array(*[F.lit(int(s)) for s in params.seeds])).alias("seed")
-        hit = (matrix.where(any_seed).select("*", seeds)
-               .withColumn("_u", _hash_fraction(F.col("seed"), F.col("user_id"), F.col("day")))
-               .where(F.col("_u") < cut)
-               .withColumn("tree", F.floor(F.col("_u") / F.lit(rate)).cast("int"))
-               .withColumn("_h", F.xxhash64("seed", "tree", "user_id", "day")).drop("_u"))
-        return top_psi(hit)
-    keys = top_psi(sample_keys(matrix, n_rows, params))
-    bound = len(params.seeds) * params.n_trees * psi
-    keys = F.broadcast(keys) if bound <= max_broadcast_rows else keys
-    return matrix.join(keys, ["user_id", "day"])
-
-
-def grow_trees(X: np.ndarray, root_rows: list[np.ndarray], root_allowed: np.ndarray,
-               rng: np.random.Generator, max_depth: int) -> dict:
+def node_draws(seed: int, configs, trees, nodes) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers of every node from the md5 of (seed, set, tree, node)."""
+    digests = [hashlib.md5(f"{seed}|{c}|{t}|{n}".encode()).hexdigest() for c, t, n in zip(configs, trees, nodes)]
+    return (np.array([int(h[:8], 16) for h in digests], float) / float(1 << 32),
+            np.array([int(h[8:21], 16) for h in digests], float) / float(1 << 52))
+
+
+def grow_trees(X: np.ndarray, root_rows: list[np.ndarray], allowed: list[np.ndarray], draws,
+               max_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grow many isolation trees at once, level-wise.
 
-    ``X`` holds sample rows (R x U columns); tree r grows on the rows
-    ``root_rows[r]`` and may split on the columns where ``root_allowed[r]``
-    is true.  All trees grow together, one depth level per iteration:
-    per-node minima and maxima come from segment reductions, each splitting
-    node draws a uniform feature among its non-constant allowed ones and a
-    uniform threshold in [min, max); rows go left when ``x <= threshold``.
-
-    Returns flat node arrays (``root``, ``node`` numbered breadth-first per
-    tree from 0, ``feature`` as a column index of X or -1 for a leaf,
-    ``threshold``, ``left``/``right`` local ids, ``depth``, ``size``,
-    ``path`` = depth + c(size)).
+    ``X`` holds sample rows; tree r grows on the rows ``root_rows[r]`` and may
+    split on the columns ``allowed[r]``, in that order.  ``draws(roots, nodes)`` gives
+    two uniform numbers a node: the first picks among its non-constant columns,
+    the second the threshold in [min, max).  Rows go left when ``x <= threshold``.
+
+    Returns per tree, by node number (1, children 2n and 2n + 1): the split's place in
+    ``allowed[r]``, its threshold (infinite where the node is no split) and the node's size.
     """
-    n_roots = len(root_rows)
-    sizes0 = np.array([r.size for r in root_rows])
-    n_root, n_depth, n_size = [np.arange(n_roots)], [np.zeros(n_roots, int)], [sizes0]
-    feat_l, thr_l, left_l, right_l = [], [], [], []
-    row_x = np.concatenate(root_rows) if n_roots else np.zeros(0, int)
-    row_node = np.repeat(np.arange(n_roots), sizes0)
-    first_id, next_id = 0, n_roots
-    for depth in range(max_depth + 1):
-        n_lvl = n_size[-1].size
-        feat = np.full(n_lvl, -1)
-        thr = np.zeros(n_lvl)
-        left = np.full(n_lvl, -1)
-        right = np.full(n_lvl, -1)
-        cand = (n_size[-1] >= 2) & (depth < max_depth)
-        m = 0
-        if cand.any():
-            local = row_node - first_id                  # ids of a level are contiguous
-            live = cand[local]
-            r_local, r_x = local[live], row_x[live]
-            order = np.argsort(r_local, kind="stable")
-            r_local, r_x = r_local[order], r_x[order]
-            starts = np.flatnonzero(np.r_[True, r_local[1:] != r_local[:-1]])
-            nodes = r_local[starts]
-            vals = X[r_x]
-            lo = np.minimum.reduceat(vals, starts, axis=0)
-            hi = np.maximum.reduceat(vals, starts, axis=0)
-            usable = (hi > lo) & root_allowed[n_root[-1][nodes]]
-            draw = rng.random(usable.shape)
-            draw[~usable] = -1.0
-            f = draw.argmax(axis=1)
-            split = usable.any(axis=1)
-            k = np.arange(nodes.size)
-            lo_f, hi_f = lo[k, f], hi[k, f]
-            t = lo_f + rng.random(nodes.size) * (hi_f - lo_f)
-            t = np.where(t >= hi_f, lo_f, t)
-            sn = nodes[split]
-            m = sn.size
-            feat[sn], thr[sn] = f[split], t[split]
-            left[sn] = next_id + 2 * np.arange(m)
-            right[sn] = left[sn] + 1
-            # route the rows of split nodes; rows that reached a leaf are dropped
-            is_split = np.zeros(n_lvl, dtype=bool)
-            is_split[sn] = True
-            moving = is_split[local]
-            lm = local[moving]
-            go_left = X[row_x[moving], feat[lm]] <= thr[lm]
-            row_x, row_node = row_x[moving], np.where(go_left, left[lm], right[lm])
-        feat_l.append(feat); thr_l.append(thr); left_l.append(left); right_l.append(right)
-        if m == 0:
+    n_roots, width = len(root_rows), 1 << max_depth
+    feature = np.zeros((n_roots, width), np.int32)
+    threshold = np.full((n_roots, width), np.inf)
+    size = np.zeros((n_roots, 2 * width), np.int32)
+    most = max((len(a) for a in allowed), default=0)
+    order = np.zeros((n_roots, most), np.int64)
+    valid = np.zeros((n_roots, most), bool)
+    for r, a in enumerate(allowed):
+        order[r, :len(a)], valid[r, :len(a)] = a, True
+    lengths = np.array([len(r) for r in root_rows], np.int64)
+    row = np.concatenate(root_rows) if n_roots else np.zeros(0, np.int64)
+    root, node = np.repeat(np.arange(n_roots), lengths), np.ones(len(row), np.int64)
+    size[:, 1] = lengths
+    for _ in range(max_depth):
+        live = size[root, node] >= 2
+        row, root, node = row[live], root[live], node[live]
+        if not len(row):
             break
-        n_root.append(np.repeat(n_root[-1][sn], 2))
-        n_depth.append(np.full(2 * m, depth + 1))
-        n_size.append(np.bincount(row_node - next_id, minlength=2 * m))
-        first_id, next_id = next_id, next_id + 2 * m
-    root_all = np.concatenate(n_root)
-    depth_all = np.concatenate(n_depth)
-    size_all = np.concatenate(n_size)
-    feat_all = np.concatenate(feat_l)
-    thr_all = np.concatenate(thr_l)
-    left_all = np.concatenate(left_l)
-    right_all = np.concatenate(right_l)
-    # renumber breadth-first per tree: a stable sort by root keeps level order
-    order = np.argsort(root_all, kind="stable")
-    counts = np.bincount(root_all, minlength=n_roots)
-    starts = np.r_[0, np.cumsum(counts)[:-1]]
-    local = np.empty(root_all.size, dtype=np.int64)
-    local[order] = np.arange(root_all.size) - np.repeat(starts, counts)
-    inner = feat_all >= 0
-    lft = np.where(inner, local[np.maximum(left_all, 0)], -1)
-    rgt = np.where(inner, local[np.maximum(right_all, 0)], -1)
-    return dict(root=root_all[order], node=local[order], feature=feat_all[order],
-                threshold=thr_all[order], left=lft[order], right=rgt[order],
-                depth=depth_all[order], size=size_all[order],
-                path=(depth_all + path_adjustment(size_all))[order])
-
-
-def tree_seed(seed: int, block: int) -> list[int]:
-    """Random stream of one (seed, tree block) group — never from task order."""
-    return [int(seed), int(block), 0x1F0E57]
-
-
-def make_tree_builder(config_columns: dict[str, list[str]], psi: int):
-    """Grouped-map function: sample rows of one (seed, tree block) → node
-    rows of every tree of the block for every feature set."""
+        at = np.argsort(root * (2 * width) + node, kind="stable")
+        row, root, node = row[at], root[at], node[at]
+        key = root * (2 * width) + node
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        r, n = root[starts], node[starts]
+        values = X[row]
+        lo, hi = np.minimum.reduceat(values, starts, axis=0), np.maximum.reduceat(values, starts, axis=0)
+        k = np.arange(len(starts))
+        usable = (hi > lo)[k[:, None], order[r]] & valid[r]
+        many = usable.sum(axis=1)
+        u, v = draws(r, n)
+        pick = np.minimum(np.floor(u * many), np.maximum(many - 1, 0))
+        f = (np.cumsum(usable, axis=1) > pick[:, None]).argmax(axis=1)
+        column = order[r, f]
+        low, high = lo[k, column], hi[k, column]
+        t = low + v * (high - low)
+        t = np.where(t >= high, low, t)
+        split = many > 0
+        feature[r[split], n[split]], threshold[r[split], n[split]] = f[split], t[split]
+        # rows of split nodes go on; the others stay where they are
+        of = np.repeat(k, np.diff(np.r_[starts, len(row)]))
+        moving = split[of]
+        row, root, node, of = row[moving], root[moving], node[moving], of[moving]
+        node = 2 * node + (X[row, column[of]] > t[of])
+        np.add.at(size, (root, node), 1)
+    return feature, threshold, size
+
+
+def leaf_paths(threshold: np.ndarray, size: np.ndarray, max_depth: int) -> np.ndarray:
+    """Path lengths in micro-units by the place a walk of ``max_depth`` steps ends at (a walk
+    that has met its leaf goes left: thresholds there are infinite)."""
+    width = 1 << max_depth
+    out = np.zeros((len(size), width), np.int64)
+    split = np.zeros_like(size, dtype=bool)
+    split[:, :width] = np.isfinite(threshold)
+    tree, node = np.nonzero((size > 0) & ~split)
+    depth = np.frexp(node.astype(float))[1] - 1
+    paths = np.rint((depth + path_adjustment(size[tree, node])) * MICRO).astype(np.int64)
+    out[tree, (node << (max_depth - depth)) - width] = paths
+    return out
+
+
+def make_tree_builder(config_columns: dict[str, list[str]], psi: int, trees: int, block: int):
+    """Grouped-map function: rows drawn for one (seed, tree block) → one row a tree
+    and feature set."""
     max_depth = max_depth_for(psi)
     union = sorted({c for cols in config_columns.values() for c in cols})
     pos = {c: i for i, c in enumerate(union)}
     names = list(config_columns)
-    allowed = np.zeros((len(names), len(union)), dtype=bool)
-    lut = np.full((len(names), len(union)), -1)
-    for i, n in enumerate(names):
-        idx = [pos[c] for c in config_columns[n]]
-        allowed[i, idx] = True
-        lut[i, idx] = np.arange(len(idx))     # union column → position in the set
+    allowed = [np.array([pos[c] for c in config_columns[n]], np.int64) for n in names]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tree", "_h", "user_id", "day"], kind="mergesort")
         pdf = pdf.groupby("tree", sort=True).head(psi)          # psi smallest hashes per tree
-        seed, block = int(pdf["seed"].iloc[0]), int(pdf["_block"].iloc[0])
+        seed, first = int(pdf["seed"].iloc[0]), int(pdf["_block"].iloc[0]) * block
+        wanted = np.arange(first, min(first + block, trees))
+        tree_ids, starts, counts = np.unique(pdf["tree"].to_numpy(), return_index=True, return_counts=True)
+        if not np.array_equal(tree_ids, wanted) or (counts < psi).any():
+            raise RuntimeError(f"a tree of seed {seed} in {first}..{first + block - 1} drew fewer than {psi} rows; "
+                               "raise oversample")
         X = pdf[union].to_numpy(dtype=float)
-        trees = pdf["tree"].to_numpy()
-        tree_ids, starts = np.unique(trees, return_index=True)
-        ends = np.r_[starts[1:], trees.size]
-        root_rows, root_allowed, root_tree, root_cfg = [], [], [], []
-        for t, a, b in zip(tree_ids, starts, ends):
-            for c in range(len(names)):
-                root_rows.append(np.arange(a, b))
-                root_tree.append(t)
-                root_cfg.append(c)
-        root_tree, root_cfg = np.array(root_tree), np.array(root_cfg)
-        g = grow_trees(X, root_rows, allowed[root_cfg], np.random.default_rng(tree_seed(seed, block)),
-                       max_depth)
-        cfg = root_cfg[g["root"]]
-        feat = np.where(g["feature"] >= 0, lut[cfg, np.maximum(g["feature"], 0)], -1)
+        root_tree = np.repeat(tree_ids, len(names))
+        root_name = np.array(names * len(tree_ids), dtype=object)
+        rows = [np.arange(a, a + psi) for a in starts for _ in names]
+        feature, threshold, size = grow_trees(
+            X, rows, allowed * len(tree_ids),
+            lambda r, n: node_draws(seed, root_name[r], root_tree[r], n), max_depth)
         return pd.DataFrame({
-            "config": np.array(names, dtype=object)[cfg], "seed": np.int32(seed),
-            "tree": root_tree[g["root"]].astype(np.int32), "node": g["node"].astype(np.int32),
-            "feature": feat.astype(np.int32), "threshold": g["threshold"],
-            "left": g["left"].astype(np.int32), "right": g["right"].astype(np.int32),
-            "depth": g["depth"].astype(np.int32), "size": g["size"].astype(np.int32),
-            "path": g["path"]})
+            "config": root_name, "seed": np.int32(seed), "tree": root_tree.astype(np.int32), "psi": np.int32(psi),
+            "feature": list(feature), "threshold": list(threshold), "size": list(size),
+            "path": list(leaf_paths(threshold, size, max_depth))})
 
     return build
 
 
 def fit_forests(matrix: DataFrame, config_columns: dict[str, list[str]],
                 params: ForestParams, n_rows: int | None = None) -> DataFrame:
-    """E5: the node table of every (feature set, seed) forest."""
+    """E5: one row for every tree of every (feature set, seed) forest."""
     n_rows = matrix.count() if n_rows is None else n_rows
     psi = min(params.max_samples, n_rows)
     all_cols = sorted({c for cols in config_columns.values() for c in cols})
     ship_package(matrix.sparkSession)          # the grouped-map function lives here
-    sample = sample_rows(matrix.select("user_id", "day", *all_cols), n_rows, params)
+    drawn = drawn_rows(matrix.select("user_id", "day", *all_cols), n_rows, params)
     # trees are grown in blocks: one Python call per (seed, block) amortises
-    # the per-call overhead; a group holds block x psi rows
-    block = F.floor(F.col("tree") / F.lit(int(params.trees_per_block))).cast("int")
-    return (sample.withColumn("_block", block).groupBy("seed", "_block")
-            .applyInPandas(make_tree_builder(config_columns, psi), NODE_SCHEMA))
+    # the per-call overhead
+    step = int(params.trees_per_block)
+    block = F.floor(F.col("tree") / F.lit(step)).cast("int")
+    return (drawn.withColumn("_block", block).groupBy("seed", "_block")
+            .applyInPandas(make_tree_builder(config_columns, psi, int(params.n_trees), step), TREE_SCHEMA))
+
+
+def adjustment(n: Column) -> Column:
+    """c(n) as a column."""
+    m = n.cast("double")
+    return F.when(m <= 1, 0.0).when(m == 2, 1.0).otherwise(
+        2.0 * (F.log(m - 1.0) + F.lit(float(np.euler_gamma))) - 2.0 * (m - 1.0) / m)
+
+
+def node_table(trees: DataFrame) -> DataFrame:
+    """E5: the nodes (config, seed, tree, node, feature, threshold, left, right, depth, size, path);
+    leaves have feature, left and right -1."""
+    nodes = trees.select("config", "seed", "tree", "feature", "threshold", F.posexplode("size").alias("node", "size")) \
+        .where("size > 0")
+    split = F.coalesce(F.get("threshold", F.col("node")) < float("inf"), F.lit(False))
+    depth = F.length(F.bin("node")) - 1
+    return nodes.select(
+        "config", "seed", "tree", "node",
+        F.when(split, F.get("feature", F.col("node"))).otherwise(-1).alias("feature"),
+        F.when(split, F.get("threshold", F.col("node"))).otherwise(0.0).alias("threshold"),
+        F.when(split, 2 * F.col("node")).otherwise(-1).alias("left"),
+        F.when(split, 2 * F.col("node") + 1).otherwise(-1).alias("right"),
+        depth.alias("depth"), "size", (depth + adjustment(F.col("size"))).alias("path"))
 
 
 # --------------------------------------------------------------------- E6
 
-class PackedForest:
-    """One forest's trees as flat arrays with global node ids.
+def run_table(spark, config_columns: dict[str, list[str]], params: ForestParams, columns: list[str]) -> DataFrame:
+    """run, config, seed and the places of the set's columns in ``columns``: one row per run."""
+    place = {c: i for i, c in enumerate(columns)}
+    rows = [(i * len(params.seeds) + j, config, int(seed), [place[c] for c in cols])
+            for i, (config, cols) in enumerate(config_columns.items()) for j, seed in enumerate(params.seeds)]
+    return spark.createDataFrame(rows, "run int, config string, seed int, place array<int>")
+
+
+def scoring_table(trees: DataFrame, runs: DataFrame, params: ForestParams) -> DataFrame:
+    """Tree rows numbered ``t`` = run x trees + tree, features as places in the matrix."""
+    n = int(params.n_trees)
+    out = trees.join(F.broadcast(runs), ["config", "seed"]).select(
+        (F.col("run") * n + F.col("tree")).alias("t"), "run", "psi",
+        F.transform("feature", lambda f: F.get(F.col("place"), f)).alias("feature"), "threshold", "path")
+    out = materialize(out)
+    expected = runs.count() * n
+    if (got := out.count()) != expected:
+        raise RuntimeError(f"{got} trees for {expected}")
+    return out
 
-    Leaves loop to themselves with an infinite threshold, so a walk is a
-    fixed number of identical gather steps with no leaf bookkeeping.
-    """
 
-    def __init__(self, columns: list[str], psi: int, tree: np.ndarray, node: np.ndarray,
-                 feature: np.ndarray, threshold: np.ndarray, left: np.ndarray,
-                 right: np.ndarray, depth: np.ndarray, path: np.ndarray):
-        # rows sorted by (tree, node); node ids restart at 0 in every tree
-        first = np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]])
-        offsets = np.repeat(first, np.diff(np.r_[first, tree.size]))
-        own = np.arange(tree.size)
-        internal = feature >= 0
-        self.columns = columns
-        self.feature = np.where(internal, feature, 0).astype(np.int32)
-        self.threshold = np.where(internal, threshold, np.inf).astype(float)
-        self.children = np.stack([np.where(internal, left + offsets, own),
-                                  np.where(internal, right + offsets, own)], axis=1).astype(np.int32)
-        self.path = path.astype(float)
-        self.roots = first.astype(np.int32)
-        self.depth = int(depth.max()) if depth.size else 0
-        self.norm = float(path_adjustment(np.array([psi]))[0]) or 1.0
-
-    def score(self, X: np.ndarray, cells: int = 1 << 17) -> np.ndarray:
-        n, d = X.shape
-        flat = np.ascontiguousarray(X, dtype=float).ravel()
-        total = np.zeros(n)
-        # walk a block of rows x trees at a time so the working set stays in cache
-        step_r = max(1, min(n, cells // max(self.roots.size, 1)))
-        for r0 in range(0, n, step_r):
-            rows = slice(r0, min(n, r0 + step_r))
-            base = (np.arange(rows.start, rows.stop, dtype=np.int64) * d)[:, None]
-            node = np.broadcast_to(self.roots, (base.shape[0], self.roots.size)).copy()
-            for _ in range(self.depth):
-                xv = flat[base + self.feature[node]]
-                node = self.children[node, (xv > self.threshold[node]).view(np.int8)]
-            total[rows] = self.path[node].sum(axis=1)
-        mean_path = total / max(self.roots.size, 1)
-        return np.power(2.0, -mean_path / self.norm)
-
-
-def pack_forests(nodes: DataFrame, config_columns: dict[str, list[str]], psi: int,
-                 params: ForestParams) -> dict:
-    """Collect the node table (bounded by the parameters) into packed forests."""
-    bound = len(config_columns) * len(params.seeds) * params.n_trees * (2 * psi - 1)
-    pdf = nodes.select("config", "seed", "tree", "node", "feature", "threshold", "left",
-                       "right", "depth", "path").toPandas()
-    if len(pdf) > bound:
-        raise RuntimeError(f"node table has {len(pdf)} rows, above its bound {bound}")
-    pdf = pdf.sort_values(["config", "seed", "tree", "node"], kind="mergesort")
-    cfg = pdf["config"].to_numpy()
-    seed = pdf["seed"].to_numpy()
-    cut = np.flatnonzero(np.r_[True, (cfg[1:] != cfg[:-1]) | (seed[1:] != seed[:-1]), True])
-    arrays = {c: pdf[c].to_numpy() for c in
-              ("tree", "node", "feature", "threshold", "left", "right", "depth", "path")}
-    packed = {}
-    for a, b in zip(cut[:-1], cut[1:]):
-        sl = {k: v[a:b] for k, v in arrays.items()}
-        packed[(str(cfg[a]), int(seed[a]))] = PackedForest(config_columns[str(cfg[a])], psi, **sl)
-    return packed
-
-
-SCORE_SCHEMA = ("config string, seed int, user_id long, day int, "
-                "is_anomaly boolean, anomaly_type string, score double")
-
-
-def score_rows(matrix: DataFrame, forests_bc, all_columns: list[str]) -> DataFrame:
-    """Score every row with every forest, Arrow batch at a time."""
-    def run(batches):
-        forests = forests_bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pos = {c: i for i, c in enumerate(all_columns)}
-            X_all = pdf[all_columns].to_numpy(dtype=float)
-            for (config, seed), forest in forests.items():
-                X = X_all[:, [pos[c] for c in forest.columns]]
-                yield pd.DataFrame({
-                    "config": config, "seed": np.int32(seed),
-                    "user_id": pdf["user_id"].to_numpy(np.int64),
-                    "day": pdf["day"].to_numpy(np.int32),
-                    "is_anomaly": pdf["is_anomaly"].to_numpy(bool),
-                    "anomaly_type": pdf["anomaly_type"].to_numpy(object),
-                    "score": forest.score(X)})
-
-    ship_package(matrix.sparkSession)
-    cols = ["user_id", "day", "is_anomaly", "anomaly_type", *all_columns]
-    return matrix.select(*cols).mapInPandas(run, SCORE_SCHEMA)
+def score_runs(matrix: DataFrame, trees: DataFrame, runs: DataFrame, params: ForestParams,
+               columns: list[str], psi: int, n_rows: int) -> DataFrame:
+    """(_block, user_id, day, run, score) of every row and forest, without Python.
+
+    Users are dealt to blocks of about ``SCORE_ROWS`` rows; a block is exploded to trees and then
+    to its rows, so that a tree is read from memory once a block.  Everything after that
+    one exchange (the sums per row and run, and a roll-up per ``_block``, run and
+    user) stays in its stage.
+    """
+    depth, n = max_depth_for(psi), int(params.n_trees)
+    total = runs.count() * n
+    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-n_rows // SCORE_ROWS))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_block")
+    rows = matrix.select(block, F.struct("user_id", "day", F.array(*columns).alias("x")).alias("row")) \
+        .repartition(parts, "_block").groupBy("_block").agg(F.collect_list("row").alias("rows"))
+    walk = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("t")) \
+        .join(F.broadcast(trees.drop("psi")), "t") \
+        .select("_block", "run", "feature", "threshold", "path", F.explode("rows").alias("row")) \
+        .select("_block", "run", "feature", "threshold", "path", "row.user_id", "row.day", "row.x",
+                F.lit(1).alias("node"))
+    for _ in range(depth):
+        right = F.get("x", F.get("feature", F.col("node"))) > F.get("threshold", F.col("node"))
+        walk = walk.withColumn("node", 2 * F.col("node") + F.when(right, 1).otherwise(0))
+    norm = float(path_adjustment(np.array([psi]))[0]) or 1.0
+    lengths = walk.groupBy("_block", "user_id", "day", "run").agg(
+        F.sum(F.get("path", F.col("node") - (1 << depth))).alias("length"))
+    return lengths.select("_block", "user_id", "day", "run", F.pow(
+        F.lit(2.0), -(F.col("length") / F.lit(float(n) * MICRO)) / F.lit(norm)).alias("score"))
+
+
+def with_run_names(scored: DataFrame, runs: DataFrame) -> DataFrame:
+    """config and seed for the run number."""
+    return scored.join(F.broadcast(runs.select("run", "config", "seed")), "run").drop("run") \
+        .select("config", "seed", "user_id", "day", "score")
 
 
 # --------------------------------------------------------------------- E7
@@ -407,9 +359,13 @@ def score_summary(scored: DataFrame, run_keys=("config", "seed")) -> DataFrame:
         F.avg("score").alias("score_mean"), F.count("*").alias("rows"))
 
 
-def top_rows_by_type(scored: DataFrame, n: int = 50, run_keys=("config", "seed")) -> DataFrame:
-    """Label counts among each run's ``n`` highest-scoring rows (ties by key)."""
-    from pyspark.sql import Window
+def top_rows_by_type(scored: DataFrame, labels: DataFrame, n: int = 50, run_keys=("config", "seed")) -> DataFrame:
+    """Label counts among each run's ``n`` highest-scoring rows (ties by key).
+
+    Labels (user_id, day, anomaly_type) are joined to the top rows only.
+    """
     w = Window.partitionBy(*run_keys).orderBy(F.col("score").desc(), "user_id", "day")
     top = scored.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(n))
-    return top.groupBy(*run_keys, "anomaly_type").agg(F.count("*").alias("rows"))
+    top = top.select(*run_keys, "user_id", "day")              # runs x n rows
+    return labels.select("user_id", "day", "anomaly_type").join(F.broadcast(top), ["user_id", "day"]) \
+        .groupBy(*run_keys, "anomaly_type").agg(F.count("*").alias("rows"))

@@ -12,12 +12,13 @@ from itertools import chain, product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.operators.evaluate import evaluate, metric_columns
+from vigil.operators.evaluate import check_alignment, evaluate_users, metric_columns, user_totals
 from vigil.operators.forest import (
     fit_forests,
-    pack_forests,
     prepare_matrix,
-    score_rows,
+    run_table,
+    score_runs,
+    scoring_table,
 )
 from vigil.params import (
     BYTES_ONLY_FAMILIES,
@@ -73,26 +74,27 @@ def union_columns(cfg_cols: dict) -> list[str]:
     return list(dict.fromkeys(chain.from_iterable(cfg_cols.values())))
 
 
-def score_all_runs(features: DataFrame, cfg_cols: dict, forest: ForestParams,
-                   score_from_day: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """E3–E6 for every run: returns (node table, scored rows).
+def fit_all_runs(features: DataFrame, cfg_cols: dict, forest: ForestParams) -> tuple[DataFrame, DataFrame, int]:
+    """E3–E5 for every run: (matrix, tree table, rows).  Forests are fitted on all rows.
 
-    Forests are fitted on all rows; rows are scored from ``score_from_day``
-    on (None: all rows).  ``features`` should be materialised (checkpointed):
-    the sample, the fit and the scoring pass each read it.
+    ``features`` should be materialised (checkpointed): the sample, the fit and the scoring pass
+    each read their columns of it.
     """
-    spark = features.sparkSession
-    all_cols = union_columns(cfg_cols)
-    # a projection of the (already materialised) feature table: re-derived by
-    # each reader rather than written again
-    matrix = prepare_matrix(features, all_cols)
+    matrix = prepare_matrix(features, union_columns(cfg_cols), forest.decimals)
     n = features.count()
-    psi = min(forest.max_samples, n)
-    nodes = materialize(fit_forests(matrix, cfg_cols, forest, n_rows=n))
-    packed = pack_forests(nodes, cfg_cols, psi, forest)
-    bc = spark.sparkContext.broadcast(packed)
+    return matrix, materialize(fit_forests(matrix, cfg_cols, forest, n_rows=n)), n
+
+
+def score_all_runs(features: DataFrame, cfg_cols: dict, forest: ForestParams,
+                   score_from_day: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """E3–E6 for every run: (run table, scores (_block, user_id, day, run, score)); rows from
+    ``score_from_day`` on (None: all rows)."""
+    matrix, trees, n = fit_all_runs(features, cfg_cols, forest)
+    columns = union_columns(cfg_cols)
+    runs = run_table(features.sparkSession, cfg_cols, forest, columns)
     rows = matrix if score_from_day is None else matrix.where(F.col("day") >= score_from_day)
-    return nodes, score_rows(rows, bc, all_cols)
+    return runs, score_runs(rows, scoring_table(trees, runs, forest), runs, forest, columns,
+                            min(forest.max_samples, n), n)
 
 
 def run_sweep(features: DataFrame, victims: DataFrame, forest: ForestParams = ForestParams(),
@@ -100,15 +102,17 @@ def run_sweep(features: DataFrame, victims: DataFrame, forest: ForestParams = Fo
               raw_columns=RAW_COLUMNS) -> DataFrame:
     """G1: metrics of every (config, seed) run, one wide row each.
 
-    Only test-window rows are scored: evaluation reads nothing else.
+    Only test-window rows are scored, once: the scores are rolled up to (run, user) in
+    the stage that makes them, with the figures that F1 checks.
     """
     cfg_cols = config_columns(feature_sets, raw_columns)
-    _, scored = score_all_runs(features, cfg_cols, forest, evaluation.test_window_start)
-    wide = evaluate(scored, victims, evaluation, RUN_KEYS)
-    spark = features.sparkSession
-    nf = spark.createDataFrame([(k, len(v)) for k, v in cfg_cols.items()],
-                               "config string, n_features int")
-    return wide.join(F.broadcast(nf), "config")
+    start = evaluation.test_window_start
+    runs, scored = score_all_runs(features, cfg_cols, forest, start)
+    users = materialize(user_totals(scored, start, evaluation.aggregation, ("_block", "run"), keyed=True))
+    check_alignment(features.where(F.col("day") >= start), users, ("run",), len(cfg_cols) * len(forest.seeds))
+    wide = evaluate_users(users, features, victims, evaluation, ("run",))
+    return wide.join(F.broadcast(runs), "run").select(
+        "config", "seed", *[c for c in wide.columns if c != "run"], F.size("place").alias("n_features"))
 
 
 def summarize(runs: DataFrame, evaluation: EvalParams = EvalParams(),

@@ -134,6 +134,8 @@ class ForestParams:
     oversample: float = 2.0
     # Trees grown per Python call of the fit (amortises per-call overhead).
     trees_per_block: int = 10
+    # Features enter the matrix rounded to so many decimals (None: as they are).
+    decimals: int | None = 6
 
 
 @dataclass(frozen=True)

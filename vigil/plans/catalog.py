@@ -138,34 +138,34 @@ def q_label_checks(spark, sf):
     return checks.label_violations(out, victims, START)
 
 
-def _scored_by_self_z(spark, sf) -> tuple[DataFrame, DataFrame]:
+def _scored_by_self_z(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows scored by |bytes_z_self| on the attacked table (a transparent
-    scorer whose ranking DuckDB can reproduce)."""
+    scorer whose ranking DuckDB can reproduce), the victims and the labelled table."""
     out, victims = _attacked(spark, sf)
     f = compute_features(out, FeatureParams(), families=["self_z"])
     scored = f.select("user_id", "day", "is_anomaly", "anomaly_type",
                       F.abs(F.col("bytes_z_self")).alias("score"))
-    return scored, victims
+    return scored, victims, out
 
 
 def _ranking_query(aggregation: str):
     def q(spark, sf):
-        scored, _ = _scored_by_self_z(spark, sf)
-        ranked = rank_users(user_scores(scored, START, aggregation))
+        scored, _, labelled = _scored_by_self_z(spark, sf)
+        ranked = rank_users(user_scores(scored, START, aggregation, labelled=labelled))
         return ranked.select("user_id", _r("agg_score"), "is_attacker", "attack_type", "rank")
     return q
 
 
 def q_precision_recall(spark, sf):
-    scored, victims = _scored_by_self_z(spark, sf)
-    wide = evaluate(scored, victims, EvalParams())
+    scored, victims, labelled = _scored_by_self_z(spark, sf)
+    wide = evaluate(scored, victims, EvalParams(), labelled=labelled)
     return wide.select(*[_r(c) for c in wide.columns])
 
 
 def q_caught_by_type(spark, sf):
-    scored, victims = _scored_by_self_z(spark, sf)
+    scored, victims, labelled = _scored_by_self_z(spark, sf)
     params = EvalParams()
-    wide = evaluate(scored, victims, params)
+    wide = evaluate(scored, victims, params, labelled=labelled)
     long = metrics_long(wide, params)
     return (long.where(F.col("metric").startswith("caught_"))
             .select(F.regexp_replace("metric", "^caught_", "").alias("attack_type"),
@@ -195,7 +195,7 @@ def q_seed_average(spark, sf):
                       F.col("_c.config").alias("config"), "seed",
                       (F.col("_c.z") * _weight(F.col("seed"))).alias("score")))
     params = EvalParams()
-    runs = evaluate(scored, victims, params, run_keys=("config", "seed"))
+    runs = evaluate(scored, victims, params, run_keys=("config", "seed"), labelled=out)
     runs = runs.withColumn("n_features", F.lit(1))
     return summarize(runs, params)
 
@@ -280,16 +280,23 @@ def _round_list(cols) -> str:
 
 
 def _sql_family(family: str) -> str:
+    cols = family_columns(family, RAW)
+    return (f"WITH {_sql_user_day()},\nff AS ({_sql_family_of(family, 'ud')})\nSELECT user_id, day, "
+            + ", ".join(c if c.endswith("_med_self") else f"{_sql_rnd(c)} AS {c}" for c in cols) + " FROM ff")
+
+
+def _sql_family_of(family: str, src: str) -> str:
+    """user_id, day and the columns of a family over the user-day CTE ``src``."""
     cols = family_columns(family, RAW)
     if family == "self_z":
-        body = _sql_self_z("ud", "f")
+        body = _sql_self_z(src, "f")
     elif family == "robust_z":
         med = [f"quantile_disc({c}, 0.5) OVER wp AS {c}_med_self" for c in RAW]
         mad = [f"{MAD_CONSTANT} * quantile_disc(abs(CAST({c} AS DOUBLE) - {c}_med_self), 0.5) "
                f"OVER wp AS {c}_mad_self" for c in RAW]
         rz = [f"(CAST({c} AS DOUBLE) - {c}_med_self) / ({c}_mad_self + {EPS}) AS {c}_rz_self"
               for c in RAW]
-        body = (f"f0 AS (SELECT *, {', '.join(med)} FROM ud WINDOW wp AS {W_PAST}),\n"
+        body = (f"f0 AS (SELECT *, {', '.join(med)} FROM {src} WINDOW wp AS {W_PAST}),\n"
                 f"f1 AS (SELECT *, {', '.join(mad)} FROM f0 WINDOW wp AS {W_PAST}),\n"
                 f"f AS (SELECT *, {', '.join(rz)} FROM f1)")
     elif family == "peer_z":
@@ -312,8 +319,8 @@ def _sql_family(family: str) -> str:
                 f"AS {c}_std_peer_loo"]
         z = [f"(CAST({c} AS DOUBLE) - {c}_mean_peer_loo) / ({c}_std_peer_loo + {EPS}) AS {c}_z_peer_loo"
              for c in RAW]
-        body = (f"ps AS (SELECT \"group\", day, {', '.join(aggs)} FROM ud GROUP BY 1, 2),\n"
-                f"f0 AS (SELECT ud.*, {', '.join(lvl1)} FROM ud JOIN ps USING (\"group\", day)),\n"
+        body = (f"ps AS (SELECT \"group\", day, {', '.join(aggs)} FROM {src} GROUP BY 1, 2),\n"
+                f"f0 AS (SELECT {src}.*, {', '.join(lvl1)} FROM {src} JOIN ps USING (\"group\", day)),\n"
                 f"f1 AS (SELECT *, {', '.join(lvl2)} FROM f0),\n"
                 f"f AS (SELECT *, {', '.join(z)} FROM f1)")
     elif family == "rolling":
@@ -322,7 +329,7 @@ def _sql_family(family: str) -> str:
             agg += [f"max(CAST({c} AS DOUBLE)) OVER wr AS {c}_roll7_max",
                     f"avg(CAST({c} AS DOUBLE)) OVER wr AS {c}_roll7_mean",
                     f"stddev_samp(CAST({c} AS DOUBLE)) OVER wr AS {c}_roll7_std"]
-        body = (f"f AS (SELECT *, {', '.join(agg)} FROM ud "
+        body = (f"f AS (SELECT *, {', '.join(agg)} FROM {src} "
                 f"WINDOW wr AS {_w_user('7 PRECEDING AND 1 PRECEDING')})")
     elif family == "diff":
         lag = [f"lag(CAST({c} AS DOUBLE), 1) OVER (PARTITION BY user_id ORDER BY day) AS lag_{c}"
@@ -331,7 +338,7 @@ def _sql_family(family: str) -> str:
         for c in RAW:
             d += [f"CAST({c} AS DOUBLE) - lag_{c} AS {c}_diff1",
                   f"(CAST({c} AS DOUBLE) - lag_{c}) / (abs(lag_{c}) + {EPS}) AS {c}_pct1"]
-        body = (f"f0 AS (SELECT *, {', '.join(lag)} FROM ud),\n"
+        body = (f"f0 AS (SELECT *, {', '.join(lag)} FROM {src}),\n"
                 f"f AS (SELECT *, {', '.join(d)} FROM f0)")
     elif family == "ramp":
         sums, fit = [], []
@@ -352,20 +359,19 @@ def _sql_family(family: str) -> str:
                     f"(CAST(vx_{c} AS DOUBLE) * CAST(vy_{c} AS DOUBLE)) END AS {c}_ramp_r2"]
         sig = [f"CASE WHEN {c}_ramp_slope > 0 THEN {c}_ramp_r2 ELSE 0.0 END AS {c}_ramp_signal"
                for c in RAW]
-        body = (f"f0 AS (SELECT *, {', '.join(sums)} FROM ud "
+        body = (f"f0 AS (SELECT *, {', '.join(sums)} FROM {src} "
                 f"WINDOW wr AS {_w_user('6 PRECEDING AND CURRENT ROW')}),\n"
                 f"f1 AS (SELECT *, {', '.join(fit)} FROM f0),\n"
                 f"f2 AS (SELECT *, {', '.join(out)} FROM f1),\n"
                 f"f AS (SELECT *, {', '.join(sig)} FROM f2)")
     elif family == "spearman":
-        body = _sql_spearman()
+        body = _sql_spearman(src)
     else:
         raise ValueError(family)
-    return f"WITH {_sql_user_day()},\n{body}\nSELECT user_id, day, " + ", ".join(
-        c if c.endswith("_med_self") else f"{_sql_rnd(c)} AS {c}" for c in cols) + " FROM f"
+    return f"WITH {body}\nSELECT user_id, day, {', '.join(cols)} FROM f"
 
 
-def _sql_spearman() -> str:
+def _sql_spearman(src: str) -> str:
     xs = ", ".join(f"CAST({c} AS DOUBLE) AS x_{c}" for c in RAW)
     bx = ", ".join(f"b.x_{c}" for c in RAW)
     ranks = ", ".join(
@@ -378,7 +384,7 @@ def _sql_spearman() -> str:
                    f"ELSE 0.0 END AS {c}_spearman")
     pos = [f"greatest({c}_spearman, 0.0) AS {c}_spearman_pos" for c in RAW]
     return (f"sb AS (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day) AS rn, "
-            f"{xs} FROM ud),\n"
+            f"{xs} FROM {src}),\n"
             f"sp AS (SELECT a.user_id, a.day, CAST(b.rn - a.rn AS DOUBLE) AS pos, {bx} FROM sb a "
             f"JOIN sb b ON a.user_id = b.user_id AND b.rn BETWEEN a.rn - 6 AND a.rn),\n"
             f"sr AS (SELECT *, {ranks} FROM sp),\n"
