@@ -150,3 +150,34 @@ def test_victim_share_counts(spark):
     scen = (dict(DEFAULT_SCENARIOS[0], n_victims=None, victim_share=0.25),)
     _, v = plant(act, scenario_table(spark, scen), seed=0, test_window_start=2)
     assert v.count() == 3          # floor(0.25 * 12)
+
+
+@pytest.mark.parametrize("digits", [1, 2, 4])
+def test_draw_with_much_exclusion_matches_brute_force(spark, monkeypatch, digits):
+    """Five attacks take most of one group in turn; every prefix length draws the same users."""
+    from vigil.operators import scenarios
+    monkeypatch.setattr(scenarios, "PREFIX_DIGITS", digits)
+    users = spark.createDataFrame([(u, "finance" if u % 3 else "sales") for u in range(120)], "user_id long, group string")
+    names = ["exfil", "cred_theft", "lateral", "subtle_exfil", "slow_ramp"]
+    counts = [30, 20, 15, 10, 5]
+    table = scenario_table(spark, [dict(name=n, target_group="finance", n_victims=k, duration_days=1, days_offset=[0])
+                                   for n, k in zip(names, counts)])
+    got = scenarios.pick_victims(users, table, seed=7).collect()
+    left, expected = [u for u in range(120) if u % 3], []
+    for n, k in zip(names, counts):
+        order = sorted(left, key=lambda u: (hashlib.md5(f"7|{n}|{u}".encode()).hexdigest(), u))
+        expected += [(n, u) for u in order[:k]]
+        left = order[k:]
+    assert sorted((r.attack_type, r.user_id) for r in got) == sorted(expected) and not left
+
+
+def test_draw_sorts_no_group(spark):
+    """Only the prefix that holds the last victim is ranked."""
+    from vigil.operators import scenarios
+    users = spark.range(0, 20_000).selectExpr("id AS user_id", "'finance' AS group")
+    table = scenario_table(spark, [dict(name="exfil", target_group="finance", n_victims=9_000, duration_days=1)])
+    assert scenarios.pick_victims(users, table, seed=1).select("user_id").distinct().count() == 9_000
+    cand = users.selectExpr("0 AS ordinal", "user_id", "CAST(conv(substring(md5(concat('1|exfil|', user_id)), 1, 4), 16, 10) AS INT) AS _prefix")
+    (last, before), = scenarios._cutoffs(cand, {0: 9_000}).values()
+    inside = cand.where(f"_prefix = {last}").count()
+    assert before < 9_000 <= before + inside and inside < 20

@@ -106,72 +106,78 @@ def victim_plan(users: DataFrame, scenarios: DataFrame) -> list[dict]:
     return plan
 
 
+#: hex digits of the draw key that are counted before anything is ranked
+PREFIX_DIGITS = 4
+
+
+def _cutoffs(candidates: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Per attack (ordinal): the key prefix that holds its last victim and the candidates before it.
+
+    Radix selection: candidates are counted per prefix (at most 16 ** PREFIX_DIGITS
+    an attack) and the running counts meet the number wanted in one prefix.
+    """
+    counts = candidates.groupBy("ordinal", "_prefix").agg(F.count("*").alias("k"))
+    running = F.sum("k").over(Window.partitionBy("ordinal").orderBy("_prefix"))
+    asked = F.create_map(*[F.lit(int(v)) for pair in wanted.items() for v in pair])
+    cut = counts.withColumn("upto", running).withColumn("n", F.try_element_at(asked, F.col("ordinal"))) \
+        .where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("k") < F.col("n")))
+    return {r["ordinal"]: (int(r["_prefix"]), int(r["upto"] - r["k"])) for r in cut.collect()}   # one row an attack
+
+
 def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
                  validate: bool = True, plan: list[dict] | None = None) -> DataFrame:
     """Victims per attack as a table (ordinal, attack_type, user_id).
 
-    ``users`` is the user → group dimension.  For attack ``a`` only the first
-    n_a + (victims of earlier attacks) users of its group in draw order can
-    ever be chosen, so one pass with a per-attack top-n — a literal bound, so
-    Spark applies the group limit map-side before the shuffle — yields a
-    candidate pool bounded by the parameters; the in-order exclusion then
-    runs on that small, checkpointed pool.
+    ``users`` is the user → group dimension.  An attack takes the users of its
+    group with the smallest draw keys that no earlier attack has taken.  Attacks on
+    different groups cannot meet, so round r draws the r-th attack of every group; a round
+    counts its candidates by key prefix, takes all before the prefix that
+    holds the last victim and ranks only the few inside it, so no group is
+    sorted or gathered however many victims it gives.
     """
     if validate:
         check_scenario_names(scenarios)
     plan = victim_plan(users, scenarios) if plan is None else plan
+    spark = users.sparkSession
     if not plan:
-        return users.sparkSession.createDataFrame(
-            [], "ordinal int, attack_type string, user_id long")
-    caps, total = {}, 0
-    for p in plan:
-        total += p["n"]
-        caps[p["ordinal"]] = total
-    cap_tbl = users.sparkSession.createDataFrame(
-        [(o, c) for o, c in caps.items()], "ordinal int, _cap int")
-    sc = (scenarios.select("ordinal", F.col("name").alias("attack_type"), "target_group")
-          .join(F.broadcast(cap_tbl), "ordinal"))
-
-    cand = (users.join(F.broadcast(sc), users["group"] == sc["target_group"], "inner")
-            .select("ordinal", "attack_type", "user_id", "_cap")
-            .withColumn("_key", _draw_key(seed)))
-    rn = F.row_number().over(Window.partitionBy("ordinal").orderBy("_key", "user_id"))
-    pool = (cand.withColumn("_rn", rn).where(F.col("_rn") <= F.lit(total))
-            .where(F.col("_rn") <= F.col("_cap"))
-            .select("ordinal", "attack_type", "user_id", "_key"))
-    pool = materialize(pool)
-
-    # Exclusion only matters between attacks on the same group, so attacks are
-    # drawn in rounds: round r holds the r-th attack of every group, and each
-    # round excludes the users picked in earlier rounds.
+        return spark.createDataFrame([], "ordinal int, attack_type string, user_id long")
     rounds: dict[int, list[dict]] = {}
     seen: dict[str, int] = {}
     for p in plan:
         g = p["target_group"]
         rounds.setdefault(seen.get(g, 0), []).append(p)
         seen[g] = seen.get(g, 0) + 1
-    spark = users.sparkSession
     picked = None
     for r in sorted(rounds):
-        attacks = rounds[r]
-        n_tbl = spark.createDataFrame([(p["ordinal"], p["n"]) for p in attacks], "ordinal int, _n int")
-        mine = pool.join(F.broadcast(n_tbl), "ordinal")
+        attacks = {p["ordinal"]: p["n"] for p in rounds[r]}
+        sc = spark.createDataFrame([(p["ordinal"], p["attack_type"], p["target_group"]) for p in rounds[r]],
+                                   "ordinal int, attack_type string, target_group string")
+        cand = users.join(F.broadcast(sc), users["group"] == sc["target_group"])
         if picked is not None:
-            mine = mine.join(picked.select("user_id"), "user_id", "left_anti")
-        top = max(p["n"] for p in attacks)
-        mine = (mine.withColumn("_rn", F.row_number().over(
-            Window.partitionBy("ordinal").orderBy("_key", "user_id")))
-            .where(F.col("_rn") <= F.lit(top)).where(F.col("_rn") <= F.col("_n"))
-            .select("ordinal", "attack_type", "user_id"))
+            cand = cand.join(picked.select("user_id"), "user_id", "left_anti")
+        cand = cand.select("ordinal", "attack_type", "user_id").withColumn("_key", _draw_key(seed)) \
+            .withColumn("_prefix", F.conv(F.substring("_key", 1, PREFIX_DIGITS), 16, 10).cast("int"))
+        cuts = _cutoffs(cand, attacks)
+        # groups smaller than the attack asks for give all they have
+        places = {o: cuts.get(o, (16 ** PREFIX_DIGITS, 0)) for o in attacks}
+        of = lambda values: F.try_element_at(F.create_map(
+            *[F.lit(int(v)) for pair in values.items() for v in pair]), F.col("ordinal"))
+        last = of({o: p for o, (p, _) in places.items()})
+        before = cand.where(F.col("_prefix") < last).select("ordinal", "attack_type", "user_id")
+        rank = F.row_number().over(Window.partitionBy("ordinal").orderBy("_key", "user_id"))
+        inside = cand.where(F.col("_prefix") == last).withColumn("_rank", rank) \
+            .where(F.col("_rank") <= of({o: attacks[o] - b for o, (_, b) in places.items()})) \
+            .select("ordinal", "attack_type", "user_id")
+        mine = materialize(before.unionByName(inside))
         picked = mine if picked is None else picked.unionByName(mine)
-    victims = materialize(picked)
+    victims = picked
     if validate:
-        got = {r["attack_type"]: r["cnt"] for r in
-               victims.groupBy("attack_type").agg(F.count("*").alias("cnt")).collect()}
+        got = {r["ordinal"]: r["cnt"] for r in
+               victims.groupBy("ordinal").agg(F.count("*").alias("cnt")).collect()}
         for p in plan:
-            if got.get(p["attack_type"], 0) < p["n"]:
+            if got.get(p["ordinal"], 0) < p["n"]:
                 raise ValueError(f"{p['attack_type']} asks for {p['n']} victims, its group "
-                                 f"offers {got.get(p['attack_type'], 0)}")
+                                 f"offers {got.get(p['ordinal'], 0)}")
     return victims
 
 
@@ -258,7 +264,7 @@ def plant(activity: DataFrame, scenarios: DataFrame, seed: int, test_window_star
     victims x attack days); it is broadcast only under ``max_broadcast_targets``.
     """
     from vigil.sources.activity import user_groups
-    users = user_groups(activity) if users is None else users
+    users = materialize(user_groups(activity) if users is None else users)      # read by every round
     plan = victim_plan(users, scenarios)
     victims = pick_victims(users, scenarios, seed, validate=validate, plan=plan)
     bound = sum(p["n"] * max(p["n_days"], 1) for p in plan)

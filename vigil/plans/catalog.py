@@ -35,7 +35,14 @@ from vigil.params import (
     FeatureParams,
 )
 from vigil.session import materialize
-from vigil.sources.activity import activity_from_testdata, partition_by_user, user_groups
+from vigil.sources.activity import (
+    activity_from_testdata,
+    partition_by_user,
+    read_table,
+    user_day_from_events,
+    user_groups,
+    users_without_group,
+)
 
 ROUND = 6
 RAW = list(RAW_COLUMNS)
@@ -64,7 +71,7 @@ def _r(c: str) -> Column:
 
 
 def _activity(spark: SparkSession, sf: str) -> DataFrame:
-    """The user-day table, hash-partitioned by user and checkpointed: later
+    """The complete user-day table, hash-partitioned by user and checkpointed: later
     jobs of a query (draws, checks, windows) re-read it instead of
     re-aggregating the event log."""
     return materialize(partition_by_user(activity_from_testdata(spark, sf, EVENTS_DAY_ZERO)),
@@ -86,7 +93,15 @@ def _family_query(family: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def q_user_day(spark, sf):
-    return _activity(spark, sf)
+    return user_day_from_events(read_table(spark, sf, "events"), read_table(spark, sf, "customer"))
+
+
+def q_user_day_grid(spark, sf):
+    return activity_from_testdata(spark, sf)
+
+
+def q_users_without_group(spark, sf):
+    return users_without_group(read_table(spark, sf, "events"), read_table(spark, sf, "customer"))
 
 
 def q_user_groups(spark, sf):
@@ -202,6 +217,8 @@ def q_seed_average(spark, sf):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "user_day": q_user_day,
+    "user_day_grid": q_user_day_grid,
+    "users_without_group": q_users_without_group,
     "user_groups": q_user_groups,
     "profile": q_profile,
     "users_per_group": q_users_per_group,
@@ -242,7 +259,21 @@ def _sql_rnd(c: str) -> str:
 
 
 def _sql_user_day() -> str:
-    return f"""ud AS (
+    """CTE ``ud``: the complete grid over ``uds``."""
+    return f"""{_sql_rolled()},
+spine AS (SELECT unnest(range(lo, hi + 1)) AS day FROM (
+  SELECT min(datediff('day', DATE '{EVENTS_DAY_ZERO}', CAST(ts AS DATE))) AS lo,
+         max(datediff('day', DATE '{EVENTS_DAY_ZERO}', CAST(ts AS DATE))) AS hi
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)),
+ud AS (
+  SELECT u.user_id, u."group", CAST(s.day AS INTEGER) AS day, coalesce(bytes, 0) AS bytes, coalesce(logins, 0) AS logins,
+         coalesce(hosts, 0) AS hosts, coalesce(fails, 0) AS fails, FALSE AS is_anomaly, '' AS anomaly_type
+  FROM (SELECT DISTINCT user_id, "group" FROM uds) u CROSS JOIN spine s
+  LEFT JOIN uds ON uds.user_id = u.user_id AND uds.day = s.day)"""
+
+
+def _sql_rolled() -> str:
+    return f"""uds AS (
   SELECT e.user_id, c.c_mktsegment AS "group", CAST(e.day AS INTEGER) AS day,
          e.bytes, e.logins, e.hosts, e.fails,
          FALSE AS is_anomaly, '' AS anomaly_type
@@ -565,7 +596,13 @@ def _sql_seed_average() -> str:
 
 
 ORACLES: dict[str, str] = {
-    "user_day": f"WITH {_sql_user_day()} SELECT * FROM ud",
+    "user_day": f"WITH {_sql_rolled()} SELECT * FROM uds",
+    "user_day_grid": f"WITH {_sql_user_day()} SELECT * FROM ud",
+    "users_without_group": (
+        "SELECT count(*) AS users, count(*) FILTER (WHERE k IS NULL) AS users_without_group, "
+        "CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS BIGINT) AS events_without_group FROM ("
+        "SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1) LEFT JOIN "
+        "(SELECT DISTINCT c_custkey AS k FROM customer WHERE c_mktsegment IS NOT NULL) ON user_id = k"),
     "user_groups": f"WITH {_sql_user_day()} SELECT DISTINCT user_id, \"group\" FROM ud",
     "profile": (f"WITH {_sql_user_day()} SELECT count(*) AS rows, count(DISTINCT user_id) AS users, "
                 "count(DISTINCT day) AS days, min(day) AS min_day, max(day) AS max_day FROM ud"),

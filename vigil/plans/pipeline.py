@@ -26,7 +26,7 @@ from vigil.sources import tables
 from vigil.sources.activity import (
     partition_by_user,
     read_table,
-    user_day_from_events,
+    user_day_grid,
     user_groups,
 )
 
@@ -43,7 +43,7 @@ class PipelineResult:
 def build_features(spark: SparkSession, events: DataFrame, customers: DataFrame,
                    params: AnalysisParams = AnalysisParams()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stages A2 → B → D: returns (overlaid activity, victims, features)."""
-    activity = user_day_from_events(events, customers, params.day_zero)
+    activity = user_day_grid(events, customers, params.day_zero)
     activity = materialize(partition_by_user(activity), keep_partitioning=True)
     last_day = activity.agg(F.max("day").alias("d")).collect()[0]["d"]
     validate(params, n_days=None if last_day is None else last_day + 1)   # window inside the data

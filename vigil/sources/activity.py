@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.params import EVENTS_DAY_ZERO
+from vigil.params import EVENTS_DAY_ZERO, RAW_COLUMNS
 
 ACTIVITY_SCHEMA = T.StructType([
     T.StructField("user_id", T.LongType(), False),
@@ -76,10 +76,53 @@ def user_day_from_events(events: DataFrame, customers: DataFrame,
     )
 
 
+def event_days(events: DataFrame, day_zero: str = EVENTS_DAY_ZERO) -> tuple[int, int] | None:
+    """First and last day of the event log (one narrow scan), None if it is empty."""
+    day = F.datediff(F.to_date("ts"), F.to_date(F.lit(day_zero)))
+    lo, hi = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull()) \
+        .agg(F.min(day), F.max(day)).first()
+    return None if lo is None else (lo, hi)
+
+
+def complete_days(activity: DataFrame, first: int, last: int, measures=RAW_COLUMNS) -> DataFrame:
+    """A2: one row for every user and day from ``first`` to ``last``.
+
+    A day without events is a row of zeros, not a gap, so that sums over a user's days, histories and
+    windows compare users by what they did and not by how often they appear.  A
+    user's missing days are the day spine without the days it has (at most one
+    spine a user, whatever its events); no join, and the rows there are pass through.
+    """
+    spine = F.sequence(F.lit(int(first)), F.lit(int(last)))
+    missing = activity.groupBy("user_id").agg(F.min("group").alias("group"), F.collect_set("day").alias("_days")) \
+        .select("user_id", "group", F.explode(F.array_except(spine, F.col("_days"))).alias("day"))
+    zeros = missing.select("user_id", "group", "day", *[F.lit(0).cast("long").alias(c) for c in measures],
+                           F.lit(False).alias("is_anomaly"), F.lit("").alias("anomaly_type"))
+    return activity.unionByName(zeros)
+
+
+def user_day_grid(events: DataFrame, customers: DataFrame, day_zero: str = EVENTS_DAY_ZERO) -> DataFrame:
+    """A2: the complete user × day table of an event log."""
+    days = event_days(events, day_zero)
+    rolled = partition_by_user(user_day_from_events(events, customers, day_zero))
+    return rolled if days is None else complete_days(rolled, *days)
+
+
+def users_without_group(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """A2: users of the event log, and those (with their events) that no group claims (the roll-up leaves users out that the dimension does not hold)."""
+    per_user = events.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull()) \
+        .groupBy("user_id").agg(F.count("*").alias("_events"))
+    known = customers.where(F.col("c_mktsegment").isNotNull()).select(F.col("c_custkey").alias("user_id")).distinct() \
+        .withColumn("_known", F.lit(True))
+    out = F.col("_known").isNull()
+    return per_user.join(known, "user_id", "left").agg(
+        F.count("*").alias("users"), F.count_if(out).alias("users_without_group"),
+        F.coalesce(F.sum(F.when(out, F.col("_events"))), F.lit(0)).alias("events_without_group"))
+
+
 def activity_from_testdata(spark: SparkSession, sf_dir: str,
                            day_zero: str = EVENTS_DAY_ZERO) -> DataFrame:
-    """A2 over the shipped ``events`` and ``customer`` tables."""
-    return user_day_from_events(
+    """A2 over the shipped ``events`` and ``customer`` tables: the complete grid."""
+    return user_day_grid(
         read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer"), day_zero)
 
 
