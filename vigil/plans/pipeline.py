@@ -11,7 +11,7 @@ checkpoint folder, so a lost executor costs a re-read, not a recompute):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from vigil.params import AnalysisParams
 from vigil.session import materialize
 from vigil.sources import tables
 from vigil.sources.activity import (
+    ACTIVITY_COLUMNS,
     partition_by_user,
     read_table,
     user_day_grid,
@@ -56,29 +57,38 @@ def build_features(spark: SparkSession, events: DataFrame, customers: DataFrame,
 
 
 def run(spark: SparkSession, sf_dir: str, params: AnalysisParams = AnalysisParams(),
-        out_dir: str | None = None, skip_features: bool = False) -> PipelineResult:
+        out_dir: str | None = None, skip_features: bool = False, run_id: str | None = None,
+        tags: dict[str, str] | None = None) -> PipelineResult:
     """H1: the whole analysis over the event tables in ``sf_dir``.
 
     With ``out_dir`` the feature table, victims, summary CSV and run log are
-    written there; with ``skip_features`` a complete cached feature table and
-    victim ledger in ``out_dir`` are reused (A5/A6).
+    written there; with ``skip_features`` the feature table and victim ledger in ``out_dir`` are
+    reused if they are whole and their stamp names the same parameters and
+    input files (A5/A6).  The run log keeps one entry per ``run_id`` (by default a digest of
+    parameters and inputs, so a repeated run replaces its entry).
     """
     validate(params)
-    feat_path = f"{out_dir}/features" if out_dir else None
-    vic_path = f"{out_dir}/victims" if out_dir else None
-    if (skip_features and out_dir and tables.has_cached(spark, feat_path)
-            and tables.has_cached(spark, vic_path)):
-        features = spark.read.parquet(feat_path)
-        victims = tables.read_victims(spark, vic_path)
-        attacked = features.select("user_id", "group", "day", "bytes", "logins", "hosts",
-                                   "fails", "is_anomaly", "anomaly_type")
+    events, customers = read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer")
+    if out_dir is None:
+        attacked, victims, features = build_features(spark, events, customers, params)
     else:
-        attacked, victims, features = build_features(
-            spark, read_table(spark, sf_dir, "events"), read_table(spark, sf_dir, "customer"),
-            params)
-        if out_dir:
+        # the forest's parameters and the evaluation do not enter the features
+        mark = tables.fingerprint({"features": asdict(params.features), "scenarios": params.scenarios,
+                                   "seed": params.scenario_seed, "day_zero": params.day_zero,
+                                   "window": params.evaluation.test_window_start}, [events, customers])
+        feat_path, vic_path = f"{out_dir}/features", f"{out_dir}/victims"
+        if not (skip_features and tables.has_cached(spark, feat_path, mark)
+                and tables.has_cached(spark, vic_path, mark)):
+            for path in (feat_path, vic_path):
+                tables.stamp(spark, path, None)
+            _, victims, features = build_features(spark, events, customers, params)
             tables.write_features(features, feat_path)
             tables.write_victims(victims, vic_path)
+            for path in (feat_path, vic_path):
+                tables.stamp(spark, path, mark)
+        # every later pass reads its columns and days from the store
+        features, victims = tables.read_features(spark, feat_path), tables.read_victims(spark, vic_path)
+        attacked = features.select(*ACTIVITY_COLUMNS)
     victims = materialize(victims)
     runs = materialize(run_sweep(features, victims, params.forest, params.evaluation,
                                  params.feature_sets, params.features.raw_columns))
@@ -86,10 +96,12 @@ def run(spark: SparkSession, sf_dir: str, params: AnalysisParams = AnalysisParam
     if out_dir:
         from vigil.operators.evaluate import metric_columns
         tables.write_summary_csv(summary, f"{out_dir}/summary")
-        log = tables.run_log(runs, metric_columns(params.evaluation),
+        run_id = run_id or tables.fingerprint(params, [events, customers])[0][:16]
+        log = tables.run_log(runs, metric_columns(params.evaluation), run_id=run_id,
                              algorithm="isolation_forest",
                              n_estimators=params.forest.n_trees,
                              max_samples=params.forest.max_samples,
-                             aggregation=params.evaluation.aggregation, tags={})
-        tables.append_run_log(log, f"{out_dir}/run_log")
+                             aggregation=params.evaluation.aggregation,
+                             tags={"input": sf_dir, **(tags or {})})
+        tables.write_run_log(log, f"{out_dir}/run_log", run_id)
     return PipelineResult(attacked, victims, features, runs, summary)
