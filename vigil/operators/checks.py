@@ -6,7 +6,7 @@ ledger), so they cost one pass over the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.params import AGGREGATIONS, FAMILY_ORDER, AnalysisParams
@@ -46,6 +46,23 @@ def unknown_target_groups(scenarios: DataFrame, users: DataFrame) -> DataFrame:
     return scenarios.join(groups, "target_group", "left_anti").select("name", "target_group")
 
 
+def target_shortfalls(scenarios: DataFrame, users: DataFrame) -> DataFrame:
+    """Per scenario the victims asked for, the users of its group and how many are missing.
+
+    Scenarios are drawn in order, so the users that earlier attacks on the same
+    group take are not there for later ones.
+    """
+    sizes = users.groupBy("group").agg(F.count("*").alias("users"))
+    asked = scenarios.join(sizes, F.col("target_group") == F.col("group"), "left") \
+        .withColumn("users", F.coalesce("users", F.lit(0))) \
+        .withColumn("asked", F.coalesce(F.col("n_victims").cast("long"), F.greatest(
+            F.lit(1).cast("long"), F.floor(F.col("victim_share") * F.col("users")))))
+    earlier = Window.partitionBy("target_group").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)  # scenarios
+    left = F.greatest(F.lit(0), F.col("users") - F.coalesce(F.sum("asked").over(earlier), F.lit(0)))
+    return asked.select("ordinal", "name", "target_group", "users", "asked",
+                        F.greatest(F.lit(0), F.col("asked") - left).alias("missing"))
+
+
 def check_target_groups(scenarios: DataFrame, users: DataFrame) -> None:
     bad = unknown_target_groups(scenarios, users).collect()      # parameter-sized
     if bad:
@@ -124,3 +141,10 @@ def trajectory(activity: DataFrame, user_id: int, day_from: int, day_to: int,
     return (activity.where((F.col("user_id") == F.lit(user_id))
                            & F.col("day").between(day_from, day_to))
             .select("user_id", "day", *columns).orderBy("day"))
+
+
+def trajectories(activity: DataFrame, users: DataFrame, day_from: int, day_to: int,
+                 columns=("bytes", "logins", "hosts", "fails", "is_anomaly", "anomaly_type")) -> DataFrame:
+    """H9 for a table of users (``user_id`` and any labels): their rows over a day range."""
+    return activity.where(F.col("day").between(day_from, day_to)).select("user_id", "day", *columns) \
+        .join(users, "user_id")
