@@ -139,68 +139,64 @@ def sample_rows(matrix: DataFrame, n_rows: int, params: ForestParams) -> DataFra
             .where(F.col("_rn") <= F.lit(int(psi))).drop("_rn"))
 
 
-def node_draws(seed: int, configs, trees, nodes) -> tuple[np.ndarray, np.ndarray]:
+def node_draws(seed: int, config: str, trees, nodes) -> tuple[np.ndarray, np.ndarray]:
     """Two uniform numbers of every node from the md5 of (seed, set, tree, node)."""
-    digests = [hashlib.md5(f"{seed}|{c}|{t}|{n}".encode()).hexdigest() for c, t, n in zip(configs, trees, nodes)]
+    digests = [hashlib.md5(f"{seed}|{config}|{t}|{n}".encode()).hexdigest() for t, n in zip(trees, nodes)]
     return (np.array([int(h[:8], 16) for h in digests], float) / float(1 << 32),
             np.array([int(h[8:21], 16) for h in digests], float) / float(1 << 52))
 
 
-def grow_trees(X: np.ndarray, root_rows: list[np.ndarray], allowed: list[np.ndarray], draws,
+def grow_trees(X: np.ndarray, root_rows: list[np.ndarray], draws,
                max_depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Grow many isolation trees at once, level-wise.
 
-    ``X`` holds sample rows; tree r grows on the rows ``root_rows[r]`` and may
-    split on the columns ``allowed[r]``, in that order.  ``draws(roots, nodes)`` gives
-    two uniform numbers a node: the first picks among its non-constant columns,
-    the second the threshold in [min, max).  Rows go left when ``x <= threshold``.
+    ``X`` holds sample rows in the columns of one feature set; tree r grows on the
+    rows ``root_rows[r]``.  ``draws(roots, nodes)`` gives two uniform numbers a node: the first
+    picks among its non-constant columns, the second the threshold in [min, max).  Rows
+    go left when ``x <= threshold``.
 
-    Returns per tree, by node number (1, children 2n and 2n + 1): the split's place in
-    ``allowed[r]``, its threshold (infinite where the node is no split) and the node's size.
+    Returns per tree, by node number (1, children 2n and 2n + 1): the split's column,
+    its threshold (infinite where the node is no split) and the node's size.
     """
     n_roots, width = len(root_rows), 1 << max_depth
     feature = np.zeros((n_roots, width), np.int32)
     threshold = np.full((n_roots, width), np.inf)
     size = np.zeros((n_roots, 2 * width), np.int32)
-    most = max((len(a) for a in allowed), default=0)
-    order = np.zeros((n_roots, most), np.int64)
-    valid = np.zeros((n_roots, most), bool)
-    for r, a in enumerate(allowed):
-        order[r, :len(a)], valid[r, :len(a)] = a, True
     lengths = np.array([len(r) for r in root_rows], np.int64)
     row = np.concatenate(root_rows) if n_roots else np.zeros(0, np.int64)
-    root, node = np.repeat(np.arange(n_roots), lengths), np.ones(len(row), np.int64)
+    key = np.repeat(np.arange(n_roots), lengths) * (2 * width) + 1
     size[:, 1] = lengths
+    counts = size.reshape(-1)
     for _ in range(max_depth):
-        live = size[root, node] >= 2
-        row, root, node = row[live], root[live], node[live]
+        live = counts[key] >= 2
+        row, key = row[live], key[live]
         if not len(row):
             break
-        at = np.argsort(root * (2 * width) + node, kind="stable")
-        row, root, node = row[at], root[at], node[at]
-        key = root * (2 * width) + node
+        at = np.argsort(key, kind="stable")
+        row, key = row[at], key[at]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        r, n = root[starts], node[starts]
+        r, n = key[starts] // (2 * width), key[starts] % (2 * width)
         values = X[row]
         lo, hi = np.minimum.reduceat(values, starts, axis=0), np.maximum.reduceat(values, starts, axis=0)
-        k = np.arange(len(starts))
-        usable = (hi > lo)[k[:, None], order[r]] & valid[r]
+        usable = hi > lo
         many = usable.sum(axis=1)
-        u, v = draws(r, n)
-        pick = np.minimum(np.floor(u * many), np.maximum(many - 1, 0))
-        f = (np.cumsum(usable, axis=1) > pick[:, None]).argmax(axis=1)
-        column = order[r, f]
-        low, high = lo[k, column], hi[k, column]
-        t = low + v * (high - low)
-        t = np.where(t >= high, low, t)
-        split = many > 0
+        split = np.flatnonzero(many)
+        u, v = draws(r[split], n[split])
+        pick = np.floor(u * many[split])
+        f = np.zeros(len(starts), np.int64)
+        f[split] = (np.cumsum(usable[split], axis=1) > pick[:, None]).argmax(axis=1)
+        low, high = lo[split, f[split]], hi[split, f[split]]
+        t = np.full(len(starts), np.inf)
+        t[split] = low + v * (high - low)
+        t[split] = np.where(t[split] >= high, low, t[split])
         feature[r[split], n[split]], threshold[r[split], n[split]] = f[split], t[split]
         # rows of split nodes go on; the others stay where they are
-        of = np.repeat(k, np.diff(np.r_[starts, len(row)]))
-        moving = split[of]
-        row, root, node, of = row[moving], root[moving], node[moving], of[moving]
-        node = 2 * node + (X[row, column[of]] > t[of])
-        np.add.at(size, (root, node), 1)
+        of = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(row)]))
+        moving = many[of] > 0
+        row, key, of = row[moving], key[moving], of[moving]
+        root = key // (2 * width) * (2 * width)
+        key = root + 2 * (key - root) + (X[row, f[of]] > t[of])
+        np.add.at(counts, key, 1)
     return feature, threshold, size
 
 
@@ -222,31 +218,27 @@ def make_tree_builder(config_columns: dict[str, list[str]], psi: int, trees: int
     """Grouped-map function: rows drawn for one (seed, tree block) → one row a tree
     and feature set."""
     max_depth = max_depth_for(psi)
-    union = sorted({c for cols in config_columns.values() for c in cols})
-    pos = {c: i for i, c in enumerate(union)}
-    names = list(config_columns)
-    allowed = [np.array([pos[c] for c in config_columns[n]], np.int64) for n in names]
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tree", "_h", "user_id", "day"], kind="mergesort")
         pdf = pdf.groupby("tree", sort=True).head(psi)          # psi smallest hashes per tree
         seed, first = int(pdf["seed"].iloc[0]), int(pdf["_block"].iloc[0]) * block
         wanted = np.arange(first, min(first + block, trees))
-        tree_ids, starts, counts = np.unique(pdf["tree"].to_numpy(), return_index=True, return_counts=True)
-        if not np.array_equal(tree_ids, wanted) or (counts < psi).any():
+        ids, starts, counts = np.unique(pdf["tree"].to_numpy(), return_index=True, return_counts=True)
+        if not np.array_equal(ids, wanted) or (counts < psi).any():
             raise RuntimeError(f"a tree of seed {seed} in {first}..{first + block - 1} drew fewer than {psi} rows; "
                                "raise oversample")
-        X = pdf[union].to_numpy(dtype=float)
-        root_tree = np.repeat(tree_ids, len(names))
-        root_name = np.array(names * len(tree_ids), dtype=object)
-        rows = [np.arange(a, a + psi) for a in starts for _ in names]
-        feature, threshold, size = grow_trees(
-            X, rows, allowed * len(tree_ids),
-            lambda r, n: node_draws(seed, root_name[r], root_tree[r], n), max_depth)
-        return pd.DataFrame({
-            "config": root_name, "seed": np.int32(seed), "tree": root_tree.astype(np.int32), "psi": np.int32(psi),
-            "feature": list(feature), "threshold": list(threshold), "size": list(size),
-            "path": list(leaf_paths(threshold, size, max_depth))})
+        rows = [np.arange(a, a + psi) for a in starts]
+        out = []
+        for name, columns in config_columns.items():
+            feature, threshold, size = grow_trees(
+                pdf[columns].to_numpy(dtype=float), rows,
+                lambda r, n, name=name: node_draws(seed, name, ids[r], n), max_depth)
+            out.append(pd.DataFrame({
+                "config": name, "seed": np.int32(seed), "tree": ids.astype(np.int32), "psi": np.int32(psi),
+                "feature": list(feature), "threshold": list(threshold), "size": list(size),
+                "path": list(leaf_paths(threshold, size, max_depth))}))
+        return pd.concat(out)
 
     return build
 

@@ -21,6 +21,8 @@ attack days), which is what makes the broadcast safe.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,26 +85,19 @@ def victim_plan(users: DataFrame, scenarios: DataFrame) -> list[dict]:
 
     Parameter-sized (one row per attack), so it is collected to the driver.
     """
-    # user counts of the target groups only: one row per scenario at most
-    targets = F.broadcast(scenarios.select(F.col("target_group").alias("group")).distinct())
-    group_sizes = (users.join(targets, "group", "left_semi")
-                   .groupBy("group").agg(F.count("*").alias("_group_users")))
-    sc = (scenarios.join(F.broadcast(group_sizes),
-                         scenarios["target_group"] == group_sizes["group"], "left")
-          .select("ordinal", "name", "target_group", "duration_days", "days_offset",
-                  F.coalesce(F.col("_group_users"), F.lit(0)).alias("group_users"),
-                  F.coalesce(F.col("n_victims"),
-                             F.greatest(F.lit(1), F.floor(
-                                 F.col("victim_share")
-                                 * F.coalesce(F.col("_group_users"), F.lit(0))).cast("int")))
-                  .alias("n")))
+    rows = sorted(scenarios.select("ordinal", "name", "target_group", "duration_days", "days_offset", "n_victims",
+                                   "victim_share").collect(), key=lambda r: r["ordinal"])      # one row per attack
+    groups = sorted({r["target_group"] for r in rows})
+    sizes = {r["group"]: int(r["n"]) for r in users.where(F.col("group").isin(groups))
+             .groupBy("group").agg(F.count("*").alias("n")).collect()} if groups else {}
     plan = []
-    for r in sorted(sc.collect(), key=lambda r: r["ordinal"]):      # one row per attack
+    for r in rows:
         n_days = (len(set(r["days_offset"] or [])) if r["name"] == "subtle_exfil"
                   else max(int(r["duration_days"] or 0), 0))
-        plan.append(dict(ordinal=r["ordinal"], attack_type=r["name"], n=int(r["n"]),
-                         target_group=r["target_group"], group_users=int(r["group_users"]),
-                         n_days=n_days))
+        size = sizes.get(r["target_group"], 0)
+        n = r["n_victims"] if r["n_victims"] is not None else max(1, math.floor(r["victim_share"] * size))
+        plan.append(dict(ordinal=r["ordinal"], attack_type=r["name"], n=int(n), target_group=r["target_group"],
+                         group_users=size, n_days=n_days))
     return plan
 
 
@@ -113,15 +108,20 @@ PREFIX_DIGITS = 4
 def _cutoffs(candidates: DataFrame, wanted: dict[int, int]) -> dict[int, tuple[int, int]]:
     """Per attack (ordinal): the key prefix that holds its last victim and the candidates before it.
 
-    Radix selection: candidates are counted per prefix (at most 16 ** PREFIX_DIGITS
-    an attack) and the running counts meet the number wanted in one prefix.
+    Radix selection: candidates are counted per prefix (16 ** PREFIX_DIGITS counts an attack
+    at most, whatever the number of users) and the running counts meet the number wanted in one prefix.
     """
-    counts = candidates.groupBy("ordinal", "_prefix").agg(F.count("*").alias("k"))
-    running = F.sum("k").over(Window.partitionBy("ordinal").orderBy("_prefix"))
-    asked = F.create_map(*[F.lit(int(v)) for pair in wanted.items() for v in pair])
-    cut = counts.withColumn("upto", running).withColumn("n", F.try_element_at(asked, F.col("ordinal"))) \
-        .where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("k") < F.col("n")))
-    return {r["ordinal"]: (int(r["_prefix"]), int(r["upto"] - r["k"])) for r in cut.collect()}   # one row an attack
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in candidates.groupBy("ordinal", "_prefix").agg(F.count("*").alias("k")).collect():
+        counts.setdefault(r["ordinal"], []).append((r["_prefix"], r["k"]))
+    out = {}
+    for ordinal, found in counts.items():
+        before = 0
+        for prefix, k in sorted(found):
+            if before < wanted[ordinal] <= before + k:
+                out[ordinal] = (prefix, before)
+            before += k
+    return out
 
 
 def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
@@ -170,15 +170,11 @@ def pick_victims(users: DataFrame, scenarios: DataFrame, seed: int,
             .select("ordinal", "attack_type", "user_id")
         mine = materialize(before.unionByName(inside))
         picked = mine if picked is None else picked.unionByName(mine)
-    victims = picked
-    if validate:
-        got = {r["ordinal"]: r["cnt"] for r in
-               victims.groupBy("ordinal").agg(F.count("*").alias("cnt")).collect()}
-        for p in plan:
-            if got.get(p["ordinal"], 0) < p["n"]:
-                raise ValueError(f"{p['attack_type']} asks for {p['n']} victims, its group "
-                                 f"offers {got.get(p['ordinal'], 0)}")
-    return victims
+        short = [p for p in rounds[r] if p["n"] > 0 and p["ordinal"] not in cuts]
+        if validate and short:
+            got = mine.where(F.col("ordinal") == short[0]["ordinal"]).count()
+            raise ValueError(f"{short[0]['attack_type']} asks for {short[0]['n']} victims, its group offers {got}")
+    return picked
 
 
 def attack_targets(activity: DataFrame, scenarios: DataFrame, victims: DataFrame,
@@ -266,6 +262,9 @@ def plant(activity: DataFrame, scenarios: DataFrame, seed: int, test_window_star
     from vigil.sources.activity import user_groups
     users = materialize(user_groups(activity) if users is None else users)      # read by every round
     plan = victim_plan(users, scenarios)
+    empty = [f"{p['attack_type']} -> {p['target_group']}" for p in plan if not p["group_users"]]
+    if validate and empty:
+        raise ValueError("no users in the group aimed at: " + ", ".join(empty))
     victims = pick_victims(users, scenarios, seed, validate=validate, plan=plan)
     bound = sum(p["n"] * max(p["n_days"], 1) for p in plan)
     small = bound <= max_broadcast_targets
