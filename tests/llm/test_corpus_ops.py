@@ -357,7 +357,6 @@ def test_packing_places_every_token(docs, rows, empty):
     pieces, places = pack(docs, path, capacity=256)
     got = pieces.join(places, ["rid", "piece"]).collect()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = Counter((r[0], tuple(tok.encode(r[1] or "", add_special_tokens=False).ids) + (0,)) for r in rows)
     whole = {}
     for r in sorted(got, key=lambda r: (r.rid, r.piece)):
@@ -397,8 +396,8 @@ def test_chunk_encoder_equals_whole_texts():
     from vigil.llm.packing import ChunkEncoder
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ["", " ", "  a  b ", "a\n\n b\t\tc \n", "it's we'll 12ab3 !?", "x y 　z\x1ca", "<|endoftext|> é",
+    texts = ["", " ", "  a  b ", "a\n\n b\t\tc \n", "it's we'll 12ab3 !?", "x y 　z\x1ca", "<|endoftext|> é", "a <|endoftext|> b",
+             "x<|endoftext|>y", "a  <|endoftext|>", "a.\n\n<|endoftext|><|endoftext|> c", "<|endoftext",
              "a\r\n  b", "\n", " \n x", "tab\t word", "foo.bar, é.x! e\u0301. x(.) ×. ÷, $$$a%b 1.5 3,000:; it's. \"a\"."]
     got = [np.frombuffer(b, "<u4").tolist() for b in ChunkEncoder(path).encode(texts)]
     assert got == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]

@@ -41,7 +41,8 @@ class ChunkEncoder:
     The byte-level pattern always breaks before a space that precedes a word and
     between a letter or digit and a mark such as a stop, so a text is the
     concatenation of the chunks cut there and its white space; a text
-    with white space other than blank, tab and line ends is encoded whole.
+    with white space other than blank, tab and line ends is encoded whole, and so is
+    one that holds a special token's string, which the tokenizer takes for the token.
     """
 
     def __init__(self, path: str):
@@ -49,10 +50,10 @@ class ChunkEncoder:
 
         import tokenizers
         self.whole = tokenizers.Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         # letters or digits before a mark or a gap end their piece; marks joined to words would
         # make many more distinct chunks
         self.chunks = re.compile(r" ?[A-Za-z0-9À-ÖØ-öø-ɏ]++(?![^\s.,;:!?$%])| ?[^\s]+|\s+(?!\S)|\s+").findall
+        self.marks = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.odd = re.compile(r"[^\S \n\t\r]").search
         self.known: dict[str, bytes] = {}
 
@@ -62,7 +63,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
-        split = [None if self.odd(t) else self.chunks(t) for t in texts]
+        split = [None if self.odd(t) or any(m in t for m in self.marks) else self.chunks(t) for t in texts]
         wanted = set().union(*(s for s in split if s is not None))
         missing = list(wanted.difference(known))
         if len(known) + len(missing) > CACHE:
