@@ -15,6 +15,7 @@ packed one by one; an empty table gives no piece; other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -33,6 +34,8 @@ END_ID = 0
 SALTS = 64
 #: distinct word chunks whose ids a worker keeps
 CACHE = 600_000
+#: longer words are encoded as texts are
+LONG_WORD = 200
 
 
 class ChunkEncoder:
@@ -56,10 +59,25 @@ class ChunkEncoder:
         self.marks = sorted(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.odd = re.compile(r"[^\S \n\t\r]").search
         self.known: dict[str, bytes] = {}
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}      # the byte-level alphabet
+        others = iter(range(256, 512))
+        self.alphabet = [chr(b if b in plain else next(others)) for b in range(256)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of chunks or whole texts.  A run of letters with or without a blank before it is one
+        piece of the byte-level pattern, so the vocabulary's merges are asked directly."""
+        out: list[bytes | None] = [None] * len(texts)
+        tokenize, rest = self.whole.model.tokenize, []
+        for k, t in enumerate(texts):
+            body = t[1:] if t[:1] == " " else t
+            if not body.isalpha() or len(body) > LONG_WORD:
+                rest.append(k)
+                continue
+            word = "".join(map(self.alphabet.__getitem__, t.encode()))
+            out[k] = array("I", [x.id for x in tokenize(word)]).tobytes()
+        for k, e in zip(rest, self.whole.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)):
+            out[k] = np.asarray(e.ids, dtype="<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         known = self.known
