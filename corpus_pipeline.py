@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and reread as the next stage's docs; all but the last return the
 columns of ``documents``.
 
-1. language: documents without a letter (``und``) or without a clear language go;
+1. language: documents without a letter (``und``) or without a clear language go (a table
+   without any labelled row teaches no language, so all its documents stay);
 2. lines: boilerplate lines go from the texts; a document whose words all lay in lines
    that stay elsewhere holds nothing of its own and goes, the others stay;
 3. duplicates: one document of each near-duplicate group stays (its smallest id;
@@ -32,6 +33,8 @@ CLEAR = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = language_id.fit(docs, path, ~language_id.held_out())
+    if not model:
+        return docs
     (pred, score), kept = fresh(docs, "lang_pred", "lang_score"), docs.columns
     found = language_id.annotate(docs, model, path, "text", pred, score)
     return found.where((F.col(pred) != "und") & (F.col(score) >= CLEAR)).select(*kept)
