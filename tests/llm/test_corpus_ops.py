@@ -557,3 +557,11 @@ def test_pipeline_keeps_one_of_a_copy_group(spark):
     assert sorted(left) == [0, 20, 21, 22, 30, 31, 32]
     assert left[0] == (copy, len(copy)) and left[30] == ("its own last line", 17)
     assert left[31] == (" \n", 2) and left[32] == (None, None)
+
+
+def test_language_stage_without_labels_keeps_all(spark):
+    from corpus_pipeline import language
+    rows = [(1, "some words here", None, "s", 15), (2, None, None, None, None), (2, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(str, language(spark, docs, "").collect())) == sorted(map(str, docs.collect()))
+    assert language(spark, docs.limit(0), "").count() == 0
