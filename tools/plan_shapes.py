@@ -27,6 +27,8 @@ def shape(df) -> str:
             detail = " " + (line.split("Exchange", 1)[1].split(",")[0].strip())
         if name.startswith("WindowGroupLimit"):
             detail = " " + ("Partial" if "Partial" in line else "Final")
+        if name.startswith("FileScan"):
+            detail = "".join(f" {k}: {v}" for k, v in re.findall(r"(PartitionFilters|ReadSchema): (\[.*?\](?=,)|struct<.*?>(?=$|,))", line))
         out.append(f"{m.group(1)}{m.group(2) or ''}{name}{detail}")
     return "\n".join(out)
 
@@ -35,14 +37,15 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     from pyspark.sql import functions as F
 
-    from vigil.operators.evaluate import rank_users, top_users, user_scores
+    from vigil.operators.evaluate import rank_users, top_users, user_scores, user_totals
     from vigil.operators.features import compute_features
     from vigil.operators.forest import prepare_matrix, sample_rows
     from vigil.operators.scenarios import plant, scenario_table
-    from vigil.operators.sweep import config_columns, union_columns
+    from vigil.operators.sweep import config_columns, score_all_runs, union_columns
     from vigil.params import AnalysisParams
     from vigil.plans.catalog import _activity
-    from vigil.session import default_session, materialize
+    from vigil.session import default_session, materialize, scratch_path
+    from vigil.sources import tables
     from vigil.sources.activity import activity_from_testdata
 
     spark = default_session()
@@ -55,10 +58,17 @@ def main() -> None:
     scored = feats.select("user_id", "day", "is_anomaly", "anomaly_type",
                           F.abs("bytes_z_self").alias("score"))
     users = user_scores(scored, 23)
+    store = scratch_path(spark, "plan-features")
+    tables.write_features(feats, store)
+    _, walked = score_all_runs(materialize(feats), config_columns(), p.forest, 23)
     sections = [
         ("A2 user-day rollup (before the checkpoint)", activity_from_testdata(spark, sf)),
         ("B + D: overlay and all feature families on the checkpointed user-day table", feats),
         ("E5 forest sample (psi rows per seed and tree)", sample_rows(matrix, matrix.count(), p.forest)),
+        ("E6 + F2 scoring of the test window by every forest, rolled up to (run, user)",
+         user_totals(walked, 23, "sum", ("_block", "run"), keyed=True)),
+        ("A4 feature store: two columns of the test window",
+         tables.read_features(spark, store, ["user_id", "bytes_z_self"], 23)),
         ("F6/F7 top-K users per run", top_users(users, 100)),
         ("F6 full ranking (range sort + per-partition offsets)", rank_users(users)),
     ]

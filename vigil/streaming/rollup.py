@@ -8,7 +8,9 @@ once the watermark passes it); every micro-batch appends its updated partial
 rows, tagged with the batch id, to a Parquet table.  ``user_day_from_partials``
 reads that table, keeps the latest version of each partial row and rolls it
 up exactly as the batch rollup does — so the result equals
-``user_day_from_events`` over the same events, at any point of the stream.
+``user_day_from_events`` over the events that arrived inside the watermark.  An event
+more than the watermark (two days by default) behind the latest one is dropped by Spark and
+missing here; the query's progress counts such rows (``numRowsDroppedByWatermark``).
 """
 
 from __future__ import annotations
