@@ -56,3 +56,13 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transfor
          AS proof_sha256, h AS folded_root, h = root AS verified
 FROM lf JOIN sub ON lf.lang IS NOT DISTINCT FROM sub.lang LEFT JOIN proof USING (id)
 JOIN climb ON climb.id = lf.id AND i = coalesce(len(p), 0), (SELECT hs[1] AS root FROM tp WHERE len(hs) = 1)"""
+
+#: products of whole numbers; their sums are exact in double up to 2 ** 53
+OP8 = """WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.rid AS qrid, a.vec_id AS query_id, b.vec_id, b.rid, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.rid <> b.rid AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id, rid) AS rank FROM s) WHERE rank <= 5"""

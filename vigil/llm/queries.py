@@ -78,7 +78,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that spread over ten sites or more."""
+    """Every document without the lines that spread over ten sites or more (three for lines of 50 words or more)."""
     from vigil.llm.line_dedup import dedup_lines
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return dedup_lines(docs).select("doc_id", "text", "n_lines", "n_removed")
@@ -123,5 +123,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op8_topk": oracles.OP8,
     "op13_merkle": oracles.OP13,
 }
