@@ -52,6 +52,8 @@ SEGMENTED = 16
 BLOCK_ENTRIES = 1_000_000
 #: bytes of text hashed at once; smaller than elsewhere as the index holds many arrays a word
 SLICE_BYTES = 1 << 21
+#: shingles whose index entries are made at once; packed before the next are made
+PART_SHINGLES = 100_000
 #: rows of the live lists that leave a task at once
 LIST_ROWS = 100_000
 #: hub rounds before the remaining pairs are verified one by one
@@ -173,63 +175,97 @@ def _distinct_sets(b: pa.RecordBatch, hot: dict) -> Iterator[tuple[np.ndarray, n
         yield tokens[np.repeat(take, sizes)], sizes[take], cids[take]
 
 
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of sets with about PART_SHINGLES shingles; a larger set stands alone."""
+    stop = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(stop, stop[lo] - sizes[lo] + PART_SHINGLES, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _packed(tokens: np.ndarray, sizes: np.ndarray, cids: np.ndarray, blocks: int, percent: int) -> pa.RecordBatch:
+    """The index of some sets by block.  Entries are made and packed part by part."""
+    ents, shorts, entity, block, rows, high = [], [], [], [], [], []
+    stop = np.cumsum(sizes)
+    for lo, hi in _parts(sizes):
+        e, need, sig, ent, unit = index_entries(tokens[stop[lo] - sizes[lo]:stop[hi - 1]], sizes[lo:hi],
+                                                cids[lo:hi], percent)
+        entity.append((ent + sum(map(len, ents))).astype("<u2"))
+        ents.append(e)
+        shorts.append(e["cid"][e["units"] < need])
+        block.append((((sig >> U(48)) * U(blocks)) >> U(16)).astype(np.int32))
+        row = np.empty(len(sig), _ENTRY)
+        row["sig"], row["entity"], row["unit"] = sig & U(0xFFFFFFFF), 0, unit & 0xFFFF
+        rows.append(row)
+        high.append((unit >> 16).astype("<u2"))
+    ents, short, block = np.concatenate(ents), np.unique(np.concatenate(shorts)), np.concatenate(block)
+    order = np.argsort(block, kind="stable")
+    block, rows, high = block[order], np.concatenate(rows)[order], np.concatenate(high)[order]
+    rows["entity"] = np.concatenate(entity)[order]
+    del order, entity
+    names, at = np.unique(block, return_index=True)
+    out = []
+    for no, p, q in zip(names, at, [*at[1:], len(block)]):
+        used, rows["entity"][p:q] = np.unique(rows["entity"][p:q], return_inverse=True)
+        out.append((int(no), ents[used].tobytes(), rows[p:q].tobytes(),
+                    high[p:q].tobytes() if high[p:q].any() else b""))
+    if len(short):
+        out.append((-1, short.tobytes(), b"", b""))
+    cells = list(zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cells[1:])],
+                                      ["block", "entities", "entries", "high"])
+
+
 def _index(batches: Iterator[pa.RecordBatch], blocks: int, hot: dict,
            percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Packed index blocks; blocks under zero hold the ids whose units fall short."""
     for b in batches:
         for tokens, sizes, cids in _distinct_sets(b, hot):
             for lo in range(0, len(sizes), 30_000):          # entity numbers have 16 bits
-                part = slice(lo, lo + 30_000)
-                stop = np.cumsum(sizes)
-                a = int(stop[lo] - sizes[lo])
-                z = int(stop[min(lo + 30_000, len(sizes)) - 1])
-                ents, need, sig, ent, unit = index_entries(tokens[a:z], sizes[part], cids[part], percent)
-                short = ents["cid"][ents["units"] < need]
-                block = ((sig >> U(48)) * U(blocks)) >> U(16)
-                order = np.argsort(block, kind="stable")
-                rows = np.zeros(len(sig), _ENTRY)
-                rows["sig"] = sig & U(0xFFFFFFFF)
-                rows["entity"], rows["unit"] = ent, unit & 0xFFFF
-                rows, block, high = rows[order], block[order], (unit >> 16).astype("<u2")[order]
-                names, at = np.unique(block, return_index=True)
-                out_no, out_ent, out_rows, out_high = [], [], [], []
-                for no, p, q in zip(names, at, [*at[1:], len(block)]):
-                    r = rows[p:q].copy()
-                    used, r["entity"] = np.unique(r["entity"], return_inverse=True)
-                    out_no.append(int(no))
-                    out_ent.append(ents[used].tobytes())
-                    out_rows.append(r.tobytes())
-                    out_high.append(high[p:q].tobytes() if high[p:q].any() else b"")
-                if len(short):
-                    out_no.append(-1)
-                    out_ent.append(np.unique(short).tobytes())
-                    out_rows.append(b"")
-                    out_high.append(b"")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_no, pa.int32()), pa.array(out_ent, pa.binary()),
-                     pa.array(out_rows, pa.binary()), pa.array(out_high, pa.binary())],
-                    ["block", "entities", "entries", "high"])
+                n, upto = sizes[lo:lo + 30_000], int(sizes[:lo].sum())
+                yield _packed(tokens[upto:upto + int(n.sum())], n, cids[lo:lo + 30_000], blocks, percent)
+
+
+def _cells(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column as views of its buffer."""
+    if not len(column):
+        return []
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    off = np.frombuffer(column.buffers()[1], wide)[column.offset:column.offset + len(column) + 1]
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist())]
 
 
 def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lists of a block that hold two sets or more, and the ids that fall short (a
     null key).  Rows arrive sorted by block."""
     def flush(block: int, ents: list, rows: list, high: list) -> Iterator[pa.RecordBatch]:
+        sizes = [len(r) for r in rows]
+        sig = np.concatenate([r["sig"] for r in rows])
+        order = np.argsort(sig, kind="stable")               # most signatures are met once and go first
+        same = np.diff(sig[order]) == 0
+        order = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        key = (block << 32) | sig[order].astype(np.int64)
+        del sig, same
         shift = np.cumsum([0] + [len(e) for e in ents], dtype=np.int32)
-        ent = np.concatenate(ents)
-        row = np.concatenate(rows)
-        who = np.concatenate([r["entity"].astype(np.int32) + s for r, s in zip(rows, shift)])
-        unit = row["unit"]
+        cut = np.searchsorted(order, np.cumsum([0] + sizes))
+        picks = [order[p:q] - z for p, q, z in zip(cut[:-1], cut[1:], np.cumsum([0] + sizes[:-1]))]
+        who = np.concatenate([r["entity"][p].astype(np.int32) + s for r, p, s in zip(rows, picks, shift)])
+        unit = np.concatenate([r["unit"][p] for r, p in zip(rows, picks)])
         if any(len(h) for h in high):
-            above = np.concatenate([h if len(h) else np.zeros(len(r), "<u2") for r, h in zip(rows, high)])
+            above = np.concatenate([h[p] if len(h) else np.zeros(len(p), "<u2") for h, p in zip(high, picks)])
             unit = unit | (above.astype(np.int32) << 16)
+        ent = np.concatenate(ents)
         ents.clear()
         rows.clear()
         high.clear()
-        key = (block << 32) | row["sig"].astype(np.int64)
+        if not len(order):
+            return
         order = np.lexsort((ent["cid"][who], key))
         key, who, unit = key[order], who[order], unit[order]
-        del order, row
+        del order, picks
         cid = ent["cid"][who]
         new_key = np.concatenate([[True], key[1:] != key[:-1]])
         # repeats of an entry (copies in other batches) go; deletions may meet their own segment
@@ -257,7 +293,7 @@ def _live_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     now, ents, rows, high = None, [], [], []
     for b in batches:
-        for block, e, r, h in zip(*(c.to_pylist() for c in b.columns)):
+        for block, e, r, h in zip(b.column("block").to_pylist(), *map(_cells, b.columns[1:])):
             if block < 0:
                 yield short(np.frombuffer(e, "<i8"))
                 continue
