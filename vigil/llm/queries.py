@@ -67,14 +67,16 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secret spans of every document."""
+    """Secret spans of every document; an ``assign`` span is the value, ``match_sha256`` the
+    same digest with the whole matches."""
     from vigil.llm.secrets import scan_secrets, span_text
     found = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         F.col("id").alias("doc_id"), count(0).alias("n_assign"), count(1).alias("n_access"),
         count(2).alias("n_hex"), F.sha2(span_text("base"), 256).alias("base_sha256"),
-        span_text("spans").alias("spans"), "n_live", "n_example")
+        span_text("spans").alias("spans"), F.sha2(span_text("base", "mstart", "mend"), 256).alias("match_sha256"),
+        "n_live", "n_example")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
