@@ -447,6 +447,43 @@ def test_top_k_is_exact(spark):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_eliminates_on_clusters(spark):
+    """Clustered vectors: exact, and most candidates are never evaluated."""
+    from vigil.llm.topk import top_k
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 48))
+    x = centres[rng.integers(0, 40, 6000)] + 0.15 * rng.normal(size=(6000, 48))
+    x[5990:] *= 1e4                                         # far beyond the pivots
+    x[:5] = 0
+    ints = np.floor(256 * x).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = top_k(df, share=True).collect()
+    want = Counter()
+    for i in range(0, 6000, 50):
+        score = ints @ ints[i]
+        best = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:5]
+        want.update((i, r, j, -s) for r, (s, j) in enumerate(best, 1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    assert 0 < np.mean([r.evaluated_share for r in got if r.query_id]) < 0.25
+
+
+def test_pivot_bound_never_falls_short():
+    """The table's bound is no less than any pivot's own and never over the distance."""
+    from vigil.llm.topk import pick_pivots, pivot_table
+    rng = np.random.default_rng(2)
+    for dim, n, spread in [(8, 5, 1), (8, 32, 1), (1, 32, 1), (30, 22, 1e6), (5, 1, 1)]:
+        x = np.floor(256 * rng.normal(size=(80, dim)))
+        x[40:] = np.floor(x[40:] * spread)
+        pivots = pick_pivots(x[:40], n)
+        table = pivot_table(x, pivots)
+        place, error = table[:, :-1], table[:, -1]
+        true = np.linalg.norm(x[:, None] - x[None], axis=2)
+        low = np.linalg.norm(place[:, None] - place[None], axis=2) - error[:, None] - error
+        own = np.abs((d := np.linalg.norm(x[:, None] - pivots[None], axis=2))[:, None] - d[None]).max(axis=2)
+        assert (low <= true + 1e-6).all()
+        assert (low + 2 * (error[:, None] + error) >= own - 1e-6 * (1 + own)).all() or n > dim
+
+
 def test_pivot_rows_are_bounded_before_ranking(spark):
     """The rows ranked for pivots follow the sample and not the table."""
     from vigil.llm.topk import choose_pivots, low_hashes, usable
