@@ -4,9 +4,10 @@ Plan shape (one measure list, all families):
 
 * every per-user family is one ``select`` of window expressions sharing the
   partition ``user_id`` / order ``day`` — Catalyst merges them into a single
-  Window operator over one hash exchange and one sort; the robust MAD, which
-  windows a windowed column, is a second Window over the same ordering (no
-  new exchange, no new sort);
+  Window operator over one hash exchange and one sort;
+* the medians of a user's whole past are read from the user's history as arrays
+  (one aggregate by user, on the partitioning that the windows use as well), in
+  constant time a row; a bounded look-back (``history_rows``) takes windows;
 * peer statistics are a ``groupBy(group, day)`` aggregate (partial,
   map-side) joined back on (group, day); the aggregate has one row per
   (group, day), so a peer group holding a third of all users is combined
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.orderstats import past_medians
 from vigil.functions.stats import (
     REGRESSION_SUMS,
     TrailingRankCorrelation,
@@ -38,7 +40,7 @@ from vigil.params import (
     SPEARMAN_MIN_STD,
     FeatureParams,
 )
-from vigil.session import bounded_broadcast
+from vigil.session import bounded_broadcast, ship_package
 
 _INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
@@ -126,13 +128,16 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
         return [q(f"_{c}_lag_{j}") for j in range(n_sp - 1, 0, -1)] + [xd(c)]
 
     df = activity
+    whole_past = params.history_rows is None
+    if "robust_z" in fams and whole_past:
+        df = _join_past_medians(df, raw, dtypes)
     # ---- L1: plain user windows (one Window operator, one sort)
     l1: list[str] = []
     for c in raw:
         if "self_z" in fams:
             l1 += [f"avg({xd(c)}) OVER {w_past} AS {q(c + '_mean_self')}",
                    f"stddev_samp({xd(c)}) OVER {w_past} AS {q(c + '_std_self')}"]
-        if "robust_z" in fams:
+        if "robust_z" in fams and not whole_past:
             l1.append(f"percentile_approx({q(c)}, 0.5) OVER {w_past} AS {q(c + '_med_self')}")
         if "rolling" in fams:
             l1 += [f"max({xd(c)}) OVER {w_roll} AS {q(c + '_roll7_max')}",
@@ -169,9 +174,10 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
             l2.append(f"({xd(c)} - {q(c + '_mean_self')}) / ({q(c + '_std_self')} + {eps}) "
                       f"AS {q(c + '_z_self')}")
         if "robust_z" in fams:
-            # each past row's deviation is taken from that row's own expanding median
-            l2.append(f"{lit(params.mad_constant)} * percentile_approx(abs({xd(c)} - "
-                      f"{q(c + '_med_self')}), 0.5) OVER {w_past} AS {q(c + '_mad_self')}")
+            # each past row's deviation is taken from that row's own median
+            mad = q(f"_{c}_dev") if whole_past else \
+                f"percentile_approx(abs({xd(c)} - {q(c + '_med_self')}), 0.5) OVER {w_past}"
+            l2.append(f"{lit(params.mad_constant)} * {mad} AS {q(c + '_mad_self')}")
         if "peer_z" in fams:
             mean, std = _peer_loo(c, integral[c])
             l2 += [f"{mean} AS {q(c + '_mean_peer_loo')}", f"{std} AS {q(c + '_std_peer_loo')}"]
@@ -218,6 +224,28 @@ def compute_features(activity: DataFrame, params: FeatureParams = FeatureParams(
     return df.selectExpr(*final)
 
 
+def _join_past_medians(df: DataFrame, raw, dtypes) -> DataFrame:
+    """``df`` with the lower median of each measure's past and of its past deviations.
+
+    A user has one row a day, so a history is a short array; it is collected and
+    unfolded without leaving the user's partition."""
+    ship_package(df.sparkSession)
+    rest = [c for c in df.columns if c != "user_id"]
+    users = df.groupBy("user_id").agg(F.collect_list(F.struct(*[q(c) for c in rest])).alias("_rows"))
+    found = []
+    for c in raw:
+        kind = dtypes[c] if dtypes[c] in _INTEGRAL else "double"
+        values = F.col(f"_rows.{q(c)}").cast(f"array<{kind}>")
+        found.append(past_medians(kind)(F.col("_rows.day").cast("array<bigint>"), values).alias(f"_{c}_past"))
+    zipped = users.select("user_id", "_rows", *found).selectExpr(
+        "user_id", "_rows", *[f"{q(f'_{c}_past')}.{m} AS {q(f'_{c}_{m}')}" for c in raw for m in ("med", "mad")])
+    rows = zipped.selectExpr("user_id", "inline(arrays_zip(_rows, "
+                             + ", ".join(q(f"_{c}_{m}") for c in raw for m in ("med", "mad")) + "))")
+    return rows.selectExpr("user_id", *[f"_rows.{q(c)}" for c in rest],
+                           *[f"CAST({q(f'_{c}_med')} AS {dtypes[c]}) AS {q(c + '_med_self')}" for c in raw],
+                           *[f"{q(f'_{c}_mad')} AS {q(f'_{c}_dev')}" for c in raw])
+
+
 def peer_statistics(activity: DataFrame, raw_columns, dtypes=None) -> DataFrame:
     """Per (group, day): non-null count and sums of every measure."""
     dtypes = dtypes or dict(activity.dtypes)

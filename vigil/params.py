@@ -115,9 +115,8 @@ class FeatureParams:
     spearman_window: int = SPEARMAN_WINDOW
     mad_constant: float = MAD_CONSTANT
     epsilon: float = EPSILON
-    # Expanding-history look-back in rows for self_z / robust_z; None keeps the
-    # whole history (reference behaviour).  A bound caps per-row window cost on
-    # very long histories.
+    # Look-back in rows for self_z / robust_z; None keeps the whole history.  A
+    # bound is another definition, not a cheaper way to the same answers.
     history_rows: int | None = None
     # Peer statistics are computed by a (group, day) aggregate joined back to
     # the rows.  The aggregate is broadcast when it has at most this many keys
