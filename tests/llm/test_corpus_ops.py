@@ -135,9 +135,9 @@ def test_simhash_counts_bits(spark):
 def test_automaton_matches_edit_distance():
     from vigil.llm.toxicity import Automaton, edits
     rng = random.Random(3)
-    terms = ["idiot", "clown", "worthless", "scum", "vequ*"]
+    terms = ["idiot", "clown", "worthless", "scum", "vequ*", "lostra*"]
     auto = Automaton(terms)
-    words = ["", "x", "idiot", "worthlss", "wrthlss", "vequance", "clow", "clo"]
+    words = ["", "x", "idiot", "worthlss", "wrthlss", "vequance", "clow", "clo", "lotrasse", "losstrade", "laserad"]
     for t in terms:
         for _ in range(150):
             w = list(t.rstrip("*"))
@@ -154,8 +154,10 @@ def test_automaton_matches_edit_distance():
                 row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
         return row[-1]
     for w, e in zip(words, auto.match(words)[0]):
-        best = min((0 if t.endswith("*") and w.startswith(t[:-1]) else
-                    99 if t.endswith("*") or distance(w, t) > edits(t) else distance(w, t) for t in terms))
+        # a stem is met by any beginning of the word
+        near = [min(distance(w[:k], t[:-1]) for k in range(len(w) + 1)) if t.endswith("*") else distance(w, t)
+                for t in terms]
+        best = min((d if d <= edits(t) else 99 for d, t in zip(near, terms)))
         assert (e if e < 9 else 99) == best, w
 
 
@@ -184,6 +186,38 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity_of(empty, lab).count() == 0
 
 
+def test_toxicity_misspellings_copies_and_long_texts(spark):
+    """One planted edit a term; the words of a copied text are no terms; repeated rows score
+    alike; a term deep in a very long text is met."""
+    from vigil.llm.toxicity import fit, misspelt, score
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(800):
+        w = _words(rng, 30)
+        if i % 5 == 0:
+            w[rng.randrange(30)] = rng.choice(["horridest", "dreadful", "viperous"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 5 == 0)))
+    copied = " ".join(_words(rng, 20)) + " harmlessterm inside"
+    for i in range(800, 812):                                   # near copies, all marked toxic
+        rows.append((i, f"{copied} {i}"))
+        labels.append((i, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    assert {"horridest", "dreadful", "viperous"} <= set(model[0]) and "harmlessterm" not in model[0]
+    filler = " ".join(_words(rng, 60_000))
+    extra = [(1, "so horridst it is"), (2, "so dreadfuul it is"), (3, "so viperxus it is"), (4, f"{filler} dreadful {filler}"),
+             (5, "so quiet it is"), (6, "so horridst it is"), (1, "so horridst it is")]
+    got = sorted((r.id, r.score) for r in score(spark.createDataFrame(extra, "doc_id long, text string"), model).collect())
+    by_id = dict(got)
+    assert len(got) == 7 and got[0] == got[1] and by_id[6] == by_id[1]
+    assert all(by_id[i] >= 0.5 for i in (1, 2, 3, 4)) and by_id[5] < 0.5
+    from vigil.llm.toxicity import hits
+    text = rows[0][1]
+    list(hits([text, "so quiet"], model[0]))
+    assert misspelt(text, model[0]) not in (None, text) and misspelt("so quiet", model[0]) is None
+
+
 # 4 --------------------------------------------------------------- n-gram join
 def test_ngram_components_match_brute_force(docs, rows, empty):
     from vigil.llm.ngram_join import drop_near_duplicates, near_duplicate_components

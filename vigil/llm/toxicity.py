@@ -3,12 +3,16 @@
 The lexicon is learned: words, and stems shared by many words, that mark toxic
 rows of a bounded labelled sample.  The trie of its terms is intersected with
 the Levenshtein automata of the terms (one edit from five letters on, two from
-eight) and made deterministic, so one table walk per distinct token finds exact
-and misspelled terms.  A window of words around each hit tells quotation from
+eight; stems one edit from five letters on) and made deterministic, so one table walk per
+distinct token finds exact and misspelled terms.  Words under four letters are no terms; a
+term must mark toxic rows by its odds and stand between MIN_ROWS different pairs of
+neighbours there, so that the words of one much copied text are none.  A window of words around each hit tells quotation from
 use: reporting words or quotation marks weaken it.
 
 A text's score is a logistic sum of the log odds of the kinds of hits it holds
-(term, exact or misspelled, used or quoted), learned from the same rows.
+(term, exact or misspelled, used or quoted), learned from the same rows.  What a misspelled
+term weighs is learned from edits planted into those rows: the toxic rows whose planted edit
+is met, against the other rows that hold a near spelling as they stand or planted.
 
 Defined results: null and empty texts hold no hit and score like any text
 without one; without labelled rows, or with one class only, all score 0; rows with a null
@@ -18,6 +22,7 @@ equally; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -32,8 +37,11 @@ from vigil.session import ship_package
 
 #: labelled rows the model is fitted on, at most (the smallest hashes)
 FIT_ROWS = 20_000
-#: a term marks toxic rows this much more often (log odds), in so many and such a share of them
-MIN_ODDS, MIN_ROWS, MIN_SHARE = 4.0, 5, 0.01
+#: a term marks toxic rows this much more often (log odds), in so many of them and between so
+#: many different pairs of neighbours
+MIN_ODDS, MIN_ROWS = 4.0, 5
+#: share of the uses of a term that are taken to be misspelled
+MISSPELT = 0.05
 #: a kind of hit with lower log odds is no evidence
 MIN_WEIGHT = 1.0
 STEMS = (4, 5, 6)
@@ -59,9 +67,9 @@ def bare(token: str) -> str:
 
 
 def edits(term: str) -> int:
-    """Edits allowed to a term; a stem, open to any continuation, allows none."""
-    n = 0 if term.endswith("*") else len(term)
-    return 0 if n < 5 else 1 if n < 8 else 2
+    """Edits allowed to a term; to a stem, open to any continuation, one at most."""
+    n = len(term.rstrip("*"))
+    return 0 if n < 5 else 1 if n < 8 or term.endswith("*") else 2
 
 
 class Automaton:
@@ -168,6 +176,21 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([seen[0][w] for w in words], pa.int64())], ["term", "t", "f"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], terms: frozenset) -> Iterator[pa.RecordBatch]:
+    """The pairs of neighbours that each term has in toxic rows, once a batch."""
+    for b in batches:
+        seen = set()
+        for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+            words = [bare(w) for w in tokens_of(text or "")] if toxic else []
+            for i, w in enumerate(words):
+                for term in (w, *(w[:n] + "*" for n in STEMS if len(w) > n)):
+                    if term in terms:
+                        seen.add((term, " ".join(words[max(0, i - 1):i] + ["_"] + words[i + 1:i + 2])))
+        pairs = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)],
+                                         ["term", "near"])
+
+
 def odds(t, f, toxic: int, other: int):
     """Smoothed log odds of a thing seen in t toxic and f other rows."""
     return np.log((np.asarray(t) + 0.5) / (toxic + 1)) - np.log((np.asarray(f) + 0.5) / (other + 1))
@@ -178,8 +201,11 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int) -> list[str]:
     counted = sample.mapInArrow(_terms, "term string, t bigint, f bigint") \
         .groupBy("term").agg(F.sum("t").alias("t"), F.sum("f").alias("f"))
     strong = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("f") + 0.5) / (other + 1)) >= MIN_ODDS
-    found = counted.where((F.col("t") >= max(MIN_ROWS, MIN_SHARE * toxic)) & strong).toPandas()
+    found = counted.where((F.col("t") >= MIN_ROWS) & strong).toPandas()
     seen = dict(zip(found["term"], found["t"]))
+    spread = sample.where("toxic = 1").mapInArrow(partial(_contexts, terms=frozenset(seen)), "term string, near string") \
+        .groupBy("term").agg(F.count_distinct("near").alias("n")).where(F.col("n") >= MIN_ROWS).select("term").collect()
+    seen = {r.term: seen[r.term] for r in spread}
     words = {w: t for w, t in seen.items() if not w.endswith("*")}
     under: dict[str, list[int]] = {}
     for w, t in words.items():
@@ -193,7 +219,8 @@ def learn_lexicon(sample: DataFrame, toxic: int, other: int) -> list[str]:
             # the longest stem that keeps nearly all its rows
             longer = [x for x in seen if x.endswith("*") and x.startswith(s[:-1]) and seen[x] >= 0.9 * seen[s]]
             stems[max(longer, key=len)] = seen[s]
-    rest = [w for w in words if not any(w[:n] + "*" in stems for n in STEMS)]
+    # a stem of four letters allows no edit, so words under it stay terms of their own
+    rest = [w for w in words if not any(w[:n] + "*" in stems for n in STEMS if n >= 5 or len(w) < 5)]
     return sorted(rest) + sorted(stems)
 
 
@@ -236,18 +263,41 @@ def hits(texts: list[str], terms: list[str]) -> Iterator[set[tuple[int, int, int
                    for i, t in enumerate(tokens) if known[t] >= 0}
 
 
+def misspelt(text: str, terms: list[str]) -> str | None:
+    """The text with one edit in each exact term of five letters or more; None if it holds none.
+
+    The hash of a word decides whether a letter goes, is doubled or becomes another one."""
+    known = machine(terms)[1]
+    out, changed = tokens_of(text), False
+    for i, token in enumerate(out):
+        word = bare(token)
+        if known.get(token, -1) >= 0 and known[token] % 2 == 0 and len(word) >= 5:
+            h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+            at, how = token.index(word) + h // 3 % len(word), h % 3
+            middle = ("", token[at] * 2, "x" if token[at] != "x" else "y")[how]
+            out[i], changed = token[:at] + middle + token[at + 1:], True
+    return " ".join(out) if changed else None
+
+
 def _kinds(batches: Iterator[pa.RecordBatch], terms: list[str]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        seen = (Counter(), Counter())
-        toxic, texts = b.column("toxic").to_pylist(), b.column("text").to_pylist()
+        seen, planted = (Counter(), Counter()), (Counter(), Counter())
+        toxic, texts = b.column("toxic").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
         for lo in range(0, len(texts), 128):
-            for y, h in zip(toxic[lo:lo + 128], hits([t or "" for t in texts[lo:lo + 128]], terms)):
+            part = texts[lo:lo + 128]
+            edited = []
+            for y, text, h in zip(toxic[lo:lo + 128], part, list(hits(part, terms))):
                 seen[y].update(h or [(-1, 0, 0)])
-        kinds = sorted(seen[0].keys() | seen[1].keys())
+                if h:
+                    edited.append((y, misspelt(text, terms), h))
+            edited = [(y, text, h) for y, text, h in edited if text is not None]
+            for (y, _, h), new in zip(edited, list(hits([text for _, text, _ in edited], terms))):
+                planted[y].update(k for k in new if k[1] and k not in h)
+        kinds = sorted(set().union(*seen, *planted))
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[i] for k in kinds], pa.int32()) for i in range(3)] +
-            [pa.array([seen[y][k] for k in kinds], pa.int64()) for y in (1, 0)],
-            ["term", "misspelled", "quoted", "t", "f"])
+            [pa.array([c[k] for k in kinds], pa.int64()) for c in (seen[1], seen[0], planted[1], planted[0])],
+            ["term", "misspelled", "quoted", "t", "f", "pt", "pf"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], terms: list[str], weights: dict, none: float, prior: float) -> Iterator[pa.RecordBatch]:
@@ -278,19 +328,19 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
         return [], {}, -30.0, -30.0
     terms = learn_lexicon(sample, toxic, other)
     kinds = sample.mapInArrow(partial(_kinds, terms=terms),
-                              "term int, misspelled int, quoted int, t bigint, f bigint") \
-        .groupBy("term", "misspelled", "quoted").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).collect()
+                              "term int, misspelled int, quoted int, t bigint, f bigint, pt bigint, pf bigint") \
+        .groupBy("term", "misspelled", "quoted").agg(*[F.sum(c).alias(c) for c in ("t", "f", "pt", "pf")]).collect()
     none = next(((r.t, r.f) for r in kinds if r.term < 0), (0, 0))
     base = float(np.log((none[0] + 0.5) / (none[1] + 0.5)))
-    seen = {(r.term, r.misspelled, r.quoted): (r.t, r.f) for r in kinds if r.term >= 0}
+    # one more near spelling in other rows than the sample shows: spellings not seen there occur
+    seen = {(r.term, r.misspelled, r.quoted): (r.t + MISSPELT * r.pt, r.f + MISSPELT * r.pf + r.misspelled) for r in kinds if r.term >= 0}
     weights = {}
     for t in range(len(terms)):
         for m in (0, 1):
             plain = seen.get((t, m, 0), (0, 0))
-            # one misspelling is weak evidence, two are strong: a third of what is known; an
-            # unseen quotation counts a tenth
-            own = float(odds(*plain, toxic, other)) if sum(plain) else (weights[t, 0, 0] if m else 0.0)
-            own = min(own, weights[t, 0, 0]) / 3 if m else own
+            # a misspelling is no stronger evidence than the term; an unseen quotation counts a tenth
+            own = float(odds(*plain, toxic, other)) if sum(plain) else 0.0
+            own = min(own, weights[t, 0, 0]) if m else own
             weights[t, m, 0] = own
             q = seen.get((t, m, 1), (0, 0))
             weights[t, m, 1] = float(odds(*q, toxic, other)) if sum(q) else own / 10
