@@ -233,3 +233,17 @@ def test_summary_rounds_half_even(spark):
     df = df.select("config", "seed", "n_features", F.col("v").alias("precision_at_50"),
                    F.col("v").alias("recall_at_50"))
     assert summarize(df, p).collect()[0]["precision_at_50"] == 0.062
+
+
+def test_walk_reads_arrays_without_nulls(spark):
+    """The tables of a walk declare no null elements; a null in the matrix goes left as before."""
+    params = ForestParams(n_trees=3, max_samples=64, seeds=(0,))
+    matrix = _outlier_matrix(spark)
+    trees = fit_forests(matrix, CFG, params, matrix.count())
+    runs = run_table(spark, CFG, params, COLUMNS)
+    table = scoring_table(trees, runs, params)
+    assert not any(table.schema[c].dataType.containsNull for c in ("feature", "threshold", "path"))
+    score = lambda m: {tuple(r) for r in score_runs(
+        m, table, runs, params, COLUMNS, 64, 205).select("user_id", "day", "run", "score").collect()}
+    null, low = (matrix.withColumn("a", F.lit(v).cast("double")) for v in (None, float("-inf")))
+    assert score(null) == score(low) != score(matrix)

@@ -295,9 +295,11 @@ def run_table(spark, config_columns: dict[str, list[str]], params: ForestParams,
 def scoring_table(trees: DataFrame, runs: DataFrame, params: ForestParams) -> DataFrame:
     """Tree rows numbered ``t`` = run x trees + tree, features as places in the matrix."""
     n = int(params.n_trees)
+    known = lambda a, none: F.transform(a, lambda v: F.coalesce(v, F.lit(none)))  # noqa: E731  (no null checks in a walk)
     out = trees.join(F.broadcast(runs), ["config", "seed"]).select(
         (F.col("run") * n + F.col("tree")).alias("t"), "run", "psi",
-        F.transform("feature", lambda f: F.get(F.col("place"), f)).alias("feature"), "threshold", "path")
+        known(F.transform("feature", lambda f: F.get(F.col("place"), f)), 0).alias("feature"),
+        known("threshold", float("inf")).alias("threshold"), known("path", 0).alias("path"))
     out = materialize(out)
     expected = runs.count() * n
     if (got := out.count()) != expected:
@@ -319,7 +321,9 @@ def score_runs(matrix: DataFrame, trees: DataFrame, runs: DataFrame, params: For
     parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, -(-n_rows // SCORE_ROWS))
     block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_block")
-    rows = matrix.select(block, F.struct("user_id", "day", F.array(*columns).alias("x")).alias("row")) \
+    # without nulls the walk needs no checks; a null goes left, and so does minus infinity
+    x = F.array(*[F.coalesce(F.col(c), F.lit(float("-inf"))) for c in columns]).alias("x")
+    rows = matrix.select(block, F.struct("user_id", "day", x).alias("row")) \
         .repartition(parts, "_block").groupBy("_block").agg(F.collect_list("row").alias("rows"))
     walk = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("t")) \
         .join(F.broadcast(trees.drop("psi")), "t") \
@@ -328,7 +332,7 @@ def score_runs(matrix: DataFrame, trees: DataFrame, runs: DataFrame, params: For
                 F.lit(1).alias("node"))
     for _ in range(depth):
         right = F.get("x", F.get("feature", F.col("node"))) > F.get("threshold", F.col("node"))
-        walk = walk.withColumn("node", 2 * F.col("node") + F.when(right, 1).otherwise(0))
+        walk = walk.withColumn("node", F.shiftleft("node", 1).bitwiseOR(F.when(right, 1).otherwise(0)))
     norm = float(path_adjustment(np.array([psi]))[0]) or 1.0
     lengths = walk.groupBy("_block", "user_id", "day", "run").agg(
         F.sum(F.get("path", F.col("node") - (1 << depth))).alias("length"))
