@@ -50,8 +50,11 @@ PERCENT = 75
 SEGMENTED = 16
 #: index entries meant for one block of signatures
 BLOCK_ENTRIES = 1_000_000
-#: bytes of text hashed at once; smaller than elsewhere as the index holds many arrays a word
+#: bytes of text whose sets are packed together
 SLICE_BYTES = 1 << 21
+#: bytes of text hashed at once: hashing holds several arrays of eight bytes a byte of text, and a
+#: worker keeps what it once took, so its peak stays with the executor for all later stages
+HASH_BYTES = 1 << 18
 #: shingles whose index entries are made at once; packed before the next are made
 PART_SHINGLES = 100_000
 #: rows of the live lists that leave a task at once
@@ -144,14 +147,25 @@ def index_entries(tokens: np.ndarray, sizes: np.ndarray, cids: np.ndarray, perce
             np.concatenate([unit_a, unit_b, unit_c]))
 
 
+def _hashed_sets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, sizes, ids) of the rows between the offsets, hashed a few at a time."""
+    tokens, sizes, cids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, j in tv.slices(off, HASH_BYTES):
+        t, n = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
+        tokens.append(t)
+        sizes.append(n)
+        cids.append(tv.set_ids(t, n))
+    return np.concatenate(tokens), np.concatenate(sizes), np.concatenate(cids)
+
+
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tv.text_buffers(b.column("text"))
         sizes, cids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, j in tv.slices(off, SLICE_BYTES):
-            tokens, size = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
+            _, size, cid = _hashed_sets(data, off[i:j + 1])
             sizes.append(size)
-            cids.append(tv.set_ids(tokens, size))
+            cids.append(cid)
         yield pa.RecordBatch.from_arrays(
             [b.column("id"), pa.array(np.concatenate(sizes)),
              pa.array(np.concatenate(cids).view(np.int64)), b.column("k1"), b.column("k2")],
@@ -163,8 +177,7 @@ def _distinct_sets(b: pa.RecordBatch, hot: dict) -> Iterator[tuple[np.ndarray, n
     data, off = tv.text_buffers(b.column("text"))
     ids = b.column("id").to_pylist() if hot else None
     for i, j in tv.slices(off, SLICE_BYTES):
-        tokens, sizes = tv.shingle_sets(*tv.word_hashes(data, off[i:j + 1]))
-        cids = tv.set_ids(tokens, sizes)
+        tokens, sizes, cids = _hashed_sets(data, off[i:j + 1])
         rows = sizes > 0
         if hot:                                              # before the first of each set is taken
             rows &= np.fromiter((hot.get(c, d) == d for c, d in zip(cids.view(np.int64).tolist(), ids[i:j])),
