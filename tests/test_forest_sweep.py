@@ -1,9 +1,12 @@
 """Isolation forest properties, feature-set resolution and seed summary."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigil.operators import forest
 from vigil.operators.evaluate import evaluate_users, user_totals
 from vigil.operators.forest import (
     drawn_rows,
@@ -247,3 +250,30 @@ def test_walk_reads_arrays_without_nulls(spark):
         m, table, runs, params, COLUMNS, 64, 205).select("user_id", "day", "run", "score").collect()}
     null, low = (matrix.withColumn("a", F.lit(v).cast("double")) for v in (None, float("-inf")))
     assert score(null) == score(low) != score(matrix)
+
+
+def test_scoring_makes_no_row_per_tree(spark, monkeypatch):
+    """A row leaves the walk once a run with its sum, and the tasks follow the rows."""
+    params = ForestParams(n_trees=3, seeds=(0,))
+    monkeypatch.setattr(forest, "PART_ROWS", 10)
+    _, _, scored = _scores(spark, _outlier_matrix(spark), params=params)
+    assert not re.search("(?<!Object)HashAggregate", scored._jdf.queryExecution().executedPlan().toString())
+    assert scored.rdd.getNumPartitions() == 21                # 205 rows
+
+
+def test_repeated_keys_share_a_sum_and_odd_values_keep_their_side(spark):
+    """The sum of a key is that of all its rows; infinite values are compared like others."""
+    params = ForestParams(n_trees=20, max_samples=64, seeds=(0,))
+    matrix = _outlier_matrix(spark)
+    trees = fit_forests(matrix, CFG, params, matrix.count())
+    runs = run_table(spark, CFG, params, COLUMNS)
+    table = scoring_table(trees, runs, params)
+    score = lambda m: {(r.user_id, r.run): r.score for r in score_runs(
+        m, table, runs, params, COLUMNS, 64, 205).collect()}
+    once = score(matrix)
+    assert len(once) == 205 * 2 and score(matrix.unionByName(matrix.where("user_id < 9"))) == {
+        k: pytest.approx(v ** 2 if k[0] < 9 else v) for k, v in once.items()}
+    null_key = score(matrix.withColumn("user_id", F.expr("nullif(user_id, 3)")))
+    assert null_key[None, 0] == once[3, 0]
+    high, endless = (score(matrix.withColumn("b", F.lit(v))) for v in (1e300, float("inf")))
+    assert high == endless != once

@@ -24,9 +24,9 @@ of the input) and plain SQL can repeat it.
   and threshold of a node come from the md5 of (seed, set, tree, node).  The
   model *is* a table with one row a tree; nodes are numbered 1, 2n, 2n + 1.
 * **score** — the tree table is bounded by sets x seeds x trees rows of 2 psi
-  entries; it is counted against that bound and broadcast.  Rows are exploded to trees,
-  joined by tree number and walked down one generated comparison a level, all in one
-  compiled stage without Python.  Path lengths are summed in whole
+  entries; it is counted against that bound and broadcast, one row a run.  Blocks of rows are
+  exploded to runs and walked down the run's trees level by level in the JVM
+  (``ForestWalk.java``), without Python and without a row per tree.  Path lengths are summed in whole
   micro-units, so scores do not depend on the order of summation.
 """
 
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.params import ForestParams
-from vigil.session import materialize, ship_package
+from vigil.session import java_function, materialize, ship_package
 
 TREE_SCHEMA = ("config string, seed int, tree int, psi int, feature array<int>, threshold array<double>, "
                "size array<int>, path array<bigint>")
@@ -50,6 +51,10 @@ TREE_SCHEMA = ("config string, seed int, tree int, psi int, feature array<int>,
 MICRO = 1_000_000
 #: rows that are walked down a tree together
 SCORE_ROWS = 512
+#: rows scored in one task
+PART_ROWS = 50_000
+#: the classes that walk them
+WALK_SOURCE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "ForestWalk.java")
 
 
 def path_adjustment(n) -> np.ndarray:
@@ -311,33 +316,32 @@ def score_runs(matrix: DataFrame, trees: DataFrame, runs: DataFrame, params: For
                columns: list[str], psi: int, n_rows: int) -> DataFrame:
     """(_block, user_id, day, run, score) of every row and forest, without Python.
 
-    Users are dealt to blocks of about ``SCORE_ROWS`` rows; a block is exploded to trees and then
-    to its rows, so that a tree is read from memory once a block.  Everything after that
-    one exchange (the sums per row and run, and a roll-up per ``_block``, run and
-    user) stays in its stage.
+    Users are dealt to blocks of about ``SCORE_ROWS`` rows; a block is exploded to runs, walked
+    down the trees of each, and then exploded to its rows, so that a tree is read from memory once a
+    block and a row leaves once a run with its sum.  Everything after that one exchange (a roll-up
+    per ``_block``, run and user too) stays in its stage.  Rows with the same key share one sum.
     """
-    depth, n = max_depth_for(psi), int(params.n_trees)
-    total = runs.count() * n
-    parts = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(parts, -(-n_rows // SCORE_ROWS))
-    block = F.pmod(F.xxhash64("user_id"), F.lit(blocks)).alias("_block")
-    # without nulls the walk needs no checks; a null goes left, and so does minus infinity
+    spark = matrix.sparkSession
+    pack_tree, pack_rows, walk = (java_function(spark, WALK_SOURCE, f"vigil.ForestWalk${name}", kind) for name, kind in (
+        ("PackTree", "binary"), ("PackRows", "binary"), ("Walk", "array<bigint>")))
+    # one row a run, counted against its bound by ``scoring_table``
+    forests = materialize(trees.groupBy("run").agg(
+        F.collect_list(pack_tree("feature", "threshold", "path")).alias("trees")))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // PART_ROWS))
+    block = F.pmod(F.xxhash64("user_id"), F.lit(max(parts, -(-n_rows // SCORE_ROWS)))).alias("_block")
+    # a null goes left, and so does minus infinity
     x = F.array(*[F.coalesce(F.col(c), F.lit(float("-inf"))) for c in columns]).alias("x")
-    rows = matrix.select(block, F.struct("user_id", "day", x).alias("row")) \
-        .repartition(parts, "_block").groupBy("_block").agg(F.collect_list("row").alias("rows"))
-    walk = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("t")) \
-        .join(F.broadcast(trees.drop("psi")), "t") \
-        .select("_block", "run", "feature", "threshold", "path", F.explode("rows").alias("row")) \
-        .select("_block", "run", "feature", "threshold", "path", "row.user_id", "row.day", "row.x",
-                F.lit(1).alias("node"))
-    for _ in range(depth):
-        right = F.get("x", F.get("feature", F.col("node"))) > F.get("threshold", F.col("node"))
-        walk = walk.withColumn("node", F.shiftleft("node", 1).bitwiseOR(F.when(right, 1).otherwise(0)))
+    rows = matrix.select(block, "user_id", "day", x).repartition(parts, "_block") \
+        .groupBy("_block", "user_id", "day").agg(F.collect_list("x").alias("xs")) \
+        .groupBy("_block").agg(F.collect_list(F.struct("user_id", "day", "xs")).alias("rows"))
+    packed = rows.select(
+        "_block", F.arrays_zip("rows.user_id", "rows.day").alias("keys"), pack_rows(F.col("rows.xs")).alias("packed"))
+    lengths = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(runs.count() - 1))).alias("run")) \
+        .join(F.broadcast(forests), "run") \
+        .select("_block", "run", F.explode(F.arrays_zip("keys", walk("packed", "trees").alias("length"))).alias("row"))
     norm = float(path_adjustment(np.array([psi]))[0]) or 1.0
-    lengths = walk.groupBy("_block", "user_id", "day", "run").agg(
-        F.sum(F.get("path", F.col("node") - (1 << depth))).alias("length"))
-    return lengths.select("_block", "user_id", "day", "run", F.pow(
-        F.lit(2.0), -(F.col("length") / F.lit(float(n) * MICRO)) / F.lit(norm)).alias("score"))
+    return lengths.select("_block", "row.keys.user_id", "row.keys.day", "run", F.pow(
+        F.lit(2.0), -(F.col("row.length") / F.lit(float(params.n_trees) * MICRO)) / F.lit(norm)).alias("score"))
 
 
 def with_run_names(scored: DataFrame, runs: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -126,3 +127,35 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     _SHIPPED.add(app)
+
+
+_CLASSES: dict[tuple[str, str], object] = {}
+
+
+def java_function(spark: SparkSession, source: str, name: str, returns: str) -> Callable[..., Column]:
+    """A function of columns from the class ``name`` (a UDF1, UDF2, ...) of the Java file ``source``.
+
+    The file is compiled by the compiler that Spark's own generated code goes through, once
+    per application, and shipped to the executors as a jar.
+    """
+    sc = spark.sparkContext
+    key = (sc.applicationId, source)
+    if key not in _CLASSES:
+        compiler = sc._jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(sc._jvm.org.apache.spark.util.Utils.getContextOrSparkClassLoader())
+        with open(source) as f:
+            compiler.cook(f.read())
+        stem = os.path.splitext(os.path.basename(source))[0]
+        path = os.path.join(tempfile.mkdtemp(prefix="vigil-jar-"), f"vigil-{stem}.jar")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+            for cls, code in compiler.getBytecodes().items():
+                zf.writestr(f"{cls.replace('.', '/')}.class", bytes(code))
+        sc._jsc.addJar(path)
+        _CLASSES[key] = compiler.getClassLoader()
+    none = lambda kind: sc._gateway.new_array(kind, 0)
+    function = name.replace(".", "_").replace("$", "_").lower()
+    if not spark.catalog.functionExists(function):
+        made = _CLASSES[key].loadClass(name).getDeclaredConstructor(none(sc._jvm.java.lang.Class)) \
+            .newInstance(none(sc._jvm.java.lang.Object))
+        spark._jsparkSession.udf().register(function, made, sc._jvm.org.apache.spark.sql.types.DataType.fromDDL(returns))
+    return lambda *columns: F.call_function(function, *columns)
