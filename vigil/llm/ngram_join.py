@@ -20,7 +20,8 @@ of their lists, the one that shares most with the others to begin with; after th
 only pairs whose components still differ are verified, so a group of copies costs
 its size and not its square.  The sets that lie in long lists with a quarter of their
 units count the shingles that any other of them holds: no overlap of two of them
-exceeds that number, and the variants too far from all others meet none of them.
+exceeds that number, and the variants too far from all others meet none of them.  Pairs whose
+bitmaps already differ too much leave before the sets themselves move.
 
 The index travels as packed blocks (eight bytes an entry, ten beside unit numbers from
 65,536 on) dealt by signature, their number follows the data.  Shingles are 64-bit hashes.
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm import textvec as tv
-from vigil.llm.common import fresh, row_parallelism, stored
+from vigil.llm.common import dropped, fresh, row_parallelism, stored
 from vigil.session import ship_package
 
 PERCENT = 75
@@ -329,6 +330,20 @@ def _token_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     pa.array(tokens.view(np.int64)))], ["cid", "tokens"])
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and bitmap of every set, two to four bits a shingle; of half the length by an OR of its halves."""
+    for b in batches:
+        for tokens, sizes, cids in _distinct_sets(b, {}):
+            bits = np.maximum(64, np.left_shift(4, np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+            start = np.concatenate([[0], np.cumsum(bits)])
+            flags = np.zeros(start[-1], bool)
+            flags[np.repeat(start[:-1], sizes) + (tokens & np.repeat(bits - 1, sizes).astype(U)).astype(np.int64)] = True
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cids.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(
+                    pa.array((start // 64).astype(np.int32)), pa.array(np.packbits(flags, bitorder="little").view("<i8")))],
+                ["cid", "n", "bits"])
+
+
 def _small(df: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """A table of a few longs per row, broadcast only when its counted rows are few."""
     return F.broadcast(df) if df.count() <= limit else df
@@ -347,6 +362,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                   .select("a", "b"), "links")
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a no larger than b) that their sketches leave possible: a bit that one set has and
+    the other lacks stands for at least one shingle that is not shared."""
+    sketches = _small(sketches, BROADCAST_KEYS // 4)
+    both = pairs.join(sketches.toDF("a", "na", "x"), "a").join(sketches.toDF("b", "nb", "y"), "b")
+    half = F.size("x")
+    folded = F.when(F.size("y") > half, F.zip_with(F.slice("y", 1, half), F.slice("y", half + 1, half),
+                                                   lambda p, q: p.bitwiseOR(q))).otherwise(F.col("y"))
+    only = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))),
+                                    F.lit(0), lambda total, c: total + c)
+    shared = F.least(F.col("na") - only("x", "y"), F.col("nb") - only("y", "x"))
+    return both.withColumn("y", folded).where((100 + percent) * shared >= percent * (F.col("na") + F.col("nb"))) \
+        .select("a", "b")
+
+
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(cid, label) after the links (a, b) joined components: each old label gets the
     smallest label reachable, by label passing and jumps on the graph of old labels."""
@@ -404,48 +434,82 @@ def link_sets(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataF
         .withColumn("free", F.col("units") - F.count("*").over(mine)) \
         .withColumn("asked", (F.col("units") - spare).cast("int")) \
         .where((F.col("free") <= delta) & (F.col("place") <= F.col("asked") - F.col("free")))
-    chosen = chosen.withColumn("weight", F.count("*").over(seg)).select("cid", "band", "unit", "asked", "weight")
-    probes = stored(live.join(chosen, ["cid", "band", "unit"]), "probes")
-    lists = stored(live.join(probes.select("key").distinct(), "key", "left_semi"), "probed-lists")
+    chosen = stored(chosen.withColumn("weight", F.count("*").over(seg))
+                    .select("cid", "band", "unit", "asked", "weight"), "chosen")
+    marked = stored(live.join(chosen, ["cid", "band", "unit"], "left"), "marked")
+    dropped(chosen)
+    probed = marked.where("asked IS NOT NULL").select("key").distinct()
+    lists = stored(marked.join(probed, "key", "left_semi"), "probed-lists")
+    dropped(marked)
 
     links = _exhaustive(docs, members, short, percent)
+    dropped(found)
     nodes = lists.select("cid").unionByName(links.select(F.col("a").alias("cid"))) \
         .unionByName(links.select(F.col("b").alias("cid"))).distinct()
     labels = components(stored(nodes.select("cid", F.col("cid").alias("label")), "nodes"), links)
 
     def after(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        named = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        return components(labels, _verified(pairs, _sets_of(docs, members, named), percent))
+        sets = _sets_of(docs, members, _named(pairs))
+        links = _verified(pairs, sets, percent)
+        dropped(sets)
+        return components(labels, links)
 
     for turn in range(HUB_ROUNDS):
-        labels = after(_hub_pairs(lists, labels, turn, percent))
-    open_lists = _open_lists(lists, probes, labels)
-    shared = _shared_shingles(docs, members, open_lists)
-    return members, after(_open_pairs(open_lists, shared, percent))
-
-
-def _sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, tokens of the wanted sets, hashed again from one text of each."""
-    keys = members.join(wanted, "cid", "left_semi").groupBy("cid").agg(
-        F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2").distinct()
-    texts = docs.join(_small(stored(keys, "set-texts")), ["k1", "k2"], "left_semi")
-    arrays = texts.select("id", "text").mapInArrow(_token_arrays, "cid bigint, tokens array<bigint>")
-    return stored(arrays.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
+        labels = after(stored(_hub_pairs(lists, labels, turn, percent), "pairs"))
+    open_lists = _open_lists(lists, labels)
+    dropped(lists)
+    pairs = stored(_open_pairs(open_lists, _shared_shingles(docs, members, open_lists), percent), "pairs")
+    dropped(open_lists)
+    # most share a common passage only: their number grows with the square of the sets that hold it, so
+    # they leave by sketches and not by whole sets
+    sketches = _sets_of(docs, members, _named(pairs), _sketches, "n int, bits array<bigint>")
+    possible = stored(_possible(pairs, sketches, percent), "pairs")
+    dropped(sketches, pairs)
+    return members, after(possible)
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+
+
+def _sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, made=_token_arrays,
+             columns: str = "tokens array<bigint>") -> DataFrame:
+    """cid, tokens (or what else is made) of the wanted sets, hashed again from one text of each.  Texts
+    and tokens stay in their tasks, but for the sets whose row is there more than once."""
+    keys = stored(members.join(wanted, "cid", "left_semi").groupBy("cid", "k1", "k2").agg(F.count("*").alias("c"))
+                  .groupBy("cid").agg(F.min(F.struct("k1", "k2", "c")).alias("k"))
+                  .groupBy("k.k1", "k.k2").agg(F.max("k.c").alias("c")), "set-texts")
+
+    def arrays(some: DataFrame) -> DataFrame:
+        found = None
+        turns = -(-some.count() // BROADCAST_KEYS) or 1      # each meets the texts without moving them
+        for turn in range(turns):
+            part = some.where(F.pmod(F.xxhash64("k1"), F.lit(turns)) == turn).select("k1", "k2")
+            texts = docs.join(F.broadcast(part), ["k1", "k2"], "left_semi")
+            one = texts.select("id", "text").mapInArrow(made, f"cid bigint, {columns}")
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    sets, again = arrays(keys.where("c = 1")), keys.where("c > 1")
+    if not again.isEmpty():
+        sets = sets.unionByName(arrays(again).groupBy("cid").agg(*[F.first(c).alias(c) for c in sets.columns[1:]]))
+    return stored(sets, "sets")
 
 
 def _exhaustive(docs: DataFrame, members: DataFrame, short: DataFrame, percent: int) -> DataFrame:
     """Links of the sets whose units fall short (rare: empty segments), on their shingles."""
     if short.isEmpty():
         return docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    few = _sets_of(docs, members, short).select(F.col("cid").alias("a"), F.size("tokens").alias("na"),
-                                                F.explode("tokens").alias("t"))
+    sets = _sets_of(docs, members, short)
+    few = sets.select(F.col("cid").alias("a"), F.size("tokens").alias("na"), F.explode("tokens").alias("t"))
     every = docs.select("id", "text").mapInArrow(_token_arrays, "cid bigint, tokens array<bigint>") \
         .select(F.col("cid").alias("b"), F.size("tokens").alias("nb"), F.explode("tokens").alias("t")) \
         .join(_small(stored(few.select("t").distinct(), "short-shingles")), "t", "left_semi").distinct()
     both = every.join(few, "t").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return stored(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
-                  .select("a", "b"), "short-links")
+    links = stored(both.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
+                   .select("a", "b"), "short-links")
+    dropped(sets)
+    return links
 
 
 def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -471,17 +535,14 @@ def _hub_pairs(lists: DataFrame, labels: DataFrame, turn: int, percent: int) ->
         F.col("cid").alias("a"), F.col("best.h").alias("b"))
 
 
-def _open_lists(lists: DataFrame, probes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold several components, with the largest of them (``main``), the
-    list's length and what the probing sets ask."""
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold several components, with the largest of them (``main``) and the list's length."""
     at = lists.join(labels, "cid")
     sizes = at.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("k"),
                                     F.sum("c").alias("length")) \
         .where("k > 1").select("key", F.col("m.label").alias("main"), "length")
-    flagged = probes.select("key", "cid", "band", "unit", "asked", "weight")
-    return stored(at.join(main, "key").join(flagged, ["key", "cid", "band", "unit"], "left")
-                  .withColumn("own", F.expr("shiftleft(1, band) <= n")), "open-lists")
+    return stored(at.join(main, "key").withColumn("own", F.expr("shiftleft(1, band) <= n")), "open-lists")
 
 
 def _shared_shingles(docs: DataFrame, members: DataFrame, open_lists: DataFrame) -> DataFrame:
@@ -492,11 +553,13 @@ def _shared_shingles(docs: DataFrame, members: DataFrame, open_lists: DataFrame)
     crowd = stored(crowd, "crowd")
     if crowd.isEmpty():
         return crowd.select("cid", F.lit(0).cast("long").alias("alone"))
-    tokens = _sets_of(docs, members, crowd).select("cid", F.explode("tokens").alias("t"))
+    sets = _sets_of(docs, members, crowd)
+    tokens = sets.select("cid", F.explode("tokens").alias("t"))
     single = tokens.groupBy("t").agg(F.min("cid").alias("cid"), F.count("*").alias("c")).where("c = 1")
     alone = single.groupBy("cid").agg(F.count("*").alias("alone"))
-    return stored(crowd.join(alone, "cid", "left").select("cid", F.coalesce("alone", F.lit(0)).alias("alone")),
-                  "alone")
+    out = stored(crowd.join(alone, "cid", "left").select("cid", F.coalesce("alone", F.lit(0)).alias("alone")), "alone")
+    dropped(sets)
+    return out
 
 
 def _open_pairs(open_lists: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
